@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import decontaminate, quality, secrets
+from faultline.llm import bpe, decontaminate, quality, secrets
 from faultline.llm.common import table
 
 
@@ -22,8 +22,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents", "doc_id", "text"), bpe.default_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_quality_rules, op3_decontaminate)
+    found = (op1_secret_scan, op2_quality_rules, op3_decontaminate, op4_bpe)
     return {f.__name__: f for f in found}
 
 
