@@ -1,7 +1,6 @@
 """BPE encoding and decoding with a minimal acyclic transducer of frequent words.
 
-``frequent_words`` counts the pre-tokens of all documents. ``Lexicon`` compiles the most frequent
-ones into a minimal acyclic automaton (shared prefixes and suffixes) whose transitions carry counts,
+``frequent_words`` counts the pre-tokens of all documents. ``Lexicon`` compiles the frequent ones into a minimal acyclic automaton (shared prefixes and suffixes) whose transitions carry counts,
 so that the sum along a word is its number, and the number leads to its token ids. The packed
 automaton is a file of a few MB that Spark ships to every executor, where workers memory-map it.
 Words outside it are merged exactly by the merge ranks. The lexicon changes the speed, never a result.
@@ -20,7 +19,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,11 @@ from pyspark.sql import functions as F
 
 from faultline.llm.common import arrow_map, checkpoint_dir, hexdigest
 
-#: Words in the lexicon, and the longest word it (and a worker's cache) takes.
-LEXICON_WORDS, LONGEST = 30_000, 48
+#: Words in the lexicon at most (each at least that share of all), and the longest word it and a
+#: worker's cache take.
+LEXICON_WORDS, LONGEST = 100_000, 48
 #: Distinct words a task counts before it passes its counts on, and words a worker keeps encoded.
-COUNTED, CACHED = 400_000, 400_000
+COUNTED, CACHED = 400_000, 250_000
 
 # The white space of the normaliser and the pre-tokenizer's pattern.
 SPACE = "".join(regex.escape(chr(c)) for c in (*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
@@ -120,6 +120,75 @@ class Model:
                     heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
         return [i for i in ids if i >= 0]
 
+    def merge_all(self, words: list[str]) -> list[list[int]]:
+        """``merge`` of many words at once: each round merges the best pair of every open word."""
+        encoded = [w.encode() for w in words]
+        length = np.array([len(w) for w in encoded], np.int64)
+        out: list[list[int]] = [[]] * len(words)
+        order = np.argsort(length, kind="stable")
+        for part in np.array_split(order, max(1, len(order) // 8192)):
+            if not len(part):
+                continue
+            if length[part[-1]] > 64:
+                for k in part.tolist():
+                    out[k] = self.merge(words[k])
+                continue
+            for k, ids in zip(part.tolist(), self._merge_table([encoded[k] for k in part.tolist()], length[part])):
+                out[k] = ids
+        return out
+
+    @cached_property
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbol ids by byte (inner, last), and the merges as sorted pair keys with (rank, id) packed."""
+        pairs = np.array([a << 20 | b for a, b in self.merges], np.int64)
+        made = np.array([rank << 20 | i for rank, i in self.merges.values()], np.int64)
+        order = np.argsort(pairs)
+        return np.array(self.inner), np.array(self.last), pairs[order], made[order]
+
+    def _merge_table(self, encoded: list[bytes], length: np.ndarray) -> Iterator[list[int]]:
+        inner, last, pairs, made = self._table
+        none = np.int64(1) << 60
+
+        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a << 20 | b
+            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            return np.where((pairs[at] == key) & (b >= 0), made[at], none)
+
+        n, width = len(encoded), int(length[-1])
+        flat = np.frombuffer(b"".join(encoded), np.uint8)
+        inside = np.arange(width) < length[:, None]
+        ids = np.full((n, width + 1), -1, np.int64)
+        ids[:, :width][inside] = inner[flat]
+        rows = np.arange(n)
+        ids[rows, length - 1] = last[flat[np.cumsum(length) - 1]]
+        ranks = np.full((n, width + 1), none)
+        ranks[:, :width] = rank(ids[:, :-1], ids[:, 1:])
+        live, final, left = rows, ids.copy(), length.copy()
+        places = np.arange(width + 1)
+        while len(live):
+            at = ranks.argmin(1)
+            here = np.arange(len(live))
+            best = ranks[here, at]
+            going = best < none
+            if not going.all():
+                final[live[~going]] = ids[~going]
+                live, ids, ranks, at, best = live[going], ids[going], ranks[going], at[going], best[going]
+                here = np.arange(len(live))
+                if not len(live):
+                    break
+            left[live] -= 1
+            ids[here, at] = best & 0xFFFFF
+            source = np.minimum(places + (places > at[:, None]), width)
+            ids = np.take_along_axis(ids, source, 1)
+            ids[:, -1] = -1
+            # the pair at `at` is new, and so is the one before it; what follows moves left by one
+            ranks = np.take_along_axis(ranks, np.minimum(places + (places >= at[:, None]), width), 1)
+            ranks[here, at] = rank(ids[here, at], ids[here, np.minimum(at + 1, width)])
+            before = np.flatnonzero(at > 0)
+            ranks[before, at[before] - 1] = rank(ids[before, at[before] - 1], ids[before, at[before]])
+        for row, k in zip(final.tolist(), left.tolist()):
+            yield row[:k]
+
     def segments(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
         """Special tokens (id, no chunks) and the chunks between white space (None, chunks)."""
         for part in self.split.split(text) if self.split and "<" in text else (text,):
@@ -177,6 +246,38 @@ class Lexicon:
         k = self.number(word.encode())
         return None if k < 0 else self.ids[self.offset[k] : self.offset[k + 1]].tolist()
 
+    @cached_property
+    def _arcs(self) -> tuple[np.ndarray, ...]:
+        """The mapped arrays for whole batches: arcs by (state, byte), which is the order they lie in."""
+        first = np.asarray(self.first)
+        data, at = self.labels
+        labels = np.frombuffer(data, np.uint8, len(self.target), at)
+        state = np.repeat(np.arange(len(first) - 1), np.diff(first.astype(np.int64)))
+        return state << 8 | labels, np.asarray(self.target).astype(np.int64), np.asarray(self.skip).astype(np.int64), np.asarray(self.final)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """``number`` of many words at once, one byte of all words at a time."""
+        arcs, target, skip, final = self._arcs
+        encoded = [w.encode() for w in words]
+        length = np.array([len(w) for w in encoded], np.int64)
+        start = np.cumsum(length) - length
+        flat = np.frombuffer(b"".join(encoded), np.uint8)
+        out = np.full(len(words), -1, np.int64)
+        live, state, total = np.arange(len(words)), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        depth = 0
+        while len(live):
+            done = length[live] == depth
+            ended = done & (final[state] > 0)
+            out[live[ended]] = total[ended]
+            live, state, total = live[~done], state[~done], total[~done]
+            key = state << 8 | flat[start[live] + depth]
+            arc = np.minimum(np.searchsorted(arcs, key), len(arcs) - 1)
+            known = arcs[arc] == key
+            live, arc, total = live[known], arc[known], total[known]
+            state, total = target[arc], total + skip[arc]
+            depth += 1
+        return out
+
     @staticmethod
     def pack(words: Iterable[str], merge) -> bytes:
         """Add the sorted words one by one, sharing equal right languages, then lay the states out."""
@@ -228,24 +329,37 @@ class Lexicon:
 
 
 class Codec:
-    """Encoding and decoding in one process: lexicon first, exact merges else, results kept for a while."""
+    """Encoding and decoding in one process: lexicon first, exact merges else. Results of short words and
+    chunks are kept in two generations: when the young one is full, it becomes the old one."""
 
     def __init__(self, model: Model, lexicon: Lexicon | None):
         self.model, self.lexicon = model, lexicon
-        self.ids: dict[str, list[int]] = {}
-        self.shown: dict[str, tuple[int, str, str]] = {}
+        self.ids: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+        self.shown: tuple[dict[str, tuple], dict[str, tuple]] = ({}, {})
 
     def word(self, word: str) -> list[int]:
-        if (found := self.ids.get(word)) is None:
-            short = len(word) <= LONGEST
-            found = self.lexicon.lookup(word) if short and self.lexicon else None
-            if found is None:
-                found = self.model.merge(word)
-            if short:
-                if len(self.ids) >= CACHED:
-                    self.ids.clear()
-                self.ids[word] = found
-        return found
+        for known in self.ids:
+            if (found := known.get(word)) is not None:
+                return found
+        found = self.lexicon.lookup(word) if self.lexicon and len(word) <= LONGEST else None
+        return self.model.merge(word) if found is None else found
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Look up or merge all short words that are not kept yet, together."""
+        young, old = self.ids
+        if len(young) > CACHED:
+            self.ids = young, old = {}, young
+        fresh = [w for w in words if w not in young and len(w) <= LONGEST]
+        young.update((w, old[w]) for w in fresh if w in old)
+        fresh = [w for w in fresh if w not in young]
+        if self.lexicon and fresh:
+            number = self.lexicon.numbers(fresh)
+            offset, ids = self.lexicon.offset, self.lexicon.ids
+            for k in np.flatnonzero(number >= 0).tolist():
+                n = int(number[k])
+                young[fresh[k]] = ids[offset[n] : offset[n + 1]].tolist()
+            fresh = [fresh[k] for k in np.flatnonzero(number < 0).tolist()]
+        young.update(zip(fresh, self.model.merge_all(fresh)))
 
     def chunk(self, chunk: str) -> list[int]:
         return [i for word in pieces(chunk) for i in self.word(word)]
@@ -259,6 +373,10 @@ class Codec:
                 out += self.chunk(chunk)
         return out
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
+        self.learn({w for t in texts for _, found in self.model.segments(t or "") for c in set(found) for w in pieces(c)})
+        yield from map(self.encode, texts)
+
     def decode(self, ids: Iterable[int]) -> str:
         tokens = self.model.tokens
         return " ".join(tokens[i] for i in ids if i in tokens)
@@ -268,26 +386,28 @@ class Codec:
         ids = self.chunk(chunk)
         return (len(ids), " ".join(map(str, ids)), self.decode(ids)) if ids else ()
 
-    def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, digest of the ids, digest of their decoding."""
-        shown, get = self.shown, self.shown.get
-        parts: list[tuple] = []
-        for special, words in self.model.segments(text or ""):
-            if special is not None:
-                parts.append((1, str(special), self.model.tokens[special]))
-            found = list(map(get, words))
-            if None in found:
-                for k, w in enumerate(words):
-                    if found[k] is None:
-                        one = get(w)
-                        found[k] = one = self._show(w) if one is None else one
-                        if len(w) <= LONGEST:
-                            shown[w] = one
-            parts += found
-        if len(shown) > CACHED:
-            shown.clear()
-        counts, ids, decoded = zip(*filter(None, parts)) if any(parts) else ((), (), ())
-        return sum(counts), hexdigest(" ".join(ids).encode()), hexdigest(" ".join(decoded).encode())
+    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: number of ids, digest of the ids, digest of their decoding."""
+        cut = [list(self.model.segments(t or "")) for t in texts]
+        young, old = self.shown
+        if len(young) > CACHED:
+            self.shown = young, old = {}, young
+        fresh = {c for segments in cut for _, found in segments for c in found}.difference(young)
+        young.update((c, old[c]) for c in fresh if c in old)
+        fresh = [c for c in fresh if c not in young and len(c) <= LONGEST]
+        self.learn({w for c in fresh for w in pieces(c)})
+        young.update((c, self._show(c)) for c in fresh)
+        for segments in cut:
+            parts: list[tuple] = []
+            for special, found in segments:
+                if special is not None:
+                    parts.append((1, str(special), self.model.tokens[special]))
+                shown = list(map(young.get, found))
+                if None in shown:  # chunks too long to keep
+                    shown = [self._show(c) if s is None else s for c, s in zip(found, shown)]
+                parts += shown
+            counts, ids, decoded = zip(*filter(None, parts)) if any(parts) else ((), (), ())
+            yield sum(counts), hexdigest(" ".join(ids).encode()), hexdigest(" ".join(decoded).encode())
 
 
 @lru_cache(maxsize=4)
@@ -305,7 +425,7 @@ def _codec(path: str, name: str | None) -> Codec:
 
 
 def frequent_words(docs: DataFrame, path: str, text_column: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
-    """The ``limit`` most frequent pre-tokens of all texts; ties by the word."""
+    """The pre-tokens that make up at least 1 in ``limit`` of all pre-tokens of all texts, so ``limit`` at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts = _model(path), Counter()
@@ -327,9 +447,12 @@ def frequent_words(docs: DataFrame, path: str, text_column: str = "text", limit:
                     yield out()
         yield out()
 
-    counted = arrow_map(docs.select(text_column), work, "word string, n bigint", text_column)
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [r["word"] for r in top.collect()]
+    spark = docs.sparkSession
+    at = f"{checkpoint_dir(spark).rstrip('/')}/words-{uuid.uuid4().hex}"
+    arrow_map(docs.select(text_column), work, "word string, n bigint", text_column).groupBy("word").agg(F.sum("n").alias("n")).write.parquet(at)
+    counted = spark.read.parquet(at)
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return [r["word"] for r in counted.where(F.col("n") * limit >= total).collect()]
 
 
 def ship(docs: DataFrame, path: str, text_column: str = "text") -> str:
@@ -357,7 +480,7 @@ def digest(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, name)
         for batch in batches:
-            n, ids, decoded = zip(*map(codec.digests, batch.column(1).to_pylist()))
+            n, ids, decoded = zip(*codec.digests(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], [id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return arrow_map(docs.select(id_column, text_column), work, f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", text_column)
@@ -371,7 +494,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, name)
         for batch in batches:
-            ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
+            ids = list(codec.encode_all(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [id_column, "n_tokens", "ids"])
 
     return arrow_map(docs.select(id_column, text_column), work, f"`{id_column}` {kind}, n_tokens bigint, ids array<int>", text_column)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, decontaminate, neardup, quality, secrets
+from faultline.llm import bpe, decontaminate, neardup, quality, secrets, urls
 from faultline.llm.common import table
 
 
@@ -26,12 +26,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents", "doc_id", "text"), bpe.default_path())
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents", "doc_id", "text"), neardup.STRICT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_quality_rules, op3_decontaminate, op4_bpe, op8_neardup)
+    found = (op1_secret_scan, op2_quality_rules, op3_decontaminate, op4_bpe, op5_url_filter, op8_neardup)
     return {f.__name__: f for f in found}
 
 
