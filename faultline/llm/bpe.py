@@ -28,13 +28,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import arrow_map, checkpoint_dir, hexdigest
+from faultline.llm.common import arrow_map, checkpoint_dir, hexdigest, slices
 
 #: Words in the lexicon at most (each at least that share of all), and the longest word it and a
 #: worker's cache take.
 LEXICON_WORDS, LONGEST = 100_000, 48
 #: Distinct words a task counts before it passes its counts on, and words a worker keeps encoded.
-COUNTED, CACHED = 400_000, 250_000
+COUNTED, CACHED = 200_000, 120_000
+
+#: Bytes of text that are looked up together.
+SLICE = 2_000_000
 
 # The white space of the normaliser and the pre-tokenizer's pattern.
 SPACE = "".join(regex.escape(chr(c)) for c in (*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
@@ -415,7 +418,7 @@ def _model(path: str) -> Model:
     return Model(path)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)  # a worker outlives a query: the words kept for an earlier lexicon go
 def _codec(path: str, name: str | None) -> Codec:
     """A worker's codec; the lexicon file is the copy that Spark has put beside the executor."""
     if not name:
@@ -479,7 +482,7 @@ def digest(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, name)
-        for batch in batches:
+        for batch in slices(batches, text_column, SLICE):
             n, ids, decoded = zip(*codec.digests(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], [id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -493,7 +496,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, name)
-        for batch in batches:
+        for batch in slices(batches, text_column, SLICE):
             ids = list(codec.encode_all(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [id_column, "n_tokens", "ids"])
 

@@ -22,15 +22,15 @@ def hexdigest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_column: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds about SLICE_BYTES of text at most (or one row)."""
+def slices(batches: Iterator[pa.RecordBatch], text_column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice holds about ``size`` bytes of text at most (or one row)."""
     for batch in batches:
         rows = batch.num_rows
         if not rows:
             continue
         column = batch.column(batch.schema.get_field_index(text_column))
         mean = max(1, column.nbytes // rows)
-        step = max(1, SLICE_BYTES // mean)
+        step = max(1, size // mean)
         for start in range(0, rows, step):
             yield batch.slice(start, step)
 

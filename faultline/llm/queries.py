@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, decontaminate, licenses, neardup, quality, secrets, urls
+from faultline.llm import bpe, decontaminate, htmltext, licenses, neardup, quality, secrets, urls
 from faultline.llm.common import table
 
 
@@ -34,12 +34,16 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents", "doc_id", "text"), neardup.STRICT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_quality_rules, op3_decontaminate, op4_bpe, op5_url_filter, op6_license_scan, op8_neardup)
+    found = (op1_secret_scan, op2_quality_rules, op3_decontaminate, op4_bpe, op5_url_filter, op6_license_scan, op7_html_text, op8_neardup)
     return {f.__name__: f for f in found}
 
 
