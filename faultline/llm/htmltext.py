@@ -197,7 +197,7 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Field:
+def train(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Field:
     """Adam on the mean negative log-likelihood; each page is (feature matrix, labels)."""
     n, longest = len(pages), max(len(y) for _, y in pages)
     x = np.zeros((n, longest, len(NAMES)))
@@ -248,7 +248,7 @@ BOILERPLATE = [
 NESTED = [h for h in BOILERPLATE if not re.search(r"masthead|header|^nav$", "".join(h))]
 
 
-def labelled_pages(count: int = 500, seed: int = 7) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+def labelled_pages(count: int = 700, seed: int = 7) -> Iterator[tuple[str, list[tuple[str, int]]]]:
     """(page, blocks as (text, label)) of generated pages; the words carry no signal."""
     rng = random.Random(seed)
 
@@ -273,11 +273,11 @@ def labelled_pages(count: int = 500, seed: int = 7) -> Iterator[tuple[str, list[
                     linked = rng.random() < (0.4 if long else 0.9)
                     known.append((" ".join(text.split()), 0))
                     body.append(f'<li><a href="/x">{text}</a></li>' if linked else f"<li>{text}</li>")
-                elif tag == "p" or rng.random() < 0.25:
-                    if tag == "p":
-                        known.append((" ".join(text.split()), 0))
-                        body = [text]
-                        break
+                elif tag == "p" or (not body and rng.random() < 0.3):  # text right inside the holder
+                    known.append((" ".join(text.split()), 0))
+                    body = [text]
+                    break
+                elif rng.random() < 0.25:
                     body.append(block("div", text, 0))
                 else:
                     body.append(block(rng.choice(["p", "p", "div", "h3", "h4", "li", "blockquote"]), text, 0))
