@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, decontaminate, htmltext, licenses, neardup, quality, secrets, urls
+from faultline.llm import bpe, chat, decontaminate, htmltext, licenses, neardup, quality, secrets, urls, warc
 from faultline.llm.common import table
 
 
@@ -42,10 +42,28 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents", "doc_id", "text"), neardup.STRICT)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_quality_rules, op3_decontaminate, op4_bpe, op5_url_filter, op6_license_scan, op7_html_text, op8_neardup)
+    found = (op1_secret_scan, op2_quality_rules, op3_decontaminate, op4_bpe, op5_url_filter, op6_license_scan, op7_html_text, op8_neardup, op9_warc, op10_chat_format)
     return {f.__name__: f for f in found}
 
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT page_id, d, n, max(page_id) OVER (PARTITION BY d, n) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL, "op10_chat_format": chat.digest_sql()}
