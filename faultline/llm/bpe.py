@@ -20,6 +20,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from faultline.llm.common import arrow_map, checkpoint_dir, hexdigest, slices
 #: worker's cache take.
 LEXICON_WORDS, LONGEST = 100_000, 48
 #: Distinct words a task counts before it passes its counts on, and words a worker keeps encoded.
-COUNTED, CACHED = 200_000, 120_000
+COUNTED, CACHED = 300_000, 150_000
 
 #: Bytes of text that are looked up together.
 SLICE = 2_000_000
@@ -42,6 +43,7 @@ SLICE = 2_000_000
 # The white space of the normaliser and the pre-tokenizer's pattern.
 SPACE = "".join(regex.escape(chr(c)) for c in (*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+_PIECES_OR_SPACE = regex.compile(" |" + _PIECES.pattern)
 #: What str.split() takes for white space and the tokenizer does not.
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
@@ -207,12 +209,7 @@ def chunks(text: str) -> list[str]:
         # each character is lowered by itself: a final capital sigma too becomes the common small one
         text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
     text = text.lower()
-    return regex.split(f"[{SPACE}]+", text) if _SEPARATORS.search(text) else text.split()
-
-
-def pieces(chunk: str) -> list[str]:
-    """The pre-tokens of a chunk."""
-    return [chunk] if chunk.isascii() and chunk.isalpha() else _PIECES.findall(chunk)
+    return list(filter(None, regex.split(f"[{SPACE}]+", text))) if _SEPARATORS.search(text) else text.split()
 
 
 class Lexicon:
@@ -331,86 +328,102 @@ class Lexicon:
         return head + array(first) + array(target) + array(skip) + array(offset) + body + bytes(-len(body) % 4) + array(ids)
 
 
+class Kept:
+    """Results by chunk or word, in two generations: when the young one is full, it becomes the old one."""
+
+    def __init__(self, kinds: int):
+        self.young: list[dict] = [{} for _ in range(kinds)]
+        self.old = self.young
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those not kept; what only the old generation has becomes young again."""
+        if len(self.young[0]) > CACHED:
+            self.old, self.young = self.young, [{} for _ in self.young]
+        fresh = keys.difference(self.young[0])
+        again = fresh.intersection(self.old[0]) if self.old is not self.young else ()
+        for young, old in zip(self.young, self.old) if again else ():
+            young.update((k, old[k]) for k in again)
+        return list(fresh.difference(again))
+
+
 class Codec:
-    """Encoding and decoding in one process: lexicon first, exact merges else. Results of short words and
-    chunks are kept in two generations: when the young one is full, it becomes the old one."""
+    """Encoding and decoding in one process: lexicon first, exact merges else. Chunks of many texts are
+    looked up together; what short words and chunks give is kept for a while."""
 
     def __init__(self, model: Model, lexicon: Lexicon | None):
         self.model, self.lexicon = model, lexicon
-        self.ids: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
-        self.shown: tuple[dict[str, tuple], dict[str, tuple]] = ({}, {})
-
-    def word(self, word: str) -> list[int]:
-        for known in self.ids:
-            if (found := known.get(word)) is not None:
-                return found
-        found = self.lexicon.lookup(word) if self.lexicon and len(word) <= LONGEST else None
-        return self.model.merge(word) if found is None else found
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Look up or merge all short words that are not kept yet, together."""
-        young, old = self.ids
-        if len(young) > CACHED:
-            self.ids = young, old = {}, young
-        fresh = [w for w in words if w not in young and len(w) <= LONGEST]
-        young.update((w, old[w]) for w in fresh if w in old)
-        fresh = [w for w in fresh if w not in young]
+        self.words, self.shown = Kept(1), Kept(2)
+        last = max(model.tokens) + 1
+        #: Text of each id in the ids' and in the tokens' rendering; place -1 is a mark between chunks.
+        self.digits = [*map(str, range(last)), "\n"]
+        self.tokens = [*(model.tokens.get(i, "") for i in range(last)), "\n"]
+
+    def ids_of(self, words: set[str]) -> dict[str, list[int]]:
+        """The ids of all these words; short ones are kept."""
+        fresh = self.words.missing({w for w in words if len(w) <= LONGEST})
+        found = self.words.young[0]
         if self.lexicon and fresh:
             number = self.lexicon.numbers(fresh)
             offset, ids = self.lexicon.offset, self.lexicon.ids
             for k in np.flatnonzero(number >= 0).tolist():
                 n = int(number[k])
-                young[fresh[k]] = ids[offset[n] : offset[n + 1]].tolist()
+                found[fresh[k]] = ids[offset[n] : offset[n + 1]].tolist()
             fresh = [fresh[k] for k in np.flatnonzero(number < 0).tolist()]
-        young.update(zip(fresh, self.model.merge_all(fresh)))
-
-    def chunk(self, chunk: str) -> list[int]:
-        return [i for word in pieces(chunk) for i in self.word(word)]
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for special, found in self.model.segments(text or ""):
-            if special is not None:
-                out.append(special)
-            for chunk in found:
-                out += self.chunk(chunk)
-        return out
-
-    def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
-        self.learn({w for t in texts for _, found in self.model.segments(t or "") for c in set(found) for w in pieces(c)})
-        yield from map(self.encode, texts)
+        found.update(zip(fresh, self.model.merge_all(fresh)))
+        return found
+
+    def flat(self, found: list[str]) -> list[int]:
+        """The ids of these chunks in a row, with -1 between chunks."""
+        words = _PIECES_OR_SPACE.findall(" ".join(found))
+        distinct = set(words) - {" "}
+        ids = self.ids_of(distinct)
+        passing = {w: self.model.merge(w) for w in distinct if len(w) > LONGEST} | {" ": [-1]}
+        return list(chain.from_iterable(ids[w] if w in ids else passing[w] for w in words))
+
+    def render(self, found: list[str]) -> tuple[list[str], list[str]]:
+        """Of each chunk: its ids, and its tokens, as text."""
+        flat = self.flat(found)
+        return tuple(" ".join(map(texts.__getitem__, flat)).split(" \n ") if found else [] for texts in (self.digits, self.tokens))
+
+    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+        for text in texts:
+            out: list[int] = []
+            for special, found in self.model.segments(text or ""):
+                if special is not None:
+                    out.append(special)
+                elif found:
+                    out += [i for i in self.flat(found) if i >= 0]
+            yield out
 
     def decode(self, ids: Iterable[int]) -> str:
         tokens = self.model.tokens
         return " ".join(tokens[i] for i in ids if i in tokens)
 
-    def _show(self, chunk: str) -> tuple[int, str, str] | tuple:
-        """Number, ids and decoding of a chunk, as text; nothing for a chunk without ids."""
-        ids = self.chunk(chunk)
-        return (len(ids), " ".join(map(str, ids)), self.decode(ids)) if ids else ()
-
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Of each text: number of ids, digest of the ids, digest of their decoding."""
         cut = [list(self.model.segments(t or "")) for t in texts]
-        young, old = self.shown
-        if len(young) > CACHED:
-            self.shown = young, old = {}, young
-        fresh = {c for segments in cut for _, found in segments for c in found}.difference(young)
-        young.update((c, old[c]) for c in fresh if c in old)
-        fresh = [c for c in fresh if c not in young and len(c) <= LONGEST]
-        self.learn({w for c in fresh for w in pieces(c)})
-        young.update((c, self._show(c)) for c in fresh)
+        chunks_ = {c for segments in cut for _, found in segments for c in found}
+        long = [c for c in chunks_ if len(c) > LONGEST]
+        fresh = self.shown.missing(chunks_.difference(long))
+        for young, shown in zip(self.shown.young, self.render(fresh)):
+            young.update(zip(fresh, shown))
+        kept = self.shown.young
+        for young, shown in zip(kept, self.render(long)):
+            young.update(zip(long, shown))
         for segments in cut:
-            parts: list[tuple] = []
+            parts: tuple[list[str], list[str]] = [], []
             for special, found in segments:
                 if special is not None:
-                    parts.append((1, str(special), self.model.tokens[special]))
-                shown = list(map(young.get, found))
-                if None in shown:  # chunks too long to keep
-                    shown = [self._show(c) if s is None else s for c, s in zip(found, shown)]
-                parts += shown
-            counts, ids, decoded = zip(*filter(None, parts)) if any(parts) else ((), (), ())
-            yield sum(counts), hexdigest(" ".join(ids).encode()), hexdigest(" ".join(decoded).encode())
+                    parts[0].append(str(special))
+                    parts[1].append(self.model.tokens[special])
+                elif found:
+                    for part, shown in zip(parts, kept):
+                        part.append(" ".join(map(shown.__getitem__, found)))
+            ids, decoded = (" ".join(p) for p in parts)
+            yield ids.count(" ") + 1 if ids else 0, hexdigest(ids.encode()), hexdigest(decoded.encode())
+        for young in kept:  # long chunks are not kept
+            for chunk in long:
+                young.pop(chunk, None)
 
 
 @lru_cache(maxsize=4)
@@ -418,9 +431,9 @@ def _model(path: str) -> Model:
     return Model(path)
 
 
-@lru_cache(maxsize=1)  # a worker outlives a query: the words kept for an earlier lexicon go
 def _codec(path: str, name: str | None) -> Codec:
-    """A worker's codec; the lexicon file is the copy that Spark has put beside the executor."""
+    """A task's codec (a worker outlives it, and should not hold its words); the lexicon file is the copy
+    that Spark has put beside the executor."""
     if not name:
         return Codec(_model(path), None)
     with open(SparkFiles.get(name), "rb") as f:
@@ -435,10 +448,13 @@ def frequent_words(docs: DataFrame, path: str, text_column: str = "text", limit:
 
         def out() -> pa.RecordBatch:
             words: Counter = Counter()
-            for chunk, n in counts.items():
-                for word in pieces(chunk):
-                    if len(word) <= LONGEST:
-                        words[word] += n
+            each = iter(counts.values())
+            n = next(each, 0)
+            for word in _PIECES_OR_SPACE.findall(" ".join(counts)):
+                if word == " ":
+                    n = next(each)
+                elif len(word) <= LONGEST:
+                    words[word] += n
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
@@ -497,7 +513,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, name)
         for batch in slices(batches, text_column, SLICE):
-            ids = list(codec.encode_all(batch.column(1).to_pylist()))
+            ids = list(codec.encode(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [id_column, "n_tokens", "ids"])
 
     return arrow_map(docs.select(id_column, text_column), work, f"`{id_column}` {kind}, n_tokens bigint, ids array<int>", text_column)
