@@ -46,8 +46,8 @@ class Parameters:
 
 #: At the threshold a pair misses all bands with (1 - 0.85^5)^32 = 7e-9, or (1 - 0.8^4)^40 = 7e-10.
 STRICT, LOOSE = Parameters(), Parameters(5, 80, 40, 4)
-#: Classes in one block of a bucket, about.
-BLOCK = 512
+#: Classes, and shingles, in one block of a bucket, about.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EMPTY = np.uint64(2**64 - 1)
@@ -209,8 +209,8 @@ def classes(docs: DataFrame, p: Parameters = STRICT, id_column: str = "doc_id",
     group = held(named.groupBy(*same).agg(F.min("doc_id").alias("rep")), "groups")
 
     # Only the class's own row goes on, found by its id; band rows are (band key, id).
-    reps = named.join(group, [*(named[c] == group[c] for c in same), named.doc_id == group.rep], "left_semi").select("doc_id", "keys")
-    rows = held(reps.dropDuplicates(["doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("id")), "rows")
+    reps = named.join(group, [*(named[c] == group[c] for c in same), named.doc_id == group.rep], "left_semi").select("doc_id", "keys", "n_shingles")
+    rows = held(reps.dropDuplicates(["doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("size")), "rows")
     buckets = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = held(rows.join(buckets, "key"), "members")
 
@@ -226,9 +226,10 @@ def classes(docs: DataFrame, p: Parameters = STRICT, id_column: str = "doc_id",
     first = held(components(stars, f"{folder}/first"), "labels")
 
     # What the hubs leave open: buckets whose other members lie in two or more components.
-    others = members.where("n > 2 and id <> hub").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    others = members.where("n > 2 and id <> hub").join(first, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("label"))
     others = held(others, "others")
-    open_ = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks"))
+    open_ = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum("size").alias("shingles")).where("low < high")
+    open_ = open_.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
     placed = others.join(open_, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     blocks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", "id", "label", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
     blocks = blocks.join(sets.withColumnRenamed("doc_id", "id"), "id")
