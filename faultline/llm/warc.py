@@ -3,7 +3,8 @@
 A page becomes three records that name each other by ``WARC-Concurrent-To``: a request, a response (or
 a revisit, if an equal payload of at least MIN_REVISIT bytes has a larger page id) and metadata. Records
 are text of UTF-8 with a Content-Length in bytes, and Spark's text writer puts the record separator
-between them, so its committer and retries write the archives, in whatever store the folder is in.
+between them and compresses the file, so its committer and retries write the archives, in whatever
+store the folder is in.
 
 Reading takes whole archive files, whose number of records the writer bounds, and follows the
 Content-Length of each record; texts inside a payload that look like records do not matter. Assembly
@@ -16,6 +17,7 @@ assembled into one capture. Rows with a null id cannot be named and are not writ
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -73,7 +75,7 @@ def records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
 
 def write(pages: DataFrame, folder: str) -> None:
     """The archives of the pages, under ``folder``; a file holds RECORDS records at most."""
-    records(pages).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(folder)
+    records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(folder)
 
 
 def _parse(data: bytes) -> Iterator[tuple]:
@@ -103,7 +105,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                found = list(_parse(content.as_py()))
+                found = list(_parse(gzip.decompress(content.as_py())))
                 for k in range(0, len(found), 500):
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found[k : k + 500]), types)], names)
 
