@@ -35,7 +35,7 @@ from faultline.llm.common import arrow_map, checkpoint_dir, hexdigest, slices
 #: worker's cache take.
 LEXICON_WORDS, LONGEST = 100_000, 48
 #: Distinct words a task counts before it passes its counts on, and words a worker keeps encoded.
-COUNTED, CACHED = 300_000, 150_000
+COUNTED, CACHED = 250_000, 80_000
 
 #: Bytes of text that are looked up together.
 SLICE = 2_000_000
@@ -386,13 +386,24 @@ class Codec:
         return tuple(" ".join(map(texts.__getitem__, flat)).split(" \n ") if found else [] for texts in (self.digits, self.tokens))
 
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        for text in texts:
+        """The ids of each text; what the chunks give is looked up for all texts together."""
+        cut = [list(self.model.segments(t or "")) for t in texts]
+        every = list({c for segments in cut for _, found in segments for c in found})
+        known: dict[str, list[int]] = {}
+        if every:
+            flat = np.array(self.flat(every), np.int64)
+            ends = [*np.flatnonzero(flat < 0).tolist(), len(flat)]
+            flat = flat.tolist()
+            start = 0
+            for chunk, end in zip(every, ends):
+                known[chunk] = flat[start:end]
+                start = end + 1
+        for segments in cut:
             out: list[int] = []
-            for special, found in self.model.segments(text or ""):
+            for special, found in segments:
                 if special is not None:
                     out.append(special)
-                elif found:
-                    out += [i for i in self.flat(found) if i >= 0]
+                out.extend(chain.from_iterable(map(known.__getitem__, found)))
             yield out
 
     def decode(self, ids: Iterable[int]) -> str:

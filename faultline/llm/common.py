@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -9,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text an operator handles at once inside a task; longer texts come alone.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -35,11 +38,20 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: str, size: int = SLIC
             yield batch.slice(start, step)
 
 
+def release() -> None:
+    """Give freed memory back: a worker process outlives its task and waits beside the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, text_column: str) -> DataFrame:
     """mapInArrow over text slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(slices(batches, text_column))
+        release()
 
     return df.mapInArrow(run, schema)
 
