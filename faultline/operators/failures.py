@@ -188,15 +188,16 @@ def hard_negative(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:
     """Topical near misses in place of the evidence."""
     b = run.failures.context_budget
     ranked = near_misses(seeds, chunks, b)
-    item = F.struct("rank", "text", "chunk_id", F.round("overlap", 4).alias("overlap"), "category")
+    # overlaps in ten-thousandths: whole numbers have one rounding and one sum
+    item = F.struct("rank", "text", "chunk_id", F.floor(F.col("overlap") * 10000 + 0.5).alias("parts"), "category")
     best = ranked.groupBy("sample_id").agg(F.array_sort(F.collect_list(item)).alias("best"))
     rows = seeds.join(best, "sample_id").withColumn("severity", F.explode(F.array(*map(F.lit, run.failures.severities))))
     rows = rows.withColumn("best", F.slice("best", F.lit(1), _by_severity(F.lit(min(2, b)), F.lit(min(max(3, b // 2), b)), F.lit(b))))
-    rows = rows.withColumns({"contexts": F.transform("best", lambda x: x["text"]), "overlaps": F.transform("best", lambda x: x["overlap"])})
-    total = F.aggregate("overlaps", F.lit(0).cast("decimal(18,4)"), lambda a, x: (a + x.cast("decimal(10,4)")).cast("decimal(18,4)")).cast("double")
-    mean = F.round(total / F.greatest(F.size("overlaps"), F.lit(1)), 4)
+    rows = rows.withColumns({"contexts": F.transform("best", lambda x: x["text"]), "parts": F.transform("best", lambda x: x["parts"])})
+    total, n = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x), F.greatest(F.size("parts"), F.lit(1))
+    mean = F.floor((2 * total + n) / (2 * n)) / 10000
     return _cases(
-        rows, "hard_negative", False, mean, distractor_chunk_ids=F.transform("best", lambda x: x["chunk_id"]), mean_lexical_overlap=mean, max_lexical_overlap=F.array_max("overlaps"),
+        rows, "hard_negative", False, mean, distractor_chunk_ids=F.transform("best", lambda x: x["chunk_id"]), mean_lexical_overlap=mean, max_lexical_overlap=F.array_max("parts") / 10000,
         same_category_only=F.forall("best", lambda x: x["category"].eqNullSafe(F.col("category_group"))),
     )
 
