@@ -112,18 +112,20 @@ def blocks(benchmark: DataFrame, item_column: str = "item_id", text_column: str
         yield block
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, text_column: str, keep_text: bool) -> DataFrame:
-    """All rows with ``_words``, ``_ranges`` (flat pairs, united) and ``_items`` (as strings).
+def _marked(docs: DataFrame, benchmark: DataFrame, text_column: str, drop_share: float | None) -> DataFrame:
+    """All rows with ``_words``, ``_ranges`` (flat pairs, united) and ``_items`` (as strings); with a
+    ``drop_share``, the rows and columns as they came with the ranges cut out instead.
 
     One pass over the rows for each block; between passes the rows go to the checkpoint folder, so
-    that a task never holds more than one block.
+    that a task never holds more than one block. The cut happens inside the last pass: a stage of one
+    Python function needs one worker for each task.
     """
     rows = docs.withColumns({"_words": F.lit(0).cast("long"), "_ranges": F.lit([]).cast("array<bigint>"), "_items": F.lit([]).cast("array<string>")})
     each = blocks(benchmark)
     block = next(each, [])
     while block is not None:
         after = next(each, None)
-        rows = _pass(rows, block, text_column, keep_text or after is not None)
+        rows = _pass(rows, block, text_column, after is None, drop_share)
         if after is not None:
             checkpoint_dir(docs.sparkSession)
             rows = rows.checkpoint()
@@ -131,24 +133,36 @@ def _marked(docs: DataFrame, benchmark: DataFrame, text_column: str, keep_text:
     return rows
 
 
-def _pass(rows: DataFrame, block: list, text_column: str, keep_text: bool) -> DataFrame:
+def _pass(rows: DataFrame, block: list, text_column: str, last: bool, drop_share: float | None) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(Index(block))
     fields, at = rows.columns, rows.columns.index(text_column)
-    out = rows.schema if keep_text else rows.drop(text_column).schema
+    own = len(fields) - 3
+    cutting = last and drop_share is not None
+    out = rows.select(*fields[:own]).schema if cutting else rows.drop(text_column).schema if last else rows.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            n_words, ranges, items = [], [], []
-            for text, old, held in zip(*(batch.column(k).to_pylist() for k in (at, len(fields) - 2, len(fields) - 1))):
+            n_words, ranges, items, texts, kept = [], [], [], [], []
+            for text, old, held in zip(*(batch.column(k).to_pylist() for k in (at, own + 1, own + 2))):
                 found = words(text)
                 hit, owners = index.hits(found)
+                pairs = united([*hit, *zip(old[::2], old[1::2])])
+                if cutting:
+                    kept.append(not pairs or sum(b - a for a, b in pairs) < drop_share * len(found))
+                    texts.append(_cut(text, pairs) if pairs and kept[-1] else text)
+                    continue
                 n_words.append(len(found))
-                ranges.append([x for pair in united([*hit, *zip(old[::2], old[1::2])]) for x in pair])
+                ranges.append([x for pair in pairs for x in pair])
                 items.append([*held, *(str(index.items[k]) for k in owners)])
-            columns = [*batch.columns[:-3], pa.array(n_words, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            if cutting:
+                columns = list(batch.columns[:own])
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, fields[:own]).filter(pa.array(kept, pa.bool_()))
+                continue
+            columns = [*batch.columns[:own], pa.array(n_words, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
             done = pa.RecordBatch.from_arrays(columns, fields)
-            yield done if keep_text else done.drop_columns([text_column])
+            yield done.drop_columns([text_column]) if last else done
 
     return arrow_map(rows, work, out, text_column)
 
@@ -158,7 +172,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_
     starts = F.filter("_ranges", lambda x, k: k % 2 == 0)
     ends = F.filter("_ranges", lambda x, k: k % 2 == 1)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return _marked(docs.select(id_column, text_column), benchmark, text_column, False).select(
+    return _marked(docs.select(id_column, text_column), benchmark, text_column, None).select(
         id_column,
         F.col("_words").alias("n_words"),
         (total(ends) - total(starts)).alias("n_hit"),
@@ -187,19 +201,4 @@ def _cut(text: str, ranges: list[tuple[int, int]]) -> str:
 def remove(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", drop_share: float = 0.5) -> DataFrame:
     """The documents without benchmark passages: hit spans are cut out; a document of which at least
     ``drop_share`` of the words are hit goes as a whole. Rows stay apart (no join on an id)."""
-    fields, at = docs.columns, docs.columns.index(text_column)
-    marked = _marked(docs, benchmark, text_column, True)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, texts = [], []
-            for text, total, flat in zip(*(batch.column(k).to_pylist() for k in (at, len(fields), len(fields) + 1))):
-                ranges = list(zip(flat[::2], flat[1::2]))
-                hit = sum(b - a for a, b in ranges)
-                kept.append(not hit or hit < drop_share * total)
-                texts.append(_cut(text, ranges) if hit and kept[-1] else text)
-            columns = list(batch.columns[: len(fields)])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, fields).filter(pa.array(kept, pa.bool_()))
-
-    return arrow_map(marked, work, docs.schema, text_column)
+    return _marked(docs, benchmark, text_column, drop_share)
