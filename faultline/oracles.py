@@ -240,6 +240,11 @@ SQL = {
     "exact_title_dedup": f"WITH {PAGES} SELECT min(page_id) AS page_id, {_TITLE} AS title_key FROM page GROUP BY title_key",
     "title_sample": f"""WITH {PAGES}, once AS (SELECT DISTINCT source, {_TITLE} AS title_key FROM page), drawn AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {keyed('42', 'source', 'title_key')}, title_key) AS rank FROM once QUALIFY rank <= 20)
 SELECT source, title_key, rank FROM drawn QUALIFY row_number() OVER (PARTITION BY title_key ORDER BY source, rank) = 1""",
+    "near_duplicate_pairs": f"""WITH t AS (SELECT doc_id, {strip(squeeze("lower(coalesce(text, ''))"))} AS t FROM documents),
+g AS (SELECT doc_id, CASE WHEN t = '' THEN [] WHEN length(t) < 5 THEN [t] ELSE list_sort(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, i, 5)))) END AS gs FROM t),
+rep AS (SELECT min(doc_id) AS id, gs, len(gs) AS n FROM g WHERE len(gs) > 0 GROUP BY gs), each AS (SELECT id, n, unnest(gs) AS gram FROM rep),
+pair AS (SELECT x.id AS a, y.id AS b, count(*) AS k, any_value(x.n) AS na, any_value(y.n) AS nb FROM each x JOIN each y ON x.gram = y.gram AND x.id < y.id AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 85 GROUP BY x.id, y.id)
+SELECT a, b, k::INT AS inter, (na + nb - k)::INT AS either FROM pair WHERE k * 100 >= (na + nb - k) * 85""",
     "category_quota_sample": f"SELECT doc_id AS page_id, lang AS category_group, row_number() OVER (PARTITION BY lang ORDER BY {keyed('42', 'lang', 'doc_id')}, doc_id)::INT AS rank FROM documents QUALIFY rank <= CASE lang " + " ".join(f"WHEN '{c}' THEN {q}" for c, q in RUN.categories.items()) + " END",
     "chunk_rows": f"WITH {CHUNKS} SELECT chunk_id, page_id, section_title, paragraph_index::INT AS paragraph_index, chunk_index::INT AS chunk_index, token_count::INT AS token_count, md5(text) AS text_md5 FROM chunk",
     "chunk_adjacency": f"WITH {CHUNKS} SELECT chunk_id, previous_chunk_id, next_chunk_id FROM chunk",
