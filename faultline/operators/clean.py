@@ -48,6 +48,13 @@ def _lead(body: Column, title: Column) -> Column:
     return F.struct(F.lit(0).alias("section_index"), title.alias("section_title"), F.array(title).alias("section_path"), F.lit(1).alias("level"), F.lit(0).alias("char_start"), F.length(body).alias("char_end"), strip(body).alias("text"))
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows, with these columns computed once. A filter on a computed column is pushed below the
+    projection that computes it, with the whole expression copied for each use; it cannot pass a generator."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("_s")).select(*rest, "_s.*")
+
+
 def clean_pages(pages: DataFrame) -> DataFrame:
     """Add cleaned_text, sections, section_count, char_count: without reference sections, citations and
     empty sections; offsets are those of the cleaned text."""
@@ -59,4 +66,5 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     df = df.withColumn("cleaned_text", normalize_whitespace(F.array_join(F.transform("_kept", part), "\n\n"))).drop("_raw", "_kept")
     df = with_sections(df, "cleaned_text", "_found")
     df = df.withColumn("sections", F.filter("_found", lambda s: ~should_drop_section(s["section_title"]) & (strip(s["text"]) != ""))).drop("_found")
+    df = settled(df, "cleaned_text", "sections")
     return df.withColumns({"section_count": F.size("sections"), "char_count": F.length("cleaned_text")})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.config import Filtering
 from faultline.functions.text import paragraph_repeat_ratio, prose_ratio, strip
-from faultline.operators.clean import clean_pages
+from faultline.operators.clean import clean_pages, settled
 
 
 def _reasons(checks: list[tuple[Column, str]]) -> Column:
@@ -28,18 +28,11 @@ def raw_reasons(cfg: Filtering = Filtering()) -> Column:
     ])
 
 
-def settled(df: DataFrame, *columns: str) -> DataFrame:
-    """The same rows, with these columns computed once. A filter on a computed column is pushed below the
-    projection that computes it, with the whole expression copied for each use; it cannot pass a generator."""
-    rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("_s")).select(*rest, "_s.*")
-
-
 def filter_pages(pages: DataFrame, cfg: Filtering = Filtering()) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): both have ``rejection_reasons``; only pages that pass phase one are cleaned."""
     first = pages.withColumn("rejection_reasons", raw_reasons(cfg))
     early = first.where(F.size("rejection_reasons") > 0).select("page_id", "page_title", "category_group", "rejection_reasons", F.length(F.coalesce("raw_text", F.lit(""))).alias("char_count"), F.lit(None).cast("double").alias("prose_ratio"), F.lit(None).cast("double").alias("paragraph_repeat_ratio"))
-    cleaned = settled(clean_pages(first.where(F.size("rejection_reasons") == 0)), "cleaned_text", "sections", "section_count", "char_count")
+    cleaned = clean_pages(first.where(F.size("rejection_reasons") == 0))
     cleaned = cleaned.withColumns({"prose_ratio": prose_ratio(F.col("cleaned_text")), "paragraph_repeat_ratio": paragraph_repeat_ratio(F.col("cleaned_text"))})
     cleaned = cleaned.withColumn("rejection_reasons", _reasons([
         (F.col("char_count") < cfg.min_page_chars, "too_short_after_clean"),
