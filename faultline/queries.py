@@ -245,22 +245,25 @@ def rule_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return validation.with_chunks(rows, found).select("candidate_id", F.array_join(validation.rule_reasons(), ",").alias("reasons"), validation.not_unique().alias("multiple"))
 
 
+def _validated(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """All layers, deduplication of the accepted in the order of their ids last."""
+    results = dedup.held(validation.validate(rows, found), f"{dedup.shared_folder(rows.sparkSession)}/results")
+    return validation.with_dedup(results)
+
+
 @query
 def validation_results(spark: SparkSession, sf: str) -> DataFrame:
-    rows, found = _candidates(spark, sf)
-    return validation.validate(rows, found).select("candidate_id", "accepted", "quality_score", F.array_join("rejection_reasons", ",").alias("reasons"))
+    return _validated(*_candidates(spark, sf)).select("candidate_id", "accepted", "quality_score", F.array_join("rejection_reasons", ",").alias("reasons"))
 
 
 @query
 def validation_contribution(spark: SparkSession, sf: str) -> DataFrame:
-    rows, found = _candidates(spark, sf)
-    return validation.contribution(validation.validate(rows, found))
+    return validation.contribution(_validated(*_candidates(spark, sf)))
 
 
 @query
 def rejected_anti_join(spark: SparkSession, sf: str) -> DataFrame:
-    rows, found = _candidates(spark, sf)
-    results = validation.validate(rows, found)
+    results = _validated(*_candidates(spark, sf))
     return results.join(results.where("accepted").select("candidate_id"), "candidate_id", "left_anti").select("candidate_id")
 
 
@@ -271,17 +274,15 @@ def question_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows, found = _candidates(spark, sf)
     folder = dedup.shared_folder(spark)
-    found = dedup.held(found, f"{folder}/chunks")
-    chosen = seeds.select_seeds(validation.validate(candidates.generate(found, GENERATION), found).where("accepted"), RUN)
+    found = dedup.held(_whole_chunks(spark, sf), f"{folder}/chunks")
+    chosen = seeds.select_seeds(_validated(candidates.generate(found, GENERATION), found).where("accepted"), RUN)
     return dedup.held(chosen, f"{folder}/seeds"), found
 
 
 @query
 def seed_selection(spark: SparkSession, sf: str) -> DataFrame:
-    rows, found = _candidates(spark, sf)
-    return seeds.select_seeds(validation.validate(rows, found).where("accepted"), RUN).select("sample_id", "candidate_id", "category_group", "difficulty", "quality_score")
+    return seeds.select_seeds(_validated(*_candidates(spark, sf)).where("accepted"), RUN).select("sample_id", "candidate_id", "category_group", "difficulty", "quality_score")
 
 
 @query

@@ -265,3 +265,30 @@ def test_seed_shares(built):
     _, out, run = built
     per = {r.category_group: r.n for r in out["seeds"].groupBy("category_group").agg(F.count("*").alias("n")).collect()}
     assert sum(per.values()) == out["seeds"].count() and seeds.TARGETS.keys() == {"easy", "medium", "hard"}
+
+
+def test_registered_validation_drops_repeats(spark, sf):
+    """The SQL, which ends before layer 5, with first-wins by brute force after it."""
+    import duckdb
+
+    from faultline import oracles, queries
+
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    found = sql.execute(f"WITH {oracles.RESULTS} SELECT candidate_id, nq, ns || '||' || ng, question, reasons, accepted FROM result ORDER BY candidate_id").fetchall()
+    grams = lambda q: {q[i : i + 5] for i in range(max(len(q) - 4, 1))}
+    kept, reasons = [], {}
+    for name, question, fact, text, before, accepted in found:
+        g = grams(" ".join(text.lower().split()))
+        more = [r for r, hit in (("duplicate_question", any(question == k[0] for k in kept)), ("duplicate_supporting_fact", any(fact == k[1] for k in kept))) if hit]
+        if not more and any(len(g & k[2]) >= 0.85 * len(g | k[2]) for k in kept):
+            more = ["near_duplicate_question"]
+        if accepted and not more:
+            kept.append((question, fact, g))
+        reasons[name] = ",".join(more) if accepted else before
+    got = {r.candidate_id: r for r in queries.QUERIES["validation_results"](spark, sf).collect()}
+    assert {k: r.reasons for k, r in got.items()} == reasons and all(r.accepted == (r.reasons == "") for r in got.values())
+    assert sum("duplicate" in r for r in reasons.values()) > 0
+    dropped = ", ".join(f"'{k}'" for k, r in reasons.items() if "duplicate" in r)
+    expected = sql.execute(oracles.SQL["seed_selection"].replace("FROM result WHERE accepted", f"FROM result WHERE accepted AND candidate_id NOT IN ({dropped})")).fetchall()
+    assert sorted(map(tuple, queries.QUERIES["seed_selection"](spark, sf).collect())) == sorted(expected)
