@@ -15,6 +15,7 @@ are never read by ``scan``, so clashing extra columns do no harm.
 from __future__ import annotations
 
 import operator
+import re
 import re._constants as C
 import re._parser as regex_parser
 from collections.abc import Callable, Iterator
@@ -31,12 +32,14 @@ from faultline.llm.common import arrow_map
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: a regex over bytes, and a test that a match must pass to be reported."""
+    """A kind of secret: a regex over bytes, a test that a match must pass to be reported, and the end of
+    what it opens, given the bytes and the end of the match."""
 
     kind: str
     pattern: str
     valid: Callable[[bytes], bool] = field(default=lambda match: True)
     base: bool = False
+    extent: Callable[[bytes, int], int] = field(default=lambda data, end: end)
 
 
 def _long_value(match: bytes) -> bool:
@@ -50,6 +53,26 @@ def _at_least(length: int) -> Callable[[bytes], bool]:
     return lambda match: len(match) >= length
 
 
+_BOUNDARY = re.compile(rb"-----(BEGIN|END) ([A-Z0-9 ]*+)-----")
+_GAP = rb"""(?:[\s>#|*"',]|\\[nrt])*+"""
+_RUN = rb"[A-Za-z0-9+/]{16,}+={0,2}"
+#: Headers and runs of base64; after a run, also shorter ones that fill a line or end in padding.
+_BODY = re.compile(
+    rb"(?:" + _GAP + rb"[A-Za-z][A-Za-z0-9-]*+:[^\n\\]*+)*+" + _GAP + _RUN
+    + rb"(?:" + _GAP + _RUN + rb"|(?:\r?\n|\\r\\n|\\n)[\x20\t>#|*\"',]*+[A-Za-z0-9+/]++={0,2}(?=[\x20\t\"',]*+(?:[\r\n\\]|\Z))|" + _GAP + rb"[A-Za-z0-9+/]++={1,2})*+"
+)
+
+
+def _key_end(data: bytes, end: int) -> int:
+    """The end of a private key after its BEGIN line: its END line, or its last base64 line if another
+    heading or the end of the text comes first. Each search ends at the next heading."""
+    edge = _BOUNDARY.search(data, end)
+    if edge and edge[1] == b"END" and edge[2].endswith(b"PRIVATE KEY"):
+        return edge.end()
+    body = _BODY.match(data, end, edge.start() if edge else len(data))
+    return body.end() if body else end
+
+
 # The rules, in the order of their kinds. Hex runs are so common that their length is
 # counted by the automaton (a run is maximal, so this keeps the same matches as a test afterwards);
 # the other lengths are tests, as counters of several rules would multiply the states.
@@ -59,7 +82,7 @@ RULES = (
     Rule("hex", r"[0-9a-f]{16,}", base=True),
     Rule("github", r"gh[opsu]_[A-Za-z0-9]+", _at_least(40)),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", _at_least(15)),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", extent=_key_end),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 
@@ -324,7 +347,7 @@ class Scanner:
                     start = back[k].start(data, end, floor[k])
                     floor[k] = end
                     if rule.valid(data[start:end]):
-                        out.append((start, end, k))
+                        out.append((start, rule.extent(data, end), k))
         return sorted(out, key=lambda s: (s[0], s[2]))
 
     def points(self, data: bytes) -> list[tuple[int, int, int]]:
@@ -333,7 +356,7 @@ class Scanner:
         for start, end, k in self.spans(data):  # starts never fall
             point += len(data[at:start].decode("utf-8", "surrogatepass"))
             at = start
-            out.append((point, point + end - start, k))  # a match is ASCII
+            out.append((point, point + len(data[start:end].decode("utf-8", "surrogatepass")), k))
         return out
 
 

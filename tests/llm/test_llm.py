@@ -74,6 +74,34 @@ def test_secret_digest_and_redaction(spark, edge, none, docs):
     assert "abcdefghijklmnop" not in {r.doc_id: r.text for r in cleaned.collect()}[9]
 
 
+def test_private_keys_go_whole(spark):
+    rng = random.Random(7)
+    lines = ["".join(rng.choices("ABCabc019+/", k=64)) for _ in range(5)] + ["qR7+/kLmNo=="]
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    body = "\n".join(lines)
+    texts = {
+        f"é a\n{head}\n{body}\n{foot}\nafter it": "é a\n[secret]\nafter it",
+        f"a {head}\r\n{info}{body}\r\n{foot} b": "a [secret] b",
+        f"{head}\n{body}\nand more text": "[secret]\nand more text",
+        f"{head}\n{info}{body}": "[secret]",
+        f"{head}\n{body[:-3]}": "[secret]",
+        f"{head} {' '.join(lines)} and more text": "[secret] and more text",
+        f'"{head}\\n{body.replace(chr(10), chr(92) + "n")}\\n{foot}\\n", b': '"[secret]\\n", b',
+        f"{head}\n{body}\n{head}\n{body}\n{foot} é {head}\n{body}": "[secret]\n[secret] é [secret]",
+        f"{head}\n{body}\n-----BEGIN CERTIFICATE-----\nMIIB\n-----END CERTIFICATE-----": "[secret]\n-----BEGIN CERTIFICATE-----\nMIIB\n-----END CERTIFICATE-----",
+        f"the line {head} opens a key": "the line [secret] opens a key",
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cleaned = {r.doc_id: r.text for r in secrets.redact(rows).collect()}
+    for i, (text, expected) in enumerate(texts.items()):
+        assert cleaned[i] == expected, text
+        assert not any(line in cleaned[i] for line in lines)
+    first = next(iter(texts))
+    kinds = [(secrets.RULES[k].kind, first[s:e]) for s, e, k in secrets._scanner(secrets.RULES).points(first.encode())]
+    assert ("pem", f"{head}\n{body}\n{foot}") in kinds
+
+
 # Quality
 
 
