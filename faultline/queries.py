@@ -353,7 +353,7 @@ def sample_gallery(spark: SparkSession, sf: str) -> DataFrame:
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     verified, chosen, found = _verified(spark, sf)
     work = evaluate.jobs(seeds.clean_contexts(chosen, found, RUN), verify.split_valid(verified)[0])
-    return evaluate.score(evaluate.answer_offline(work), RUN, similarity=False)
+    return evaluate.score(evaluate.answer_offline(work), RUN)
 
 
 @query

@@ -292,3 +292,19 @@ def test_registered_validation_drops_repeats(spark, sf):
     dropped = ", ".join(f"'{k}'" for k, r in reasons.items() if "duplicate" in r)
     expected = sql.execute(oracles.SQL["seed_selection"].replace("FROM result WHERE accepted", f"FROM result WHERE accepted AND candidate_id NOT IN ({dropped})")).fetchall()
     assert sorted(map(tuple, queries.QUERIES["seed_selection"](spark, sf).collect())) == sorted(expected)
+
+
+def test_registered_evaluation_has_similarities(spark, sf, monkeypatch):
+    from difflib import SequenceMatcher
+
+    from faultline import queries
+
+    rows = [("s0", "clean", None, "Oslo lies there. More text.", ["Oslo lies there. More text."], "Where?", "Oslo", True, "answer", 0), ("f0", "conflict", "low", "no", ["no"], "Where?", "Oslo", True, "answer", 1)]
+    work = spark.createDataFrame(rows, "sample_id string, condition string, severity string, context string, contexts array<string>, question string, gold_answer string, answer_available boolean, expected_behavior string, number int")
+    monkeypatch.setattr(queries, "_verified", lambda spark, sf: (None, None, None))
+    monkeypatch.setattr(queries.verify, "split_valid", lambda cases: (None, None))
+    monkeypatch.setattr(queries.seeds, "clean_contexts", lambda *args: None)
+    monkeypatch.setattr(queries.evaluate, "jobs", lambda *args: work)
+    got = {(r.sample_id, r.model_name): float(r.semantic_similarity) for r in queries.QUERIES["eval_results"](spark, sf).collect()}
+    assert len(got) == 6 and got["s0", "reader_gold"] == 1.0
+    assert got["s0", "reader_first"] == pytest.approx(SequenceMatcher(None, "oslo lies there", "oslo").ratio())
