@@ -8,8 +8,8 @@ is the mean ratio over its symbols (length-normalised); the threshold is calibra
 training URLs, by hash, that the counts leave out.
 
 Without training URLs of their own, the URLs that a rule decides are the training set. All of them are
-counted. A null URL, or one without ``://``, has an empty host and path and is judged by the model on
-the empty string. With an empty table the result is empty. Repeated URLs get equal verdicts.
+counted. A null URL, or one without ``://``, has an empty host and path; the models read the whole URL
+after its scheme, or all of it without one, and a null one as the empty string. With an empty table the result is empty. Repeated URLs get equal verdicts.
 """
 
 from __future__ import annotations
@@ -58,6 +58,11 @@ def _rest(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
 
 
+def _text(url: Column) -> Column:
+    """What the models read: the whole URL after its scheme, with query and fragment; all of it without one."""
+    return F.coalesce(F.when(F.instr(url, "://") > 0, _rest(url)).otherwise(url), F.lit(""))
+
+
 def _first_fit(host: Column, path: Column, rules: tuple[Rule, ...], value) -> Column:
     """The value of the longest rule that fits, or null."""
     out = None
@@ -120,22 +125,22 @@ def judge(pages: DataFrame, training: DataFrame | None = None, rules: tuple[Rule
     """One row per input row: id, host, path, rule, verdict, score. ``training``: url, good (boolean)."""
 
     def parts(df: DataFrame, *more: str) -> DataFrame:
-        return df.select(*more, host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"))
+        return df.select(*more, host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"), _text(F.col(url_column)).alias("text"))
 
     rows = parts(pages, id_column).withColumns({
         "rule": _first_fit(F.col("host"), F.col("path"), rules, lambda r: F.lit(r.host + r.path)),
         "ruled": _first_fit(F.col("host"), F.col("path"), rules, lambda r: F.lit(r.verdict)),
     })
     if training is None:
-        known = rows.where(F.col("ruled").isNotNull()).select("host", "path", (F.col("ruled") == "allow").alias("good"))
+        known = rows.where(F.col("ruled").isNotNull()).select("text", (F.col("ruled") == "allow").alias("good"))
     else:
         known = parts(training.where("good is not null"), "good")
-    known = known.select("good", grams(F.concat("host", "path")).alias("triples"), (F.pmod(F.xxhash64("host", "path"), F.lit(10)) == 0).alias("held"))
+    known = known.select("good", grams(F.col("text")).alias("triples"), (F.pmod(F.xxhash64("text"), F.lit(10)) == 0).alias("held"))
     counted = known.where("not held").select("good", F.explode("triples").alias("gram")).groupBy("gram").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
     model = _model(counted)
     # the array stands beside the rows as a subquery's value; a subquery may not stand inside a lambda
     held = known.where("held").withColumn("model", model.scalar())
     threshold = _threshold(held.select("good", _score(F.col("triples"), F.col("model")).alias("score")))
-    scored = rows.withColumn("model", model.scalar()).withColumn("score", _score(grams(F.concat("host", "path")), F.col("model")))
+    scored = rows.withColumn("model", model.scalar()).withColumn("score", _score(grams(F.col("text")), F.col("model")))
     verdict = F.coalesce("ruled", F.when(F.col("score") >= threshold.scalar(), "allow").otherwise("block"))
     return scored.select(id_column, "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -247,6 +247,15 @@ def test_url_model_tells_the_classes_apart(spark):
     assert {r.page_id: r.verdict for r in urls.judge(pages, training, rules=()).collect()} == {1: "allow", 2: "block"}
 
 
+def test_url_model_reads_query_fragment_and_urls_without_scheme(spark):
+    good = [(f"http://site{i}.org/p?guide=page{i}", True) for i in range(200)]
+    bad = [(f"http://site{i}.org/p?casino=bonus{i}", False) for i in range(200)]
+    training = spark.createDataFrame(good + bad, "url string, good boolean")
+    asked = ["http://site.org/p?guide=page", "http://site.org/p?casino=bonus", "http://site.org/p#guide=page", "http://site.org/p#casino=bonus", "site.org/p?guide=page", "site.org/p?casino=bonus"]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge(pages, training, rules=()).collect()} == {i: ("allow", "block")[i % 2] for i in range(6)}
+
+
 # Licenses
 
 
