@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import hashlib
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -56,12 +57,33 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that begin like ``names`` and clash with no column of ``df``, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set (tests)."""
+    """The shared folder that ``spark.checkpoint.dir`` names. Where it is unset, a folder of our own on a
+    local master, which has one machine; an error elsewhere, as executors share no local folder."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "/tmp/faultline-checkpoints"
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"{tempfile.gettempdir()}/faultline-checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

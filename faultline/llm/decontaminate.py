@@ -5,10 +5,12 @@ consecutive item words; an item of one to nine words is one window. Each block o
 most ``BLOCK_WORDS`` words, a fixed bound) is broadcast as: its vocabulary, and the sorted hashes of
 its windows. A document becomes an array of vocabulary numbers; its window hashes are looked up and
 every hit is verified word by word. A benchmark beyond one block takes further blocks, each against
-all documents, and the hits of a document are united afterwards: nothing is dropped at any size.
+all documents, and the hits of a document are united afterwards: nothing is dropped at any size. An
+item longer than a block is cut into parts that overlap by all but one word of a window.
 
-Null and empty texts have no words, so they are clean; null or wordless items have no windows;
-repeated items both count; an empty benchmark leaves every document clean.
+Null and empty texts have no words, so they are clean; null or wordless items have no windows. Rows of
+one item id are one item. Items of a null id are one item that is counted but has no name in the list.
+An empty benchmark leaves every document clean. Extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from faultline.llm.common import arrow_map, checkpoint_dir
+from faultline.llm.common import arrow_map, checkpoint_dir, fresh
 
 WINDOW = 10
 #: Benchmark words in one broadcast block (about 100 bytes each once indexed).
@@ -64,7 +67,7 @@ class Index:
     def hits(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit word ranges (start, end) and the numbers of the items, of one document."""
         ids = np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
-        ranges: list[tuple[int, int]] = []
+        starts: list[tuple[int, int]] = []
         items: set[int] = set()
         for n, known in self.sorted.items():
             if len(ids) < n:
@@ -79,11 +82,8 @@ class Index:
             for i in at.tolist():
                 if (owners := holders.get(tuple(ids[i : i + n].tolist()))) is not None:
                     items.update(owners)
-                    if ranges and ranges[-1][1] >= i >= ranges[-1][0]:
-                        ranges[-1] = (ranges[-1][0], i + n)
-                    else:
-                        ranges.append((i, i + n))
-        return ranges, items
+                    starts.append((i, i + n))
+        return united(starts), items
 
 
 def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -100,27 +100,32 @@ def blocks(benchmark: DataFrame, item_column: str = "item_id", text_column: str
     """The benchmark in blocks of bounded size, read partition by partition."""
     block: list[tuple[object, list[bytes]]] = []
     size = 0
+    most = max(BLOCK_WORDS, WINDOW)
     for item, text in benchmark.select(item_column, text_column).toLocalIterator():
-        if not (found := words(text)):
-            continue
-        if block and size + len(found) > BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-        block.append((item, found))
-        size += len(found)
+        found = words(text)
+        for start in range(0, max(len(found) - WINDOW, 0) + 1, most - WINDOW + 1) if found else ():
+            part = found[start : start + most]
+            if block and size + len(part) > most:
+                yield block
+                block, size = [], 0
+            block.append((item, part))
+            size += len(part)
     if block:
         yield block
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, text_column: str, drop_share: float | None) -> DataFrame:
-    """All rows with ``_words``, ``_ranges`` (flat pairs, united) and ``_items`` (as strings); with a
-    ``drop_share``, the rows and columns as they came with the ranges cut out instead.
+def _marked(docs: DataFrame, benchmark: DataFrame, text_column: str, drop_share: float | None) -> tuple[DataFrame, list[str]]:
+    """All rows with three more columns, whose names come too: the number of words, the hit ranges (flat
+    pairs, united) and the hit items (distinct, as strings). With a ``drop_share``, the rows and columns as
+    they came with the ranges cut out instead.
 
     One pass over the rows for each block; between passes the rows go to the checkpoint folder, so
     that a task never holds more than one block. The cut happens inside the last pass: a stage of one
     Python function needs one worker for each task.
     """
-    rows = docs.withColumns({"_words": F.lit(0).cast("long"), "_ranges": F.lit([]).cast("array<bigint>"), "_items": F.lit([]).cast("array<string>")})
+    kinds = {"words": F.lit(0).cast("long"), "ranges": F.lit([]).cast("array<bigint>"), "items": F.lit([]).cast("array<string>")}
+    added = fresh(docs, *kinds)
+    rows = docs.select("*", *(column.alias(name) for column, name in zip(kinds.values(), added)))
     each = blocks(benchmark)
     block = next(each, [])
     while block is not None:
@@ -130,7 +135,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, text_column: str, drop_share:
             checkpoint_dir(docs.sparkSession)
             rows = rows.checkpoint()
         block = after
-    return rows
+    return rows, added
 
 
 def _pass(rows: DataFrame, block: list, text_column: str, last: bool, drop_share: float | None) -> DataFrame:
@@ -138,7 +143,7 @@ def _pass(rows: DataFrame, block: list, text_column: str, last: bool, drop_share
     fields, at = rows.columns, rows.columns.index(text_column)
     own = len(fields) - 3
     cutting = last and drop_share is not None
-    out = rows.select(*fields[:own]).schema if cutting else rows.drop(text_column).schema if last else rows.schema
+    out = T.StructType(rows.schema.fields[:own]) if cutting else T.StructType([f for k, f in enumerate(rows.schema.fields) if k != at or not last])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -154,7 +159,8 @@ def _pass(rows: DataFrame, block: list, text_column: str, last: bool, drop_share
                     continue
                 n_words.append(len(found))
                 ranges.append([x for pair in pairs for x in pair])
-                items.append([*held, *(str(index.items[k]) for k in owners)])
+                named = dict.fromkeys(index.items[k] for k in owners)
+                items.append(list(dict.fromkeys([*held, *(None if k is None else str(k) for k in named)])))
             if cutting:
                 columns = list(batch.columns[:own])
                 columns[at] = pa.array(texts, pa.string())
@@ -162,23 +168,24 @@ def _pass(rows: DataFrame, block: list, text_column: str, last: bool, drop_share
                 continue
             columns = [*batch.columns[:own], pa.array(n_words, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
             done = pa.RecordBatch.from_arrays(columns, fields)
-            yield done.drop_columns([text_column]) if last else done
+            yield done.select([k for k in range(len(fields)) if k != at]) if last else done
 
     return arrow_map(rows, work, out, text_column)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: id, n_words, n_hit, n_items, items (sorted as strings), contaminated. No shuffle."""
-    starts = F.filter("_ranges", lambda x, k: k % 2 == 0)
-    ends = F.filter("_ranges", lambda x, k: k % 2 == 1)
+    rows, (n_words, ranges, items) = _marked(docs.select(id_column, text_column), benchmark, text_column, None)
+    starts = F.filter(ranges, lambda x, k: k % 2 == 0)
+    ends = F.filter(ranges, lambda x, k: k % 2 == 1)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return _marked(docs.select(id_column, text_column), benchmark, text_column, None).select(
+    return rows.select(
         id_column,
-        F.col("_words").alias("n_words"),
+        F.col(n_words).alias("n_words"),
         (total(ends) - total(starts)).alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.array_sort("_items").alias("items"),
-        (F.size("_ranges") > 0).alias("contaminated"),
+        F.size(items).cast("long").alias("n_items"),
+        F.array_sort(F.array_compact(items)).alias("items"),
+        (F.size(ranges) > 0).alias("contaminated"),
     )
 
 
@@ -201,4 +208,4 @@ def _cut(text: str, ranges: list[tuple[int, int]]) -> str:
 def remove(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", drop_share: float = 0.5) -> DataFrame:
     """The documents without benchmark passages: hit spans are cut out; a document of which at least
     ``drop_share`` of the words are hit goes as a whole. Rows stay apart (no join on an id)."""
-    return _marked(docs, benchmark, text_column, drop_share)
+    return _marked(docs, benchmark, text_column, drop_share)[0]
