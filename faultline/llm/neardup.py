@@ -16,7 +16,9 @@ on the shingle sets; with the parameters here a pair at the threshold misses all
 probability below 1e-8.
 
 Rows without words have an empty set and link with nothing. Rows with a null id are measured, but get
-no component and are not kept. Repeated rows get equal results. An empty table gives an empty result.
+no component and are not kept. A node of the graph is a class of equal sets, not an id: rows that share
+an id but not the text stand apart, and repeated rows get equal results. An empty table gives an empty
+result. Tables that only the computation needs are deleted before it returns.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import arrow_map, checkpoint_dir
+from faultline.llm.common import arrow_map, checkpoint_dir, discard, fresh
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,8 @@ class Parameters:
 STRICT, LOOSE = Parameters(), Parameters(5, 80, 40, 4)
 #: Classes, and shingles, in one block of a bucket, about.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: Members of a bucket that are dealt to one task together, about.
+DEALT = 256
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _EMPTY = np.uint64(2**64 - 1)
@@ -100,30 +104,36 @@ def band_keys(coordinates: np.ndarray, p: Parameters) -> np.ndarray:
     return keys
 
 
+def _mark(text_column: str) -> Column:
+    """With the id, what tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("mark")
+
+
 def _profiles(docs: DataFrame, id_column: str, text_column: str, p: Parameters) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit sums that stand for the set, band keys (none for an empty set)."""
+    """doc_id, mark, n_shingles, two 64-bit sums that stand for the set, band keys (none for an empty set)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, p.words) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t, p.words) for t in batch.column(2).to_pylist()]
             full = [s for s in sets if len(s)]
             keys = iter(band_keys(sketches(full, p.bands * p.rows), p).view(np.int64))
             sums = [np.array([mix(s + np.uint64(k)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for k in (1, 2)]
             keyed = [next(keys) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x) for x in sums), pa.array(keyed, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x) for x in sums), pa.array(keyed, pa.list_(pa.int64()))], ["doc_id", "mark", "n_shingles", "set_a", "set_b", "keys"])
 
-    return arrow_map(docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column), work, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>", text_column)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), _mark(text_column), F.col(text_column).alias("text"))
+    return arrow_map(rows, work, "doc_id bigint, mark bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>", "text")
 
 
-def _sets(docs: DataFrame, id_column: str, text_column: str, p: Parameters) -> DataFrame:
-    """doc_id and the full shingle set as array<bigint>."""
+def _sets(texts: DataFrame, p: Parameters) -> DataFrame:
+    """node and the full shingle set as array<bigint>, of rows (node, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, p.words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    return arrow_map(docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column), work, "doc_id bigint, set array<bigint>", text_column)
+    return arrow_map(texts.select("node", "text"), work, "node bigint, set array<bigint>", "text")
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -197,56 +207,83 @@ def _forest(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def classes(docs: DataFrame, p: Parameters = STRICT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest id reachable), kept."""
+#: What stands for a shingle set: two sums over it and its size.
+_SAME = ["set_a", "set_b", "n_shingles"]
+
+
+def _grouped(docs: DataFrame, p: Parameters, id_column: str, text_column: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(profiles, groups): the rows' profiles, and one row for each class of equal non-empty sets: the sums,
+    rep (its row of the smallest id, as id and mark), and component, an arbitrary number."""
     spark = docs.sparkSession
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/neardup-{uuid.uuid4().hex}"
-    held = lambda df, name: (df.write.parquet(f"{folder}/{name}"), spark.read.parquet(f"{folder}/{name}"))[1]
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
 
     profiles = held(_profiles(docs, id_column, text_column, p), "profiles")
-    same = ["set_a", "set_b", "n_shingles"]
     named = profiles.where("n_shingles > 0 and doc_id is not null")
-    group = held(named.groupBy(*same).agg(F.min("doc_id").alias("rep")), "groups")
+    first = named.groupBy(*_SAME).agg(F.min(F.struct("doc_id", "mark", "keys")).alias("rep"))
+    group = held(first.select(F.monotonically_increasing_id().alias("node"), *_SAME, F.col("rep.doc_id").alias("doc_id"), F.col("rep.mark").alias("mark"), F.col("rep.keys").alias("keys")), "groups")
 
-    # Only the class's own row goes on, found by its id; band rows are (band key, id).
-    reps = named.join(group, [*(named[c] == group[c] for c in same), named.doc_id == group.rep], "left_semi").select("doc_id", "keys", "n_shingles")
-    rows = held(reps.dropDuplicates(["doc_id"]).select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("size")), "rows")
-    buckets = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    # Band rows are (band key, node). A bucket's members are dealt by key and a hash of their node.
+    rows = held(group.select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("size")), "rows")
+    buckets = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = held(rows.join(buckets, "key"), "members")
 
-    pairs = members.where("id <> hub").select("hub", "id").distinct()
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = held(_sets(docs.join(wanted, docs[id_column].cast("long") == wanted.doc_id, "left_semi"), id_column, text_column, p).dropDuplicates(["doc_id"]), "sets")
-    left = sets.select(F.col("doc_id").alias("id"), F.col("set").alias("mine"))
-    right = sets.select(F.col("doc_id").alias("hub"), F.col("set").alias("theirs"))
+    pairs = members.where("node <> hub").select("hub", "node").distinct()
+    wanted = group.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark"))
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), _mark(text_column), F.col(text_column).alias("text"))
+    texts = texts.join(wanted, (texts.doc_id == wanted.its_id) & (texts.mark == wanted.its_mark))
+    sets = held(_sets(texts, p).dropDuplicates(["node"]), "sets")
+    left = sets.select("node", F.col("set").alias("mine"))
+    right = sets.select(F.col("node").alias("hub"), F.col("set").alias("theirs"))
     fits = F.least(F.size("mine"), F.size("theirs")) * 100 >= F.greatest(F.size("mine"), F.size("theirs")) * p.percent
     inter = F.size(F.array_intersect("mine", "theirs"))
-    links = pairs.join(left, "id").join(right, "hub").where(fits & (100 * inter >= p.percent * (F.size("mine") + F.size("theirs") - inter)))
-    stars = held(links.select(F.col("hub").alias("a"), F.col("id").alias("b")), "stars")
+    links = pairs.join(left, "node").join(right, "hub").where(fits & (100 * inter >= p.percent * (F.size("mine") + F.size("theirs") - inter)))
+    stars = held(links.select(F.col("hub").alias("a"), F.col("node").alias("b")), "stars")
     first = held(components(stars, f"{folder}/first"), "labels")
 
     # What the hubs leave open: buckets whose other members lie in two or more components.
-    others = members.where("n > 2 and id <> hub").join(first, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("label"))
-    others = held(others, "others")
-    open_ = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum("size").alias("shingles")).where("low < high")
-    open_ = open_.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
-    placed = others.join(open_, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    blocks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", "id", "label", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    blocks = blocks.join(sets.withColumnRenamed("doc_id", "id"), "id")
+    others = members.where("n > 2 and node <> hub").join(first, members.node == first.id, "left").select("key", "node", "size", "n", F.coalesce("component", "node").alias("label"))
+    deals = F.ceil(F.col("n") / DEALT).cast("int")
+    others = held(others.withColumn("deal", F.pmod(F.xxhash64("node"), deals).cast("int")), "others")
+    open_ = others.groupBy("key", "n").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum("size").alias("shingles")).where("low < high")
+    open_ = open_.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("chunks"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
+    placed = others.join(open_, ["key", "deal"]).withColumn("chunk", F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int"))
+    blocks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.col("node").alias("id"), "label", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    blocks = blocks.join(sets.withColumnRenamed("node", "id"), "id")
     percent = p.percent
     rest = held(blocks.groupBy("key", "i", "j").applyInArrow(lambda t: _forest(t, percent), "a bigint, b bigint"), "rest")
-    final = components(stars.union(rest), f"{folder}/final") if not rest.isEmpty() else first
+    final = held(components(stars.union(rest), f"{folder}/final"), "components") if not rest.isEmpty() else first
 
-    named_groups = group.join(final, group.rep == final.id, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    out = profiles.join(named_groups, same, "left")
+    groups = held(group.join(final, group.node == final.id, "left").select(*_SAME, "doc_id", "mark", F.coalesce("component", "node").alias("component")), "classes")
+    for name in ("groups", "rows", "members", "sets", "stars", "first", "labels", "others", "rest", "final", "components"):
+        discard(spark, f"{folder}/{name}")
+    return profiles, groups
+
+
+def _folder(docs: DataFrame) -> str:
+    return f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/neardup-{uuid.uuid4().hex}"
+
+
+def classes(docs: DataFrame, p: Parameters = STRICT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest id reachable), kept."""
+    profiles, groups = _grouped(docs, p, id_column, text_column, _folder(docs))
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = profiles.join(groups.join(least, "component").select(*_SAME, "component_id"), _SAME, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, p: Parameters = LOOSE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each group, that of the smallest id (one row of it); all columns as they came.
-    Rows with a null id cannot be named in a group: they stay."""
-    kept = classes(docs, p, id_column, text_column).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    mine = Window.partitionBy(id_column).orderBy(F.xxhash64(text_column), text_column)
-    chosen = docs.join(kept, docs[id_column].cast("long") == kept["_kept"], "left_semi").withColumn("_row", F.row_number().over(mine)).where("_row = 1").drop("_row")
-    return chosen.unionByName(docs.where(F.col(id_column).isNull()))
+    """One row of each group, of its smallest id (of equal ids, the text of the smallest hash); all columns
+    as they came. Rows with a null id cannot be named in a group, and rows without words are in none: they stay."""
+    _, groups = _grouped(docs, p, id_column, text_column, _folder(docs))
+    best = groups.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
+    number, mark, row, its_number, its_mark = fresh(docs, "number", "mark", "row", "its_number", "its_mark")
+    best = best.select(F.col("best.doc_id").alias(its_number), F.col("best.mark").alias(its_mark))
+    rows = docs.select("*", F.col(id_column).cast("long").alias(number), _mark(text_column).alias(mark))
+    once = Window.partitionBy(number, mark).orderBy(number)
+    kept = rows.join(best, [F.col(number) == F.col(its_number), F.col(mark) == F.col(its_mark)], "left_semi").withColumn(row, F.row_number().over(once)).where(F.col(row) == 1).drop(number, mark, row)
+    wordless = ~F.coalesce(F.col(text_column), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.unionByName(docs.where(F.col(id_column).isNull() | wordless))
