@@ -183,6 +183,42 @@ def test_decontamination_in_blocks_short_items_and_removal(spark, docs, edge, no
     assert decontaminate.digest(edge, bench.limit(0)).count() == edge.count() and decontaminate.digest(none, bench).count() == 0
 
 
+def brute_hits(words, items):
+    """Hit positions and the owners, by plain search of every window of every item."""
+    hit, owners = set(), set()
+    for item, found in items:
+        n = min(10, len(found))
+        for k in range(len(found) - n + 1 if n else 0):
+            for i in range(len(words) - n + 1):
+                if words[i : i + n] == found[k : k + n]:
+                    hit.update(range(i, i + n))
+                    owners.add(item)
+    return hit, owners
+
+
+def test_decontamination_of_items_of_all_lengths(spark, monkeypatch):
+    rng = random.Random(6)
+    some = lambda low, high: " ".join(rng.choices(["a", "B", "c", "é"], k=rng.randint(low, high)))
+    items = [(rng.choice([*range(6), None]), rng.choice([None, "", some(1, 4), some(3, 9), some(10, 16)])) for _ in range(12)]
+    items += [(7, " ".join(f"w{i}" for i in range(20))), (8, "w4 W5 w6")]
+    texts = [(i % 150, some(0, 60), "x", 1, None) for i in range(200)] + [(500, " ".join(f"w{i}" for i in range(20)), "x", 1, None), (None, "w4 w5 w6", "x", 1, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, words string, Ranges int, items string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    known = [(item, WORD.findall(low(text))) for item, text in items]
+    want = []
+    for d, text, *_ in texts:
+        words = WORD.findall(low(text))
+        hit, owners = brute_hits(words, known)
+        names = ",".join(sorted(str(o) for o in owners if o is not None))
+        want.append((d, len(words), len(hit), len(owners), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
+    for size in (decontaminate.BLOCK_WORDS, 15):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", size)
+        assert sorted(map(tuple, decontaminate.digest(docs, bench).collect()), key=str) == sorted(want, key=str)
+        kept = decontaminate.remove(docs, bench, drop_share=2.0)
+        assert kept.columns == docs.columns and kept.count() == len(texts)
+        assert {r.doc_id: r.text for r in kept.collect()}[500] == ""
+
+
 # BPE
 
 
@@ -360,12 +396,23 @@ def test_sketch_fills_and_estimates():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.035
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (2, b + " more"), (3, c), (3, c), (4, ""), (4, ""), (None, a)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, number int, Mark string")
+    found = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.classes(docs).collect())
+    assert found == Counter({(1, 1, True): 2, (2, 1, False): 2, (3, 3, True): 2, (4, 4, True): 2, (None, None, False): 1})
+    kept = neardup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (1, b), (3, c), (4, ""), (4, ""), (None, a)])
+
+
 def test_near_duplicate_edges(spark, edge, none):
     rows = spark.createDataFrame([(None, "a b c d", 1), (1, "a b c d", 2), (2, "a b c d", 3), (2, "a b c d", 3)], "doc_id long, text string, kept int")
     found = sorted(map(tuple, neardup.classes(rows).collect()), key=str)
     assert found == sorted([(None, 2, None, False), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False)], key=str)
     kept = neardup.keep_first(rows)
-    assert kept.columns == rows.columns and sorted(map(tuple, kept.collect()), key=str) == [(1, "a b c d", 2), (None, "a b c d", 1)]
+    assert kept.columns == rows.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(1, "a b c d"), (None, "a b c d")]
     assert neardup.classes(none).count() == 0
 
 
@@ -376,16 +423,35 @@ def test_warc_round_trip(spark, tmp_path):
     long = "<p>" + "é" * 800 + "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
     rows = [(1, "http://a/", long, 1), (2, "http://b/", long, 1), (3, None, None, 1), (4, "u\r\nX: y", "short", 1), (5, "u", "short", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, response int")
+    again = pages.unionByName(spark.createDataFrame([(None, "u", long, 1), (None, "u", long, 1), (5, "u", "other", 1), (5, "u", "short", 1), (1, "x", "é" * 700, 1)], pages.schema))
+    told = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.digest(again).collect())
+    size = len(long.encode())
+    assert told == Counter({(1, size, "revisit", 2): 1, (2, size, "response", None): 1, (None, size, "response", None): 2, (3, 0, "response", None): 1, (4, 5, "response", None): 1, (5, 5, "response", None): 3, (1, 1400, "response", None): 1})
     found = {r.page_id: r for r in warc.digest(pages).collect()}
     assert (found[1].record_type, found[1].refers_to, found[2].record_type, found[2].refers_to) == ("revisit", 2, "response", None)
     assert found[1].payload_digest == hashlib.sha1(long.encode()).hexdigest() and found[1].payload_bytes == len(long.encode())
     assert found[3].payload_bytes == 0 and found[4].record_type == found[5].record_type == "response"
-    nested = {r.capture: r for r in warc.round_trip(pages).collect()}
+    nested = {r.response.page: r for r in warc.round_trip(pages).collect()}
     assert len(nested) == 5 and all(r.request and r.response and r.metadata for r in nested.values())
-    assert nested["<urn:page:response:2>"].response.body == long
+    assert nested[2].response.body == long and nested[1].response.refers_to == nested[2].capture
     assert warc.digest(pages.limit(0)).count() == 0
 
 
+def test_archives_are_read_in_pieces(monkeypatch):
+    import gzip
+
+    record = lambda body: b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <x>\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    bodies = [b"", b"\r\n\r\nWARC/1.1\r\n", "é".encode() * 5000, b"x"]
+    one = gzip.compress(b"".join(map(record, bodies)))
+    for data in (one, one + one, b"".join(gzip.compress(record(b)) for b in bodies)):
+        for piece in (1, 7, 1 << 18):
+            monkeypatch.setattr(warc, "PIECE", piece)
+            found = [r[-1].encode() for r in warc._parse(warc._inflated(data))]
+            assert found == bodies * (len(found) // 4) and found
+    with pytest.raises(ValueError):
+        list(warc._parse(warc._inflated(one[:-30])))
+
+
 # Chat
 
 
