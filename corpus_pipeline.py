@@ -27,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
+    """One document of each group of near duplicates stays, that of the smallest id; unlike texts of one id stay apart."""
     return neardup.keep_first(docs, neardup.LOOSE)
 
 
@@ -54,7 +54,7 @@ STAGES = [
     ("encode", encoding_stage),
 ]
 
-#: SQL cannot express the forest, the sketches' graph or the tokenizer; tests hold each stage against brute force.
+#: SQL cannot express the forest or the tokenizer; the tests hold every stage against a brute-force version of it.
 ORACLE_SQL = None
 
 
