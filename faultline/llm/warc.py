@@ -33,7 +33,7 @@ from faultline.llm.common import checkpoint_dir
 
 #: Bytes of a payload that may be a revisit, at least; bytes of payloads in an archive file, about; bytes
 #: that are inflated, and that are passed on, at once.
-MIN_REVISIT, FILE_BYTES, PIECE, SLICE = 1000, 32_000_000, 1 << 18, 4_000_000
+MIN_REVISIT, FILE_BYTES, PIECE, SLICE = 1000, 16_000_000, 1 << 18, 4_000_000
 #: Fixed values of the format.
 CRLF, END = "\r\n", "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -73,7 +73,7 @@ def records(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     shared = narrow.groupBy("digest", "size").agg(F.max("page").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = narrow.join(shared, ["digest", "size"]).where("page < last").select("at", "digest", "last").distinct()
     files = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // FILE_BYTES))
-    rows = rows.repartition(files, "at").join(revisits, ["at", "digest"], "left")
+    rows = rows.repartition(files, "at", "digest").join(revisits, ["at", "digest"], "left")
     repeats = Window.partitionBy("at", "digest").orderBy("target")
     rows = rows.withColumn("name", _name(F.col("page"), F.col("digest"), F.row_number().over(repeats)))
 
