@@ -7,16 +7,22 @@ then one of 32^3 numbers, a bound that no input moves, and travels as one scalar
 is the mean ratio over its symbols (length-normalised); the threshold is calibrated on a tenth of the
 training URLs, by hash, that the counts leave out.
 
-Without training URLs of their own, the URLs that a rule decides are the training set. All of them are
-counted. A null URL, or one without ``://``, has an empty host and path; the models read the whole URL
-after its scheme, or all of it without one, and a null one as the empty string. With an empty table the result is empty. Repeated URLs get equal verdicts.
+Training URLs may be given. Otherwise every URL of the table is one: it counts as rejected if its host
+or path holds a word of UNWANTED between separators, as accepted if not. The rules take no part in this,
+so their hosts and languages teach the models nothing. Seed URLs made from UNWANTED and WANTED by one
+pattern stand beside the table, so that both models exist where it holds no unwanted URL. All URLs are
+counted, so what the models gather grows with the table.
+
+A null URL, or one without ``://``, has an empty host and path; the models read the whole URL after its
+scheme, or all of it without one, and a null one as the empty string. With an empty table the result is
+empty. Repeated URLs get equal verdicts. Only the id and the URL are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SYMBOLS, EDGE = 32, 31
@@ -44,6 +50,28 @@ RULES = (
 )
 
 
+# Words of unwanted sites, and of ordinary ones for the seed URLs.
+UNWANTED = (
+    "adult", "ads", "bet", "bets", "betting", "bingo", "bonus", "cams", "casino", "cheap", "cialis", "clickbait", "crack", "dating", "escort", "gamble", "gambling", "jackpot", "keygen", "loan", "loans",
+    "lottery", "malware", "nude", "payday", "pharmacy", "phish", "pills", "poker", "popup", "porn", "replica", "roulette", "sex", "slots", "spam", "spyware", "torrent", "track", "tracker", "viagra", "warez", "xxx",
+)
+WANTED = (
+    "about", "archive", "article", "blog", "book", "city", "college", "community", "docs", "education", "events", "forum", "garden", "guide", "health", "help", "history", "home", "journal", "kitchen", "lab", "learn",
+    "library", "magazine", "map", "museum", "music", "nature", "news", "park", "people", "press", "project", "recipes", "research", "river", "school", "science", "stories", "street", "travel", "university", "weather",
+)
+
+
+def unwanted(url: Column) -> Column:
+    """A word of UNWANTED stands between separators in the host or the path."""
+    return F.concat(host_of(url), path_of(url)).rlike(rf"(?i)(?<![A-Za-z0-9])({'|'.join(UNWANTED)})(?![A-Za-z0-9])")
+
+
+def seed_urls(spark: SparkSession) -> DataFrame:
+    """url, good: each word in a host beside another word of its list."""
+    hosts = [(f"{word}-{words[(k + 1) % len(words)]}", good) for words, good in ((UNWANTED, False), (WANTED, True)) for k, word in enumerate(words)]
+    return spark.createDataFrame(hosts, "host string, good boolean").select(F.concat(F.lit("https://"), "host", F.lit("/")).alias("url"), "good")
+
+
 def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(_rest(url), r"^[^/?#]*", 0), _UPPER, _LOWER)
 
@@ -132,9 +160,9 @@ def judge(pages: DataFrame, training: DataFrame | None = None, rules: tuple[Rule
         "ruled": _first_fit(F.col("host"), F.col("path"), rules, lambda r: F.lit(r.verdict)),
     })
     if training is None:
-        known = rows.where(F.col("ruled").isNotNull()).select("text", (F.col("ruled") == "allow").alias("good"))
-    else:
-        known = parts(training.where("good is not null"), "good")
+        url = F.col(url_column)
+        training = pages.select(url_column, (~F.coalesce(unwanted(url), F.lit(False))).alias("good")).where(url.isNotNull() & (url != "")).unionByName(seed_urls(pages.sparkSession).withColumnRenamed("url", url_column))
+    known = parts(training.where("good is not null"), "good")
     known = known.select("good", grams(F.col("text")).alias("triples"), (F.pmod(F.xxhash64("text"), F.lit(10)) == 0).alias("held"))
     counted = known.where("not held").select("good", F.explode("triples").alias("gram")).groupBy("gram").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
     model = _model(counted)
