@@ -27,11 +27,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
