@@ -66,8 +66,14 @@ def test_secret_extra_kinds_and_code_points():
 def test_secret_digest_and_redaction(spark, edge, none, docs):
     rows = {r.doc_id: r for r in secrets.digest(docs).collect()}
     for d, text in docs.collect():
-        spans = [(BASE[k][0], s, e) for s, e, k in brute_secrets((text or "").encode())]
-        assert rows[d].n_assign == sum(k == "assign" for k, _, _ in spans)
+        data = (text or "").encode()
+        at = lambda n, data=data: len(data[:n].decode())
+        spans = [(BASE[k][0], at(s), at(e)) for s, e, k in brute_secrets(data)]
+        assert [getattr(rows[d], f"n_{kind}") for kind, _, _ in BASE] == [sum(k == kind for k, _, _ in spans) for kind, _, _ in BASE]
+        told = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        assert rows[d].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        kinds = {kind for kind, _, _ in BASE}
+        assert [x for x in rows[d].spans.split(",") if x.split(":")[0] in kinds] == told.split(",") * bool(told) or not told
     assert secrets.digest(edge).count() == edge.count() and secrets.digest(none).count() == 0
     cleaned = secrets.redact(edge)
     assert cleaned.columns == edge.columns
@@ -138,6 +144,31 @@ def test_forest_learns_and_keeps_its_constraints():
     assert quality.fit(x, np.ones(3000, bool)) is None
 
 
+def walked(forest, x):
+    """The probability of one row, node by node and tree by tree."""
+    total = forest.bias
+    inner = forest.feature.shape[1]
+    for feature, cut, leaf in zip(forest.feature, forest.cut, forest.leaf):
+        at = 0
+        while at < inner:
+            at = 2 * at + (2 if x[feature[at]] > cut[at] else 1)
+        total += leaf[at - inner]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_quality_verdicts_against_tree_walks(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    forest = quality.train(docs, labels)
+    assert forest is not None
+    rows = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    for d, text in docs.collect():
+        n, _, _, _, repeats = brute_statistics(text)
+        failed = n < 20 or 100 * repeats > 30 * n
+        p = walked(forest, quality.statistics(text)[1])
+        assert rows[d].base_failed == failed and abs(rows[d].probability - p) < 1e-9
+        assert rows[d].kept == (not failed and p >= forest.threshold)
+
+
 def test_quality_judge_edges(spark, sf, edge, none):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = {r.doc_id: r for r in quality.judge(edge, labels).collect()}
@@ -292,6 +323,65 @@ def test_url_model_reads_query_fragment_and_urls_without_scheme(spark):
     assert {r.page_id: r.verdict for r in urls.judge(pages, training, rules=()).collect()} == {i: ("allow", "block")[i % 2] for i in range(6)}
 
 
+def brute_url_scores(known, asked):
+    """Witten-Bell models of orders 0 to 2 over the folded alphabet, straight from the counts."""
+    from math import log
+
+    alphabet = urls._ALPHABET
+
+    def codes(text):
+        folded = re.sub("[0-9]", "0", low(text))
+        return [alphabet.index(c) if c in alphabet else 30 for c in folded]
+
+    def triples(text):
+        c = [urls.EDGE, urls.EDGE, *codes(text), urls.EDGE]
+        return list(zip(c, c[1:], c[2:]))
+
+    models = []
+    for good in (True, False):
+        three = Counter(t for text, label in known if label == good for t in triples(text))
+        two, one = Counter(), Counter()
+        for (_, b, c), n in three.items():
+            two[b, c] += n
+            one[c] += n
+
+        def p(t, three=three, two=two, one=one):
+            a, b, c = t
+            p0 = (one[c] + 1) / (sum(one.values()) + urls.SYMBOLS)
+            follow = {k: n for k, n in two.items() if k[0] == b}
+            p1 = (two[b, c] + len(follow) * p0) / (sum(follow.values()) + len(follow)) if follow else p0
+            follow = {k: n for k, n in three.items() if k[:2] == (a, b)}
+            return (three[t] + len(follow) * p1) / (sum(follow.values()) + len(follow)) if follow else p1
+
+        models.append(p)
+    return [sum(log(models[0](t)) - log(models[1](t)) for t in triples(x)) / len(triples(x)) for x in asked]
+
+
+def test_url_scores_against_brute_force(spark):
+    rng = random.Random(8)
+    made = lambda words: "https://" + "-".join(rng.choices(words, k=2)) + f".org/É{rng.randint(0, 99)}?q=_"
+    rows = [(made(["news", "park", "lab"]), True) for _ in range(60)] + [(made(["win", "casino", "lab"]), False) for _ in range(60)]
+    training = spark.createDataFrame(rows, "url string, good boolean")
+    hashed = training.withColumn("held", chat.F.pmod(chat.F.xxhash64(urls._text(chat.F.col("url"))), chat.F.lit(10)) == 0)
+    known = [(r.url.split("://")[1], r.good) for r in hashed.where("not held").collect()]
+    asked = ["https://park-news.org/1", "x", "http://casino.biz/É?", None, "https://win-win.org/"]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string").withColumn("score", chat.F.lit("other"))
+    found = {r.page_id: r.score for r in urls.judge(pages, training, rules=()).collect()}
+    want = brute_url_scores(known, [(u or "").split("://")[-1] for u in asked])
+    assert [found[i] for i in range(len(asked))] == pytest.approx(want, abs=1e-9)
+
+
+def test_urls_label_themselves_and_rules_come_first(spark):
+    rows = [(i, f"https://www.garden{i % 7}.example.net/en/{i}") for i in range(120)] + [(200 + i, f"https://free-casino.example.org/de/{i}") for i in range(40)] + [(300, "https://casino.example.com/de/1"), (301, "https://garden.example.net/fr/1"), (302, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    found = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert {found[i].verdict for i in range(120)} == {"allow"} and {found[200 + i].verdict for i in range(40)} == {"block"}
+    assert (found[300].rule, found[300].verdict, found[301].rule, found[301].verdict) == ("com/", "allow", "net/fr/", "block")
+    assert found[302].verdict in ("allow", "block")
+    for url, bad in (("http://a.org/free-bets/x", True), ("http://alphabet.org/", False), ("http://x.org/a?casino=1", False), ("http://ADS.x.org", True)):
+        assert spark.range(1).select(urls.unwanted(chat.F.lit(url)).alias("v")).first().v == bad
+
+
 # Licenses
 
 
@@ -309,6 +399,48 @@ def test_license_places_and_templates(docs, edge, none):
     assert licenses.scan(edge).count() == edge.count() and licenses.scan(none).count() == 0
 
 
+def test_license_chains_against_brute_force():
+    """Labels and shares of edited templates, by the best ordered cover of common runs."""
+    scanner, rng = licenses.Scanner(), random.Random(11)
+
+    every = [(label, WORD.findall(low(t))) for t, label in licenses.PHRASES] + [(label, WORD.findall(low(t))) for label, t in licenses.TEMPLATES]
+
+    def longest(found, end):
+        """The longest run of words of any template that ends before ``end``."""
+        n = 0
+        while n < end and any(t[j : j + n + 1] == found[end - n - 1 : end] for _, t in every for j in range(len(t) - n)):
+            n += 1
+        return n
+
+    def brute(found):
+        """By label, the largest share covered by runs that are longest where they end, in the order of text and template."""
+        runs = [longest(found, end) for end in range(len(found) + 1)] + [0]
+        ends = [(end, n) for end, n in enumerate(runs[:-1]) if n >= licenses.MIN_RUN and runs[end + 1] != n + 1]
+        shares = {}
+        for label, t in every:
+            at = sorted((end, j + n, n) for end, n in ends for j in range(len(t) - n + 1) if t[j : j + n] == found[end - n : end])
+            best = []
+            for k, (end, stop, n) in enumerate(at):
+                best.append(max([n, *(best[m] + min(n, stop - s, end - e) for m, (e, s, _) in enumerate(at[:k]) if e < end and s < stop and end - n - e <= licenses.GAP)]))
+            if best:
+                shares[label] = max(shares.get(label, 0.0), min(1.0, max(best) / len(t)))
+        return shares
+
+    for _ in range(40):
+        words = WORD.findall(low(rng.choice(licenses.TEMPLATES)[1]))
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 8)] = rng.choices(["zzz", "the", "software"], k=rng.randint(0, 30))
+            words = words or ["x"]
+        assert scanner.scan(" ".join(words))[2] == pytest.approx(brute(words))
+
+
+def test_license_statements_add_their_labels(spark):
+    rows = spark.createDataFrame([(1, "x. Licensed under CC BY-NC 4.0. y", 1), (2, "Licensed under CC BY 4.0.", 1), (3, "cc by", 1)], "doc_id long, text string, labels int")
+    found = {r.doc_id: (r.base_labels, r.labels, [(s.label, s.start, s.end) for s in r.spans]) for r in licenses.scan(rows).collect()}
+    assert found == {1: ("cc-by", "cc-by,cc-by-nc", [("cc-by-nc", 1, 8)]), 2: ("cc-by", "cc-by", [("cc-by", 0, 6)]), 3: ("cc-by", "cc-by", [])}
+
+
 def test_suffix_automaton_matching_statistics():
     rng = random.Random(2)
     sequences = [[rng.randint(1, 3) for _ in range(12)] for _ in range(3)]
@@ -334,6 +466,28 @@ def test_field_on_held_out_pages():
     assert wrong < 0.02 * total
 
 
+def test_viterbi_finds_the_best_of_all_labellings():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        field = htmltext.Field(rng.normal(size=len(htmltext.NAMES)), rng.normal(size=(2, 2)))
+        found = [("x", frozenset(rng.integers(0, len(htmltext.NAMES), 2).tolist()), rng.integers(0, len(htmltext.NAMES), 3).tolist()) for _ in range(rng.integers(1, 9))]
+        emit = [field.weights[htmltext.NUMBER["bias"]] + sum(field.weights[f] for f in [*above, *own]) for _, above, own in found]
+
+        def value(labels, emit=emit, field=field):
+            return sum(e for e, y in zip(emit, labels) if y) + sum(field.steps[a][b] for a, b in zip(labels, labels[1:]))
+
+        assert value(field.labels(found)) == pytest.approx(max(map(value, product((0, 1), repeat=len(found)))))
+
+
+def test_html_extra_columns_and_long_pages(spark):
+    body = "<article><h1>T</h1>" + "<p>Some words of an article stand here.</p>" * 120_000 + "</article>"  # longer than a slice
+    rows = [(1, "u", body, "x"), (1, "u", body, "x"), (None, None, "<p>Only a line of text that says something.</p>", "x")]
+    found = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert len(found) == 3 and len({r.n_chars for r in found if r.page_id}) == 1 and found[0].n_chars == len(found[0].text) > 4_000_000
+
+
 def test_html_text_of_pages(spark):
     page = '<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- x --><div class="ad">Buy this now, it is on sale.</div><article><h1>A &amp; B</h1><p><b>One\n two<br><p>Three&nbsp;four</p></article><section class="comments"><p>Nice article, thank you.</p></section><footer>&copy; x</footer>'
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p"), (4, "u", "<p")]
@@ -473,6 +627,68 @@ def test_chat_formatting_is_reversible(spark):
     assert chat.digest(turns.limit(0)).count() == 1  # the probe alone
 
 
+def test_pipeline_stages_against_brute_force(spark, sf, library):
+    """Every stage on what the one before kept, by the plain versions above."""
+    import corpus_pipeline
+
+    labels, bench = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [(r.item_id, WORD.findall(low(r.text))) for r in bench.collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    frame = lambda kept: spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in kept.items()], docs.schema)
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+
+    forest = quality.train(docs, labels)
+    want = {}
+    for d, text in rows.items():
+        n, _, _, _, repeats = brute_statistics(text)
+        if n >= 20 and 100 * repeats <= 30 * n and walked(forest, quality.statistics(text)[1]) >= forest.threshold:
+            want[d] = text
+    assert texts(stages["quality"](spark, docs, sf)) == want
+    rows, kept = want, brute_components(want.items(), neardup.LOOSE)
+    want = {d: t for d, t in rows.items() if kept[d][2]}
+    assert texts(stages["neardup"](spark, frame(rows), sf)) == want
+
+    rows, want = want, {}
+    for d, text in rows.items():
+        found = list(WORD.finditer(low(text)))
+        hit, _ = brute_hits([m[0] for m in found], items)
+        if hit and 2 * len(hit) >= len(found):
+            continue
+        out, done = "", 0
+        for i in sorted(hit):
+            if i - 1 not in hit:
+                out += text[done : found[i].start()]
+            done = found[i].end()
+        want[d] = out + text[done:]
+    assert len(want) <= len(rows) and texts(stages["decontaminate"](spark, frame(rows), sf)) == want
+
+    rows, scanner = want, secrets._scanner(secrets.RULES)
+    for d, text in rows.items():
+        data = text.encode()
+        spans = brute_secrets(data) + [s for s in scanner.spans(data) if s[2] > 2]
+        covered = {k for s, e, _ in spans for k in range(s, e)}
+        starts = {s for s, _, _ in spans if s - 1 not in covered or any(e == s for _, e, _ in spans)}
+        want[d] = b"".join(b"[secret]" * (k in starts) if k in covered else data[k : k + 1] for k in range(len(data))).decode()
+    assert texts(stages["secrets"](spark, frame(rows), sf)) == want
+    last = {r.doc_id: list(r.ids) for r in stages["encode"](spark, frame(want), sf).collect()}
+    assert last == {d: library.encode(t, add_special_tokens=False).ids for d, t in want.items()}
+
+
+def test_extra_columns_with_clashing_names(spark, docs):
+    wide = docs.limit(40)
+    for name in ("n_words", "spans", "labels", "keys", "mark", "node", "_words", "_row", "set_a", "component_id", "ids", "probability"):
+        wide = wide.withColumn(name, chat.F.lit("other"))
+    labels = spark.createDataFrame([(1, 1, 0, "x")], "doc_id long, quality int, toxic int, n_words string")
+    for made in (secrets.digest(wide), quality.judge(wide, labels), decontaminate.digest(wide, docs.limit(0).withColumnRenamed("doc_id", "item_id")), bpe.digest(wide, bpe.default_path()), licenses.scan(wide), neardup.classes(wide)):
+        assert made.count() == 40
+    for made in (secrets.redact(wide), quality.keep_good(wide, labels), neardup.keep_first(wide)):
+        assert made.columns == wide.columns
+    turns = spark.createDataFrame([(1, 0, "user", "a", "x", "y"), (1, 1, "assistant", "b", "x", "y")], "conv_id long, turn long, role string, text string, turns string, runs string")
+    assert chat.digest(turns).count() == 2
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
