@@ -17,6 +17,7 @@ ABSTAIN_MARKERS = (
 )
 
 
+# Fixed values, from here to the run's own: the defaults of each section.
 @dataclass(frozen=True)
 class Filtering:
     exclude_redirects: bool = True
@@ -34,6 +35,7 @@ class Chunking:
     chunk_tokens: int = 300
     overlap_tokens: int = 0
     least_tokens: int = 5
+    split_order: tuple[str, ...] = ("section", "paragraph", "sentence", "token")
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,9 @@ class Generation:
     skip_lead_sections: bool = False
     quotas: dict[str, float] = field(default_factory=lambda: {"easy": 0.40, "medium": 0.40, "hard": 0.20})
     prompt_version: str = "qa_v2_difficulty"
+    temperature: float = 0.2
+    max_tokens: int = 512
+    enforce_target_difficulty: bool = True
 
 
 @dataclass(frozen=True)
@@ -53,7 +58,10 @@ class Validation:
     max_question_tokens: int = 60
     require_answer_containment: bool = True
     require_evidence_containment: bool = True
-    min_judge_confidence: float = 0.5
+    require_baseline_correct: bool = True
+    use_answerability_judge: bool = True
+    use_baseline_test: bool = True
+    min_judge_confidence: float = 0.6
     min_quality_score: float = 0.85
     target_clean_seeds: int = 200
     near_duplicate_threshold: float = 0.85
@@ -65,8 +73,14 @@ class Failures:
     severities: tuple[str, ...] = SEVERITIES
     noise_ratios: dict[str, float] = field(default_factory=lambda: {"low": 0.25, "medium": 0.50, "high": 0.75})
     context_budget: int = 8
-    #: Chunks of each category that distractors are drawn from (a keyed random sample).
-    pool_size: int = 256
+    use_verification_judge: bool = False
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    temperature: float = 0.0
+    max_tokens: int = 256
+    use_llm_judge: bool = True
 
 
 @dataclass(frozen=True)
@@ -81,6 +95,7 @@ class Run:
     generation: Generation = Generation()
     validation: Validation = Validation()
     failures: Failures = Failures()
+    evaluation: Evaluation = Evaluation()
     abstain_markers: tuple[str, ...] = ABSTAIN_MARKERS
 
     def __post_init__(self):
@@ -109,7 +124,7 @@ def load(path: str) -> Run:
         import json
 
         data = json.loads(text)
-    parts = {"filtering": Filtering, "chunking": Chunking, "generation": Generation, "validation": Validation, "failures": Failures}
+    parts = {"filtering": Filtering, "chunking": Chunking, "generation": Generation, "validation": Validation, "failures": Failures, "evaluation": Evaluation}
     made = {}
     for name, value in (data or {}).items():
         if name in parts:

@@ -1,7 +1,7 @@
 """Scalar text functions as Spark expressions: normalisation, sentences, ratios, answer metrics.
 
-All stay inside the JVM. Offsets and lengths are code points. White space is Unicode white space, so
-patterns carry ``(?U)``.
+All stay inside the JVM. Offsets and lengths are code points. White space is Unicode white space, named
+by an explicit class: it is matched much faster than the property, and trimming needs no pattern at all.
 """
 
 from __future__ import annotations
@@ -16,21 +16,31 @@ from faultline.config import ABSTAIN_MARKERS
 # ASCII punctuation, section titles without content, and the fallback tokenizer.
 PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
 DROPPED_SECTIONS = ("references", "external links", "see also", "further reading", "notes", "bibliography", "sources", "citations", "navigation", "notes and references")
-TOKEN = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
+TOKEN = r"\p{L}+|\p{N}{1,3}|[^\t-\r \p{L}\p{N}]+"
+
+
+# Unicode white space, as characters and as the inside of a class.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def lit(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def once(x: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.trim(x, F.lit(SPACES))
 
 
 def squeeze(x: Column) -> Column:
     """Each run of white space to one space."""
-    return F.regexp_replace(x, r"(?U)\s+", " ")
+    return F.regexp_replace(x, f"[{SPACE}]+", " ")
 
 
 def normalize_title(x: Column) -> Column:
@@ -47,8 +57,12 @@ def normalize_whitespace(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
+#: Between paragraphs.
+BREAK = f"\\n[{SPACE}]*\\n"
+
+
 def split_paragraphs(x: Column) -> Column:
-    parts = F.transform(F.split(strip(x), r"(?U)\n\s*\n"), strip)
+    parts = F.transform(F.split(strip(x), BREAK), strip)
     return F.filter(parts, lambda p: p != "")
 
 
@@ -60,7 +74,7 @@ def split_sentences(x: Column) -> Column:
 
 def words(x: Column) -> Column:
     """Split at white space; no empty words."""
-    return F.filter(F.split(strip(x), r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(strip(x), f"[{SPACE}]+"), lambda w: w != "")
 
 
 def char_ngrams(x: Column, n: int = 5) -> Column:
@@ -77,6 +91,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(inter / either)
 
 
+def gram_similarity(a: Column, b: Column, n: int = 5) -> Column:
+    """Jaccard similarity of the character n-grams of two texts."""
+    return once(F.struct(char_ngrams(a, n).alias("a"), char_ngrams(b, n).alias("b")), lambda x: jaccard(x["a"], x["b"]))
+
+
 def token_count(x: Column) -> Column:
     """Tokens by the fallback tokenizer: letters, up to three digits, or other characters in a row."""
     return F.size(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(TOKEN), F.lit(0)))
@@ -88,22 +107,31 @@ def should_drop_section(title: Column) -> Column:
 
 def prose_ratio(x: Column) -> Column:
     """Share of characters, over stripped non-blank lines, in lines that look like prose."""
-    lines = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"\R"), strip), lambda s: s != "")
-    prose = F.filter(lines, lambda s: ~(F.substring(s, 1, 1).isin("|", "!", "*", "#", "{") | s.rlike(r"(?U)^[\d\W]+$")))
-    chars = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + F.length(s))
-    return F.when(F.size(lines) == 0, F.lit(0.0)).otherwise(chars(prose) / chars(lines))
+    start = F.struct(F.lit(0).alias("prose"), F.lit(0).alias("every"))
+
+    def step(acc: Column, line: Column) -> Column:
+        n = F.length(line)
+        other = line.rlike(r"^[|!*#{]|(?U)^[\d\W]*$")
+        return F.struct((acc["prose"] + F.when(other, 0).otherwise(n)).alias("prose"), (acc["every"] + n).alias("every"))
+
+    lines = F.transform(F.split(F.coalesce(x, F.lit("")), r"\R"), strip)
+    return F.aggregate(lines, start, step, lambda acc: F.when(acc["every"] == 0, F.lit(0.0)).otherwise(acc["prose"] / acc["every"]))
 
 
 def paragraph_repeat_ratio(x: Column) -> Column:
     """Share of paragraphs that repeat an earlier one, ignoring case and white space."""
     keys = F.transform(split_paragraphs(F.coalesce(x, F.lit(""))), lambda p: strip(squeeze(F.lower(p))))
-    return F.when(F.size(keys) < 2, F.lit(0.0)).otherwise((F.size(keys) - F.size(F.array_distinct(keys))) / F.size(keys))
+    return once(keys, lambda k: F.when(F.size(k) < 2, F.lit(0.0)).otherwise((F.size(k) - F.size(F.array_distinct(k))) / F.size(k)))
+
+
+#: An article as a whole word; the first letter is tried before the costly boundary.
+ARTICLE = r"(?U)(?:a(?<=\ba)n?|t(?<=\bt)he)\b"
 
 
 def normalize_answer(x: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces; null becomes empty."""
     t = F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), PUNCTUATION, "")
-    return F.regexp_replace(squeeze(F.regexp_replace(t, r"(?U)\b(a|an|the)\b", " ")), r"^ | $", "")
+    return F.trim(squeeze(F.regexp_replace(t, ARTICLE, " ")), F.lit(" "))
 
 
 def answer_tokens(x: Column) -> Column:
@@ -114,10 +142,23 @@ def exact_match(prediction: Column, gold: Column) -> Column:
     return (normalize_answer(prediction) == normalize_answer(gold)).cast("double")
 
 
+def bag_overlap(p: Column, g: Column) -> Column:
+    """Tokens that two bags share, each as often as both hold it: one fold over the sorted tokens of both,
+    in which those of ``p`` come first and each of ``g`` uses up one of them."""
+    tagged = lambda bag, side: F.transform(bag, lambda t: F.struct(t.alias("t"), F.lit(side).alias("s")))
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("left"), F.lit(0).alias("same"))
+
+    def step(acc: Column, x: Column) -> Column:
+        left = F.when(acc["t"] == x["t"], acc["left"]).otherwise(0)
+        used = (x["s"] == 1) & (left > 0)
+        return F.struct(x["t"].alias("t"), F.when(x["s"] == 0, left + 1).when(used, left - 1).otherwise(left).alias("left"), (acc["same"] + used.cast("int")).alias("same"))
+
+    return F.aggregate(F.array_sort(F.concat(tagged(p, 0), tagged(g, 1))), start, step, lambda acc: acc["same"])
+
+
 def token_f1_of(p: Column, g: Column) -> Column:
     """F1 of two token bags. Give columns, not expressions: each is used several times."""
-    count = lambda bag, t: F.size(F.filter(bag, lambda y: y == t))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda a, t: a + F.least(count(p, t), count(g, t)))
+    same = bag_overlap(p, g)
     precision, recall = same / F.size(p), same / F.size(g)
     score = 2 * precision * recall / (precision + recall)
     return F.when((F.size(p) == 0) & (F.size(g) == 0), F.lit(1.0)).when((F.size(p) == 0) | (F.size(g) == 0) | (same == 0), F.lit(0.0)).otherwise(score)
@@ -221,16 +262,22 @@ ALTERNATES = {
 }
 
 
+def _general(x: Column) -> Column:
+    """A number of one or more as C's %g prints it: six significant digits, no trailing zeros, an exponent
+    from a million on."""
+    fixed = F.round(x, 0)
+    for places in range(1, 6):
+        fixed = F.when(x < 10 ** (6 - places), F.round(x, places)).otherwise(fixed)
+    large = F.regexp_replace(F.format_string("%.5e", x), r"\.?0*e", "e")
+    return F.when(x >= 999_999.5, large).otherwise(F.regexp_replace(fixed.cast("string"), r"\.0$", ""))
+
+
 def alternate_answer(gold: Column, answer_type: Column, *key) -> Column:
     """Another answer: the year three earlier, the first number plus one, else a keyed pick by type."""
-    year = F.regexp_extract(gold, r"\b(1\d{3}|20\d{2})\b", 1)
-    number = F.regexp_extract(gold, r"\b(\d+(?:\.\d+)?)\b", 1)
-    swap = lambda found, new: F.concat(F.substring(gold, F.lit(1), F.instr(gold, found) - 1), new, F.substr(gold, F.instr(gold, found) + F.length(found)))
-    whole = (number.cast("decimal(38,0)") + 1).cast("string")
-    more = number.cast("double") + 1
-    # six significant digits without trailing zeros, as %g prints a number below a million
-    short = F.regexp_replace(F.round(more, 4).cast("string"), r"\.0$", "")
-    plus = F.when(F.contains(number, F.lit(".")), short).otherwise(whole)
+    parts = lambda found: tuple(F.regexp_extract(gold, rf"(?sU)^(.*?)\b({found})\b(.*)$", k) for k in (1, 2, 3))
+    before, year, after = parts(r"1[0-9]{3}|20[0-9]{2}")
+    head, number, tail = parts(r"[0-9]+(?:\.[0-9]+)?")
+    plus = F.when(F.contains(number, F.lit(".")), _general(number.cast("double") + 1)).otherwise((number.cast("decimal(38,0)") + 1).cast("string"))
     pool = F.lit(None)
     for name, values in ALTERNATES.items():
         pool = F.when(answer_type == name, F.array(*map(F.lit, values))).otherwise(pool)
@@ -238,8 +285,8 @@ def alternate_answer(gold: Column, answer_type: Column, *key) -> Column:
     open_ = F.filter(pool, lambda a: normalize_answer(a) != normalize_answer(gold))
     at = F.pmod(F.conv(F.substring(keyed(*key), 1, 8), 16, 10).cast("long"), F.size(open_).cast("long")).cast("int")
     dated = (answer_type == "date") & (year != "")
-    counted = answer_type.isin("numeric", "other") & (number != "")
-    return F.when(dated, swap(year, (year.cast("int") - 3).cast("string"))).when(counted, swap(number, plus)).otherwise(F.get(open_, at))
+    counted = answer_type.isin("numeric", "other") & (number != "") & plus.isNotNull()
+    return F.when(dated, F.concat(before, (year.cast("int") - 3).cast("string"), after)).when(counted, F.concat(head, plus, tail)).otherwise(F.get(open_, at))
 
 
 def conflict_passage(support: Column, gold: Column, other: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,34 +28,27 @@ def round_robin(chunks: DataFrame, cfg: Generation = Generation()) -> DataFrame:
     return top.withColumn("slot", F.row_number().over(Window.orderBy("turn", "page_id")) - 1)
 
 
-def allocate(total: int, quotas: dict[str, float]) -> dict[str, int]:
-    """Largest remainders; then each level with a share gets one, from the largest."""
-    shares = {k: max(0.0, float(quotas.get(k, 0.0))) for k in DIFFICULTIES if k in quotas}
-    if not sum(shares.values()):
-        shares = {"easy": 1.0}
-    whole = sum(shares.values())
-    exact = {k: total * (v / whole) for k, v in shares.items()}
-    counts = {k: math.floor(v) for k, v in exact.items()}
-    for k in sorted(exact, key=lambda k: (exact[k] - counts[k], shares[k]), reverse=True)[: total - sum(counts.values())]:
-        counts[k] += 1
-    for k in shares:
-        donor = max(counts, key=counts.__getitem__)
-        if not counts[k] and total >= len(shares) and counts[donor] > 1:
-            counts[donor] -= 1
-            counts[k] = 1
-    return {k: counts.get(k, 0) for k in DIFFICULTIES}
-
-
 def allocation(spark: SparkSession, totals: list[int], quotas: dict[str, float]) -> DataFrame:
-    rows = [(n, k, c) for n in totals for k, c in allocate(n, quotas).items()]
-    return spark.createDataFrame(rows, "total long, difficulty string, n long")
+    """total, difficulty, n: whole shares first, one more by the largest remainders; then each listed level
+    that has none gets one from the largest, if there are candidates for all. Without any quota all is easy."""
+    known = [(k, float(max(v, 0.0)), i) for i, (k, v) in enumerate(quotas.items()) if k in DIFFICULTIES]
+    known = known if sum(v for _, v, _ in known) > 0 else [("easy", 1.0, 0)]
+    listed = spark.createDataFrame([*known, *((k, 0.0, None) for k in DIFFICULTIES if k not in dict((x[0], x) for x in known))], "difficulty string, quota double, place int")
+    rows = listed.withColumn("total", F.explode(F.array(*(F.lit(n).cast("long") for n in totals))))
+    of = Window.partitionBy("total")
+    rows = rows.withColumn("exact", F.col("total") * (F.col("quota") / F.sum("quota").over(of))).withColumn("n", F.floor("exact"))
+    by_rest = of.orderBy(F.col("place").isNull(), F.desc(F.col("exact") - F.col("n")), F.desc("quota"), "place")
+    rows = rows.withColumn("n", F.col("n") + (F.row_number().over(by_rest) <= F.col("total") - F.sum("n").over(of)).cast("long"))
+    bare = (F.col("n") == 0) & F.col("place").isNotNull() & (F.col("total") >= F.count("place").over(of))
+    rows = rows.withColumns({"bare": bare.cast("long"), "size": F.row_number().over(of.orderBy(F.desc("n"), "place"))})
+    given = F.when(F.col("size") == 1, F.sum("bare").over(of)).otherwise(0)
+    return rows.select("total", "difficulty", (F.col("n") + F.col("bare") - given).alias("n"))
 
 
 def schedule(spark: SparkSession, total: int, quotas: dict[str, float]) -> DataFrame:
     """slot, difficulty: easy, medium, hard in turn while each lasts."""
-    counts = allocate(total, quotas)
-    levels = spark.createDataFrame([(k, i, n) for i, (k, n) in enumerate(counts.items()) if n], "difficulty string, level int, n int")
-    each = levels.select("difficulty", "level", F.explode(F.sequence(F.lit(1), "n")).alias("k"))
+    level = F.array_position(F.array(*map(F.lit, DIFFICULTIES)), F.col("difficulty"))
+    each = allocation(spark, [total], quotas).where("n > 0").select("difficulty", level.alias("level"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
     return each.select((F.row_number().over(Window.orderBy("k", "level")) - 1).alias("slot"), "difficulty")
 
 

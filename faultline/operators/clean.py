@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import normalize_whitespace, should_drop_section, strip, strip_citations
+from faultline.functions.text import SPACE, normalize_whitespace, should_drop_section, strip, strip_citations
 
 #: A header line: two to six equals signs on both sides of a title.
-HEADER = r"(?mdU)^(={2,6})\s*(.+?)\s*\1\s*$"
+HEADER = rf"(?md)^(={{2,6}})[{SPACE}]*(.+?)[{SPACE}]*\1[{SPACE}]*$"
 SECTION = "struct<section_index:int,section_title:string,section_path:array<string>,level:int,char_start:int,char_end:int,text:string>"
 
 

@@ -1,18 +1,22 @@
 """Near-duplicate pages and greedy first-wins deduplication.
 
-Pairs are exact: a prefix filter over character 5-grams, ordered by global rarity, finds candidates and
-full gram sets confirm them. Pages of equal grams are collapsed into classes first. The order uses the
-most frequent grams only (a table of bounded size, broadcast; any other gram counts as rarest), which is
-still one global order, so no pair is lost at any size.
+Pairs are exact. Rows of equal gram sets are collapsed into classes. The grams of a class are ordered by how
+often they occur, counted in a table of hashed cells of fixed size: any function of a gram is one global
+order, so no pair is lost, and rare grams come first at every size. If two sets are near, the first
+``n - ceil(percent * n) + m`` grams of both share at least m of them; m grows with the set, so few pairs but
+the near ones pass, and those are confirmed on full sets. Classes meet only in neighbouring bands of size.
 """
 
 from __future__ import annotations
 
+import math
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +25,20 @@ from faultline.config import Run
 from faultline.functions.text import keyed, normalize_answer, normalize_title, squeeze, strip
 
 N = 5
-#: Frequent grams in the broadcast order, at most.
-ORDERED_GRAMS = 200_000
+#: Cells of the table of counts that orders the grams.
+CELLS = 1 << 20
+#: Grams of the prefix that near sets share, as a part of the set, and at most.
+SHARED, MOST_SHARED = 0.02, 32
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder that the cluster names; one of our own where none is set."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or "/tmp/faultline-checkpoints"
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"{tempfile.gettempdir()}/faultline-checkpoints"
     return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -73,59 +83,87 @@ def near_pairs(rows: DataFrame, id_column: str, text: Column, percent: int = 85)
     classes = sets.groupBy("key", "other", F.size("grams").alias("n")).agg(F.min("id").alias("cls"))
     members = sets.select("id", "key", "other", F.size("grams").alias("n")).join(classes, ["key", "other", "n"]).select("id", "cls")
     reps = held(sets.join(classes.select("cls"), sets.id == classes.cls, "left_semi").select(F.col("id").alias("cls"), "grams"), f"{folder}/reps").where(F.size("grams") > 0)
-    counts = reps.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    common = counts.where("n > 1").orderBy(F.desc("n"), "gram").limit(ORDERED_GRAMS).toPandas().sort_values("gram")
-    order = rows.sparkSession.sparkContext.broadcast((common["gram"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def prefix(grams: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, often = order.value
-        for series in grams:
-            out = []
-            for g in series:
-                g = np.asarray(g, np.int64)
-                at = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
-                rank = np.where(known[at] == g, often[at], 0) if len(known) else np.zeros(len(g), np.int64)
-                size = len(g) - -(-percent * len(g) // 100) + 1
-                out.append(g[np.lexsort((g, rank))[:size]])
-            yield pd.Series(out)
-
-    keyed_ = reps.select("cls", F.size("grams").alias("n"), F.explode(prefix("grams")).alias("gram"))
-    a = keyed_.select(F.col("cls").alias("a"), F.col("n").alias("na"), "gram")
-    b = keyed_.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "gram")
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    candidates = a.join(b, "gram").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(CELLS), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    cells = reps.select("grams").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(CELLS, np.int64)
+    table[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    order = rows.sparkSession.sparkContext.broadcast(table)
+    need = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARED), F.floor(F.size("grams") * SHARED))).cast("int")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = order.value
+        for batch in batches:
+            classes, sizes, needs, grams = [], [], [], []
+            for cls, least, g in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
+                g = g.values.to_numpy(zero_copy_only=False)
+                size = len(g) - -(-percent * len(g) // 100) + least
+                front = g[np.lexsort((g, often[g.view(np.uint64) % np.uint64(CELLS)]))[:size]]
+                grams.append(front)
+                for column, value in ((classes, cls.as_py()), (sizes, len(g)), (needs, least)):
+                    column.append(np.full(len(front), value))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (classes, sizes, needs, grams)], ["cls", "n", "need", "gram"])
+
+    plain = reps.schema["cls"].dataType == T.LongType()
+    named = reps if plain else reps.withColumn("cls", F.xxhash64("cls"))
+    front = named.select("cls", need.alias("need"), "grams").mapInArrow(prefixes, "cls bigint, n bigint, need bigint, gram bigint")
+    front = held(front.withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")), f"{folder}/prefixes")
+    x = front.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("need").alias("ka"), "gram", "band")
+    y = front.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("need").alias("kb"), "gram", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    met = x.join(y, ["gram", "band"]).where((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("ka", "kb")).alias("need"))
+    candidates = met.where(F.col("k") >= F.col("need")).select("a", "b")
+    if not plain:  # candidates carry hashes of the classes, which near ones may share by chance: the full sets decide
+        back = reps.select(F.xxhash64("cls").alias("h"), "cls")
+        candidates = candidates.join(back.select(F.col("h").alias("a"), F.col("cls").alias("x")), "a").join(back.select(F.col("h").alias("b"), F.col("cls").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     full = candidates.join(reps.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), "a").join(reps.select(F.col("cls").alias("b"), F.col("grams").alias("gb")), "b")
     counted = full.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("inter"), F.size("ga").alias("na"), F.size("gb").alias("nb"))
     pairs = counted.select("a", "b", "inter", (F.col("na") + F.col("nb") - F.col("inter")).alias("either")).where(F.col("inter") * 100 >= F.col("either") * percent)
     return members, held(pairs, f"{folder}/pairs")
 
 
-def first_wins(rows: DataFrame, id_column: str, exact: dict[str, Column], text: Column, near_reason: str, percent: int = 85) -> DataFrame:
-    """id, kept, reasons: in the order of ids, a row goes if an earlier kept row shares an exact key, or
-    else its text is near that of an earlier kept row. A dropped row suppresses nothing.
+def first_wins(rows: DataFrame, id_column: str, exact: dict[str, Column | tuple[Column, Column]], text: Column, near_reason: str, percent: int = 85) -> DataFrame:
+    """id, kept, reasons: in the order of ids, a row goes if its exact key is that of an earlier kept row, or
+    else its text is near that of an earlier kept row. A dropped row suppresses nothing. A key may be a pair:
+    what this row looks for, and what kept rows offer; a null key looks for nothing and offers nothing.
 
     Rounds settle every row whose earlier rivals are settled, until none is open. Rivals are compared by
-    class and key aggregates, never as pairs of rows.
+    class and key aggregates, never as pairs of rows. A row without any rival is kept at once and takes no
+    part in the rounds.
     """
     spark = rows.sparkSession
     folder = shared_folder(spark)
     members, pairs = near_pairs(rows, id_column, text, percent)
     names = list(exact)
-    nodes = rows.select(F.col(id_column).alias("id"), *[c.alias(f"k_{n}") for n, c in exact.items()]).join(members, "id")
+    both = {n: c if isinstance(c, tuple) else (c, c) for n, c in exact.items()}
+    nodes = rows.select(F.col(id_column).alias("id"), *[c.alias(f"k_{n}") for n, (c, _) in both.items()], *[c.alias(f"o_{n}") for n, (_, c) in both.items()]).join(members, "id")
     links = pairs.select(F.col("a").alias("cls"), F.col("b").alias("to")).union(pairs.select("b", "a")).union(members.select("cls", F.col("cls").alias("to")).distinct())
-    state = held(nodes.withColumns({"kept": F.lit(None).cast("boolean"), "reasons": F.lit(None).cast("array<string>")}), f"{folder}/0")
     links = held(links, f"{folder}/links")
+    nodes = held(nodes, f"{folder}/nodes")
+
+    # Rows that share a key or a class with others, or whose class has a link.
+    crowd = links.where("cls <> to").select("cls").union(nodes.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")).distinct()
+    contested = nodes.join(crowd, "cls", "left_semi").select("id")
+    for n in names:
+        offered = nodes.where(F.col(f"o_{n}").isNotNull()).groupBy(F.col(f"o_{n}").alias(f"k_{n}")).agg(F.count("*").alias("n"), F.min("id").alias("least"))
+        contested = contested.union(nodes.join(offered, f"k_{n}").where("n > 1 or id <> least").select("id")).union(nodes.join(nodes.where(F.col(f"k_{n}").isNotNull()).select(F.col("id").alias("other"), F.col(f"k_{n}").alias(f"o_{n}")), f"o_{n}").where("id <> other").select("id") if both[n][0] is not both[n][1] else nodes.select("id").limit(0))
+    contested = held(contested.distinct(), f"{folder}/contested")
+    alone = nodes.join(contested, "id", "left_anti").select("id", F.lit(True).alias("kept"), F.array().cast("array<string>").alias("reasons"))
+    state = held(nodes.join(contested, "id", "left_semi").withColumns({"kept": F.lit(None).cast("boolean"), "reasons": F.lit(None).cast("array<string>")}), f"{folder}/0")
     rounds = 0
     while state.where("kept is null").limit(1).count():
         out = state
-        least = lambda keys, kept: state.where(f"kept is {kept}").groupBy(*keys).agg(F.min("id").alias("m"))
+        least = lambda key, name: state.groupBy(F.col(key).alias(name)).agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("won"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("open"))
         for name in names:
-            for mark, kept in (("won", "true"), ("open", "null")):
-                out = out.join(least([f"k_{name}"], kept).withColumnRenamed("m", f"{mark}_{name}"), f"k_{name}", "left")
-        for mark, kept in (("won", "true"), ("open", "null")):
-            by_class = links.join(least(["cls"], kept).withColumnRenamed("cls", "to"), "to").groupBy("cls").agg(F.min("m").alias(f"{mark}_near"))
-            out = out.join(by_class, "cls", "left")
+            out = out.join(least(f"o_{name}", f"k_{name}").withColumnsRenamed({"won": f"won_{name}", "open": f"open_{name}"}), f"k_{name}", "left")
+        by_class = links.join(least("cls", "to"), "to").groupBy("cls").agg(F.min("won").alias("won_near"), F.min("open").alias("open_near"))
+        out = out.join(by_class, "cls", "left")
         before = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
         hit = {n: before(f"won_{n}") for n in names}
         waits = [before(f"open_{n}") for n in (*names, "near")]
@@ -135,17 +173,31 @@ def first_wins(rows: DataFrame, id_column: str, exact: dict[str, Column], text:
         ready = ~F.greatest(*waits[:-1], F.lit(False)) & (any_exact | before("won_near") | ~waits[-1])
         settle = F.col("kept").isNull() & ready
         out = out.withColumn("_r", reasons).select(
-            "id", *[f"k_{n}" for n in names], "cls",
+            "id", *[f"k_{n}" for n in names], *[f"o_{n}" for n in names], "cls",
             F.when(settle, F.size("_r") == 0).otherwise(F.col("kept")).alias("kept"), F.when(settle, F.col("_r")).otherwise(F.col("reasons")).alias("reasons"),
         )
         rounds += 1
         state = held(out, f"{folder}/{rounds}")
-    return state.select(F.col("id").alias(id_column), "kept", "reasons")
+    return state.select("id", "kept", "reasons").union(alone).withColumnRenamed("id", id_column)
+
+
+def numbered(pages: DataFrame) -> DataFrame:
+    """Pages with ``copy``: 0 for the first row of a page id, then 1, 2, …, by a hash of the text."""
+    w = Window.partitionBy("page_id").orderBy(F.xxhash64("raw_text"), "raw_text")
+    return pages.withColumn("copy", F.row_number().over(w) - 1)
 
 
 def deduplicate_pages(pages: DataFrame, percent: int = 85) -> DataFrame:
-    """page_id, kept, reasons, for pages with distinct ids in the order of their ids."""
-    return first_wins(pages, "page_id", {"duplicate_title": normalize_title(F.col("page_title"))}, F.coalesce("cleaned_text", "raw_text"), "near_duplicate_text", percent)
+    """page_id, copy, kept, reasons, in the order of ids and copies: equal ids, equal titles, a redirect to the
+    title of a kept page, near texts."""
+    rows = pages if "copy" in pages.columns else numbered(pages)
+    title, target = normalize_title(F.col("page_title")), normalize_title(F.col("redirect_target")) if "redirect_target" in pages.columns else F.lit(None).cast("string")
+    alias = F.when((target != title) & (target != ""), target)
+    rows = rows.withColumn("_place", F.col("page_id").cast("decimal(28,0)") * 1_000_000 + F.col("copy"))
+    exact = {"duplicate_page_id": F.col("page_id"), "duplicate_title": title, "redirect_alias": (alias, title)}
+    done = first_wins(rows, "_place", exact, F.coalesce("cleaned_text", "raw_text"), "near_duplicate_text", percent)
+    at = F.floor(F.col("_place") / 1_000_000).cast("long")
+    return done.select(at.alias("page_id"), (F.col("_place") - at * 1_000_000).cast("int").alias("copy"), "kept", "reasons")
 
 
 def deduplicate_candidates(candidates: DataFrame, percent: int = 85) -> DataFrame:
@@ -161,9 +213,16 @@ def first_by_key(rows: DataFrame, key: Column, *order: str) -> DataFrame:
 
 
 def quota_sample(pages: DataFrame, run: Run) -> DataFrame:
-    """Up to the quota of pages of each category, in the order of a keyed hash."""
+    """Up to the quota of pages of each category, in the order of a keyed hash, with their ``rank``. Ids alone
+    are ranked, by a fixed limit that the window's partial form can use; the rows follow by a join with the
+    chosen ids, of which there are as many as the quotas allow."""
     quota = F.lit(None).cast("int")
     for name, n in run.categories.items():
         quota = F.when(F.col("category_group") == name, F.lit(n)).otherwise(quota)
+    narrow = pages.where(F.col("category_group").isin(*run.categories)).select("page_id", "category_group")
     w = Window.partitionBy("category_group").orderBy(keyed(run.seed, F.col("category_group"), F.col("page_id")), "page_id")
-    return pages.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= quota)
+    ranked = narrow.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(run.categories.values()))
+    chosen = ranked.where(F.col("rank") <= quota).select("page_id", "rank")
+    if set(pages.columns) <= {"page_id", "category_group"}:
+        return ranked.where(F.col("rank") <= quota)
+    return pages.join(F.broadcast(chosen), "page_id")

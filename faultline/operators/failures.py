@@ -1,8 +1,8 @@
 """The six failure operators: a seed and its pools become contexts with one controlled fault.
 
 Each operator is a set of array expressions over seeds that carry their gold chunk, its neighbours and
-their distractors (``operators.pools``), three severities each. Seeds without their gold chunk give no
-case, except for hard negatives.
+their distractors (``operators.pools``), three severities each. The pools of all operators are drawn in
+one pass over the chunks. Seeds without their gold chunk give no case, except for hard negatives.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from faultline.config import SEVERITY_DIFFICULTY, STAGE_OF, Run
 from faultline.functions.text import alternate_answer, conflict_passage, contains_answer, halves, keyed, matches_support, normalize_answer, split_sentences, strip, words
-from faultline.operators.pools import attach_pools
+from faultline.operators.pools import attach_pools, collected
 
 PARAMETERS = {
     "removed": "string", "num_contexts": "int", "noise_ratio": "double", "num_distractors": "int", "distractor_hardness": "string", "gold_position": "int",
@@ -45,9 +45,9 @@ def _by_severity(low: Column, medium: Column, high: Column) -> Column:
     return F.when(s == "low", low).when(s == "medium", medium).otherwise(high)
 
 
-def _seeds(seeds: DataFrame, chunks: DataFrame, run: Run, purpose: str) -> DataFrame:
-    """Seeds with pools and a found gold chunk, once for each severity."""
-    rows = attach_pools(seeds, chunks, run, purpose).where("gold_text is not null")
+def _seeds(pooled: DataFrame, run: Run, purpose: str) -> DataFrame:
+    """Seeds of one purpose with a found gold chunk, once for each severity."""
+    rows = pooled.where((F.col("purpose") == purpose) & F.col("gold_text").isNotNull()).drop("purpose")
     return rows.withColumn("severity", F.explode(F.array(*map(F.lit, run.failures.severities))))
 
 
@@ -65,10 +65,10 @@ def _cases(rows: DataFrame, kind: str, available: bool, difficulty: Column | Non
     )
 
 
-def missing_evidence(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:
+def missing_evidence(pooled: DataFrame, run: Run) -> DataFrame:
     """The evidence goes: its sentence, its chunk, or all that is near it."""
     b = run.failures.context_budget
-    rows = _seeds(seeds, chunks, run, "missing_evidence")
+    rows = _seeds(pooled, run, "missing_evidence")
     gold, support = F.col("gold_answer"), strip(F.col("supporting_sentence"))
     clean = lambda a: F.filter(a, lambda t: ~contains_answer(t, gold))
     near = F.filter(F.array("previous_text", "next_text"), lambda t: t.isNotNull())
@@ -79,11 +79,11 @@ def missing_evidence(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame
     return _cases(rows, "missing_evidence", False, removed=_by_severity(F.lit("supporting_sentence"), F.lit("gold_chunk"), F.lit("all_related_evidence")))
 
 
-def context_noise(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:
+def context_noise(pooled: DataFrame, run: Run) -> DataFrame:
     """The gold chunk among distractors, shuffled by a keyed hash."""
     b, ratios = run.failures.context_budget, run.failures.noise_ratios
     number = {s: min(max(1, round(b * r)), b - 1) for s, r in ratios.items()}
-    rows = _seeds(seeds, chunks, run, "context_noise")
+    rows = _seeds(pooled, run, "context_noise")
     of = lambda d, default: _by_severity(*(F.lit(d.get(s, default)) for s in ("low", "medium", "high")))
     rows = rows.withColumn("taken", F.when(F.col("severity") == "low", _texts("easy", of(number, 1))).otherwise(_texts("hard", of(number, 1))))
     key = lambda i: keyed(run.seed, "noise_order", F.col("sample_id"), F.col("severity"), i)
@@ -94,9 +94,9 @@ def context_noise(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:
     return _cases(rows, "context_noise", True, ratio, noise_ratio=ratio, num_distractors=F.size("taken"), distractor_hardness=hardness, gold_position=F.array_position("contexts", F.col("gold_text")) - 1)
 
 
-def evidence_position(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:
+def evidence_position(pooled: DataFrame, run: Run) -> DataFrame:
     """The gold chunk in front, in the middle or last among the same fillers at every severity."""
-    rows = _seeds(seeds, chunks, run, "evidence_position").withColumn("fillers", _texts("easy", max(2, run.failures.context_budget - 1)))
+    rows = _seeds(pooled, run, "evidence_position").withColumn("fillers", _texts("easy", max(2, run.failures.context_budget - 1)))
     total = F.size("fillers") + 1
     rows = rows.withColumn("pos", _by_severity(F.lit(0), F.floor(total / 2).cast("int"), total - 1))
     rows = rows.withColumn("contexts", F.array_insert("fillers", F.col("pos") + 1, F.col("gold_text")))
@@ -104,9 +104,9 @@ def evidence_position(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFram
     return _cases(rows, "evidence_position", True, where, gold_position=F.col("pos"), relative_position=where)
 
 
-def chunk_boundary(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:
+def chunk_boundary(pooled: DataFrame, run: Run) -> DataFrame:
     """The supporting sentence cut over two or three contexts, with distractors between."""
-    rows = _seeds(seeds, chunks, run, "chunk_boundary").withColumn("support", strip(F.col("supporting_sentence")))
+    rows = _seeds(pooled, run, "chunk_boundary").withColumn("support", strip(F.col("supporting_sentence")))
     rows = rows.withColumns({"sentences": split_sentences(F.col("gold_text")), "cut": halves(F.col("support"))})
     at = F.coalesce(F.get(F.filter(F.transform("sentences", lambda s, i: F.when(F.contains(s, F.col("support")), i)), lambda i: i.isNotNull()), F.lit(0)), F.size("sentences"))
     rows = rows.withColumn("at", at)
@@ -124,10 +124,10 @@ def chunk_boundary(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:
     return _cases(rows, "chunk_boundary", True, num_splits=F.size("pieces"), split_sentence=F.col("support"), split_pieces=F.col("pieces"), gold_positions=places(True), distractor_positions=places(False))
 
 
-def conflict(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:
+def conflict(pooled: DataFrame, run: Run) -> DataFrame:
     """The gold chunk and a passage that claims another answer."""
     b = run.failures.context_budget
-    rows = _seeds(seeds, chunks, run, "conflict").withColumn("support", strip(F.col("supporting_sentence")))
+    rows = _seeds(pooled, run, "conflict").withColumn("support", strip(F.col("supporting_sentence")))
     rows = rows.withColumn("other", alternate_answer(F.col("gold_answer"), F.col("answer_type"), run.seed, "conflict", F.col("sample_id"), F.col("severity")))
     rows = rows.withColumn("passage", strip(conflict_passage(F.col("support"), F.col("gold_answer"), F.col("other"))))
     rows = rows.where((F.col("passage") != "") & (normalize_answer(F.col("passage")) != normalize_answer(F.col("supporting_sentence"))))
@@ -146,9 +146,10 @@ def near_misses(seeds: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     then the share of the seed's words they hold, then the chunk id, all falling.
 
     Every chunk is scored against all seeds inside its task, and only a task's best k for each seed leave
-    it. The seeds are a bounded set (the target of the selection) and travel as one broadcast.
+    it, without their texts. The seeds are a bounded set (the target of the selection, checked) and travel
+    as one broadcast.
     """
-    known = seeds.select("sample_id", F.coalesce("category_group", F.lit("")).alias("cat"), F.col("source.page_id").alias("page"), normalize_answer(F.col("gold_answer")).alias("answer"), normalize_answer(F.concat_ws(" ", "question", "supporting_sentence")).alias("query")).collect()
+    known = collected(seeds, "sample_id", F.coalesce("category_group", F.lit("")).alias("cat"), F.col("source.page_id").alias("page"), normalize_answer(F.col("gold_answer")).alias("answer"), normalize_answer(F.concat_ws(" ", "question", "supporting_sentence")).alias("query"))
     queries = [sorted({w for w in r["query"].split(" ") if len(w) > 2}) for r in known]
     holders: dict[str, list[int]] = {}
     for s, tokens in enumerate(queries):
@@ -163,25 +164,27 @@ def near_misses(seeds: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         best: list[list[tuple]] = [[] for _ in rows]
         floor = np.full(len(rows), -1.0)
         for batch in batches:
-            for page, chunk, cat, text, norm in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            for page, chunk, cat, norm in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 lists = [holders[w] for w in set(norm.split(" ")) if w in holders]
                 overlap = (np.bincount(np.concatenate(lists), minlength=len(rows)) if lists else np.zeros(len(rows))) / size
                 score = overlap + 2.0 * ((cats == (cat or "")) & (cats != ""))
                 for s in np.flatnonzero((score >= floor) & (pages != page)).tolist():
-                    item = (float(score[s]), chunk, float(overlap[s]), text, cat)
+                    item = (float(score[s]), chunk, float(overlap[s]))
                     heap = best[s]
                     if (len(heap) < k or item[:2] > heap[0][:2]) and rows[s][3] not in norm:
                         heapq.heappush(heap, item) if len(heap) < k else heapq.heapreplace(heap, item)
                         if len(heap) == k:
                             floor[s] = heap[0][0]
-        found = [(rows[s][0], x[1], x[0], x[2], x[3], x[4]) for s, heap in enumerate(best) for x in heap]
-        kinds = [pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found) if found else [()] * 6, kinds)], ["sample_id", "chunk_id", "score", "overlap", "text", "category"])
+        found = [(rows[s][0], x[1], x[0], x[2]) for s, heap in enumerate(best) for x in heap]
+        kinds = [pa.string(), pa.string(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found) if found else [()] * 4, kinds)], ["sample_id", "chunk_id", "score", "overlap"])
 
-    full = chunks.where(strip(F.col("text")) != "").select("page_id", "chunk_id", "category_group", "text", normalize_answer(F.col("text")).alias("norm"))
-    top = full.mapInArrow(work, "sample_id string, chunk_id string, score double, overlap double, text string, category string")
+    full = chunks.where(strip(F.col("text")) != "").select("page_id", "chunk_id", "category_group", normalize_answer(F.col("text")).alias("norm"))
+    top = full.mapInArrow(work, "sample_id string, chunk_id string, score double, overlap double")
     w = Window.partitionBy("sample_id").orderBy(F.desc("score"), F.desc("chunk_id"))
-    return top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    texts = chunks.join(top.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "text", F.col("category_group").alias("category"))
+    return top.join(texts, "chunk_id")
 
 
 def hard_negative(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:
@@ -202,13 +205,22 @@ def hard_negative(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:
     )
 
 
-OPERATORS = {"missing_evidence": missing_evidence, "context_noise": context_noise, "chunk_boundary": chunk_boundary, "evidence_position": evidence_position, "conflict": conflict, "hard_negative": hard_negative}
-
-
-def inject(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:
-    """All configured operators, one table; new operators register in OPERATORS."""
-    out = None
-    for kind in run.failures.types:
-        cases = OPERATORS[kind](seeds, chunks, run)
-        out = cases if out is None else out.unionByName(cases)
+#: Operators over seeds with pools; hard negatives rank all chunks themselves.
+POOLED = {"missing_evidence": missing_evidence, "context_noise": context_noise, "chunk_boundary": chunk_boundary, "evidence_position": evidence_position, "conflict": conflict}
+OPERATORS = {**POOLED, "hard_negative": hard_negative}
+
+
+def inject(seeds: DataFrame, chunks: DataFrame, run: Run, types: tuple[str, ...] | None = None, folder: str | None = None) -> DataFrame:
+    """All configured operators (or ``types``) in one table; new operators register in POOLED or OPERATORS.
+    With several, give a ``folder`` to hold the pools in, so that they are drawn once."""
+    types = types or run.failures.types
+    drawing = tuple(t for t in types if t in POOLED)
+    pooled = attach_pools(seeds, chunks, run, *drawing) if drawing else None
+    if pooled is not None and folder is not None:
+        pooled.write.parquet(f"{folder}/pools")
+        pooled = seeds.sparkSession.read.parquet(f"{folder}/pools")
+    parts = [POOLED[t](pooled, run) if t in POOLED else OPERATORS[t](seeds, chunks, run) for t in types]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out

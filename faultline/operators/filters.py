@@ -16,7 +16,8 @@ def _reasons(checks: list[tuple[Column, str]]) -> Column:
     return F.filter(named, lambda r: r.isNotNull())
 
 
-def raw_reasons(cfg: Filtering = Filtering()) -> Column:
+def raw_reasons(cfg: Filtering = Filtering(), raw: Column | None = None) -> Column:
+    raw = F.col("raw_text") if raw is None else raw
     title, off = F.coalesce(F.col("page_title"), F.lit("")), F.lit(False)
     listed = strip(title).rlike(r"(?iU)^(list of|lists of|index of|outline of)\b")
     return _reasons([
@@ -24,25 +25,48 @@ def raw_reasons(cfg: Filtering = Filtering()) -> Column:
         (F.col("is_disambiguation") | title.rlike(r"(?i)\(disambiguation\)$") if cfg.exclude_disambiguation else off, "disambiguation"),
         (listed if cfg.exclude_lists else off, "list_page"),
         (title.rlike(r"(?iU)\btimeline\b") if cfg.exclude_timelines else off, "timeline_page"),
-        (F.length(F.coalesce("raw_text", F.lit(""))) < cfg.min_page_chars, "too_short"),
+        (F.length(F.coalesce(raw, F.lit(""))) < cfg.min_page_chars, "too_short"),
     ])
 
 
-def filter_pages(pages: DataFrame, cfg: Filtering = Filtering()) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): both have ``rejection_reasons``; only pages that pass phase one are cleaned."""
-    first = pages.withColumn("rejection_reasons", raw_reasons(cfg))
-    early = first.where(F.size("rejection_reasons") > 0).select("page_id", "page_title", "category_group", "rejection_reasons", F.length(F.coalesce("raw_text", F.lit(""))).alias("char_count"), F.lit(None).cast("double").alias("prose_ratio"), F.lit(None).cast("double").alias("paragraph_repeat_ratio"))
-    cleaned = clean_pages(first.where(F.size("rejection_reasons") == 0))
-    cleaned = cleaned.withColumns({"prose_ratio": prose_ratio(F.col("cleaned_text")), "paragraph_repeat_ratio": paragraph_repeat_ratio(F.col("cleaned_text"))})
-    cleaned = cleaned.withColumn("rejection_reasons", _reasons([
+def decide_pages(pages: DataFrame, cfg: Filtering = Filtering()) -> DataFrame:
+    """Every page once, cleaned, with ``rejection_reasons`` (empty if it is accepted), prose_ratio and
+    paragraph_repeat_ratio. A page that phase one rejects is not cleaned: its text, sections and ratios
+    are null and ``char_count`` is that of its raw text. One scan, no shuffle."""
+    raw = F.col("_raw_text")
+    first = pages.withColumnRenamed("raw_text", "_raw_text").withColumn("_early", raw_reasons(cfg, raw))
+    first = settled(first, "_early")
+    early = F.size("_early") > 0
+    cleaned = clean_pages(first.withColumn("raw_text", F.when(~early, F.coalesce(raw, F.lit("")))))
+    cleaned = cleaned.withColumns({
+        "prose_ratio": F.when(~early, prose_ratio(F.col("cleaned_text"))),
+        "paragraph_repeat_ratio": F.when(~early, paragraph_repeat_ratio(F.col("cleaned_text"))),
+        "char_count": F.when(early, F.length(F.coalesce(raw, F.lit("")))).otherwise(F.col("char_count")),
+    })
+    late = _reasons([
         (F.col("char_count") < cfg.min_page_chars, "too_short_after_clean"),
         (F.col("section_count") < cfg.min_sections, "insufficient_sections"),
         (F.col("prose_ratio") < cfg.min_prose_ratio, "low_prose_ratio"),
         (F.col("paragraph_repeat_ratio") > cfg.max_paragraph_repeat_ratio, "high_repeat_ratio"),
-    ]))
-    cleaned = settled(cleaned, "prose_ratio", "paragraph_repeat_ratio", "rejection_reasons")
-    late = cleaned.where(F.size("rejection_reasons") > 0).select(*early.columns)
-    return cleaned.where(F.size("rejection_reasons") == 0), early.unionByName(late)
+    ])
+    for name in ("cleaned_text", "sections", "section_count"):
+        cleaned = cleaned.withColumn(name, F.when(~early, F.col(name)))
+    cleaned = settled(cleaned, "prose_ratio", "paragraph_repeat_ratio")
+    cleaned = cleaned.withColumn("rejection_reasons", F.when(early, F.col("_early")).otherwise(late))
+    return settled(cleaned, "rejection_reasons").drop("raw_text", "_early").withColumnRenamed("_raw_text", "raw_text")
+
+
+REJECTED = ["page_id", "page_title", "category_group", "rejection_reasons", "char_count", "prose_ratio", "paragraph_repeat_ratio"]
+
+
+def split_decided(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of decided pages; hold them in a table first if both are read."""
+    good = F.size("rejection_reasons") == 0
+    return decided.where(good), decided.where(~good).select(*REJECTED)
+
+
+def filter_pages(pages: DataFrame, cfg: Filtering = Filtering()) -> tuple[DataFrame, DataFrame]:
+    return split_decided(decide_pages(pages, cfg))
 
 
 def reason_counts(rejected: DataFrame, *by: str) -> DataFrame:

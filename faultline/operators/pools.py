@@ -1,48 +1,113 @@
 """Distractors of seeds.
 
-The reference set is every chunk; a seed draws a few at random from its own category (hard) or from the
-others (easy), never from its own page. Drawing happens in two keyed steps: each category offers the
-chunks that come first by hash (``pool_size``, a random sample of fixed size), and each seed orders the
-offers by a hash of its own. So the corpus is read once with one partial top-k per category, and what
-meets the seeds is bounded by categories times pool size.
+A seed draws at random from all chunks of its own category (hard) or of the others (easy), never from its
+own page, and no text twice. A draw is the order of a keyed hash: each text has a number, each draw (a seed
+and a purpose) a line through the residues of a prime, and the draw takes the texts with the least values
+on its line. So a task goes over its chunks once for all draws, keeps the best few of each, and passes on
+their numbers alone; the texts of those that win overall are read afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.config import Run
 from faultline.functions.text import keyed
 
-#: Distractors a seed keeps of each kind.
-DRAWN = 16
-
-
-def offers(chunks: DataFrame, run: Run) -> DataFrame:
-    w = Window.partitionBy("category_group").orderBy(keyed(run.seed, "pool", F.col("chunk_id")), "chunk_id")
-    top = chunks.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= run.failures.pool_size)
-    return top.select(F.col("page_id").alias("d_page"), F.col("chunk_id").alias("d_chunk"), F.col("category_group").alias("d_category"), F.col("text").alias("d_text"))
-
-
-def attach_pools(seeds: DataFrame, chunks: DataFrame, run: Run, purpose: str) -> DataFrame:
-    """Seeds with gold_text, gold_page, previous_text, next_text (null if the gold chunk is missing) and the
-    arrays ``easy`` and ``hard`` of struct(chunk_id, text, category), in the seed's keyed order.
-
-    Categories compare null-safe. If no chunk of the wanted kind is offered, any other page's will do.
-    """
-    gold = chunks.select(F.col("chunk_id").alias("_gold"), F.col("page_id").alias("gold_page"), F.col("text").alias("gold_text"), "previous_text", "next_text")
-    rows = seeds.join(gold, F.col("source.chunk_id") == F.col("_gold"), "left").drop("_gold")
-    page = F.coalesce("gold_page", F.col("source.page_id"))
-    pairs = rows.select("sample_id", "category_group", page.alias("page")).join(offers(chunks, run), F.col("d_page") != F.col("page"))
-    order = keyed(run.seed, purpose, F.col("sample_id"), F.col("d_chunk"))
-    same = F.col("d_category").eqNullSafe(F.col("category_group"))
-    w = Window.partitionBy("sample_id", same).orderBy(order, "d_chunk")
-    anyw = Window.partitionBy("sample_id").orderBy(order, "d_chunk")
-    ranked = pairs.select("sample_id", same.alias("same"), order.alias("o"), F.col("d_chunk").alias("chunk_id"), F.col("d_text").alias("text"), F.col("d_category").alias("category"), F.row_number().over(w).alias("r"), F.row_number().over(anyw).alias("ra")).where((F.col("r") <= DRAWN) | (F.col("ra") <= DRAWN))
-    pick = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("o", "chunk_id", "text", "category")))), lambda d: F.struct(d["chunk_id"].alias("chunk_id"), d["text"].alias("text"), d["category"].alias("category")))
-    drawn = ranked.groupBy("sample_id").agg(pick(F.col("same") & (F.col("r") <= DRAWN)).alias("_hard"), pick(~F.col("same") & (F.col("r") <= DRAWN)).alias("_easy"), pick(F.col("ra") <= DRAWN).alias("_any"))
-    out = rows.join(drawn, "sample_id", "left")
-    none = F.array().cast(drawn.schema["_any"].dataType)
-    either = lambda c: F.coalesce(F.when(F.size(c) > 0, F.col(c)), F.col("_any"), none)
-    return out.withColumns({"hard": either("_hard"), "easy": either("_easy")}).drop("_hard", "_easy", "_any")
+#: The prime of the lines; texts and draws are numbered below it.
+PRIME = 2**31 - 1
+#: Seeds that meet every chunk, at most: they travel to the tasks.
+MOST_SEEDS = 20_000
+
+
+def number(hexadecimal: Column, at: int = 0) -> Column:
+    """A number below the prime from eight digits of a hash."""
+    return F.conv(F.substring(hexadecimal, 8 * at + 1, 8), 16, 10).cast("long") % PRIME
+
+
+def drawn_by(run: Run) -> int:
+    """Texts of each kind that a draw takes: all that any operator uses, however many of them it drops."""
+    return max(2 * run.failures.context_budget, run.failures.context_budget + 3)
+
+
+def collected(seeds: DataFrame, *columns: Column | str) -> list:
+    """The seeds on the driver: a set that the settings bound, checked."""
+    rows = seeds.select(*columns).limit(MOST_SEEDS + 1).collect()
+    if len(rows) > MOST_SEEDS:
+        raise ValueError(f"more than {MOST_SEEDS} seeds cannot meet every chunk at once; split them")
+    return rows
+
+
+def draw(seeds: DataFrame, chunks: DataFrame, run: Run, purposes: tuple[str, ...]) -> DataFrame:
+    """purpose, sample_id, same, rank, chunk_id: the least values of each draw among texts of the seed's
+    category (``same``) and among the others. Categories compare null-safe."""
+    most = drawn_by(run)
+    known = collected(seeds, "sample_id", "category_group", F.col("source.page_id").alias("page"), *(F.struct(*(number(keyed(run.seed, p, F.col("sample_id")), k).alias(n) for k, n in enumerate("bc"))).alias(p) for p in purposes))
+    draws = [(p, r["sample_id"], r["category_group"], r["page"], r[p]["b"], r[p]["c"]) for p in purposes for r in known]
+    shared = seeds.sparkSession.sparkContext.broadcast(draws)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws = shared.value
+        b, c = (np.array([d[k] for d in draws], np.int64) for k in (4, 5))
+        pages = np.array([-1 if d[3] is None else d[3] for d in draws], np.int64)
+        cats: dict[object, np.ndarray] = {}
+        best: list[list[tuple[int, str, str]]] = [[] for _ in range(2 * len(draws))]  # by draw: other, same category
+        floor = np.full(2 * len(draws), PRIME, np.int64)
+        for batch in batches:
+            for chunk, page, cat, mark, a in zip(*(x.to_pylist() for x in batch.columns)) if draws else ():
+                if cat not in cats:
+                    cats[cat] = 2 * np.arange(len(draws)) + np.array([d[2] == cat for d in draws])
+                at = cats[cat]
+                value = (a * b + c) % PRIME
+                for k in np.flatnonzero((value <= floor[at]) & (pages != page)).tolist():
+                    heap, item = best[at[k]], (-int(value[k]), mark, chunk)
+                    twin = next((j for j, x in enumerate(heap) if x[:2] == item[:2]), None)
+                    if twin is not None:  # of equal texts the smallest chunk stays
+                        if chunk < heap[twin][2]:
+                            heap[twin] = item
+                            heapq.heapify(heap)
+                    elif len(heap) < most:
+                        heapq.heappush(heap, item)
+                    else:
+                        heapq.heappushpop(heap, item)
+                    if len(heap) == most:
+                        floor[at[k]] = -heap[0][0]
+        found = [(*draws[j // 2][:2], bool(j % 2), -v, mark, chunk) for j, heap in enumerate(best) for v, mark, chunk in heap]
+        kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found) if found else [()] * 6, kinds)], ["purpose", "sample_id", "same", "value", "mark", "chunk_id"])
+
+    mark = F.md5(F.col("text").cast("binary"))
+    rows = chunks.select("chunk_id", F.col("page_id").cast("long"), "category_group", mark.alias("mark"), number(mark).alias("a"))
+    few = rows.mapInArrow(work, "purpose string, sample_id string, same boolean, value long, mark string, chunk_id string")
+    few = few.groupBy("purpose", "sample_id", "same", "value", "mark").agg(F.min("chunk_id").alias("chunk_id"))
+    w = Window.partitionBy("purpose", "sample_id", "same").orderBy("value", "mark")
+    return few.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("purpose", "sample_id", "same", "rank", "chunk_id")
+
+
+def attach_pools(seeds: DataFrame, chunks: DataFrame, run: Run, *purposes: str) -> DataFrame:
+    """Seeds, once for each ``purpose``, with gold_text, previous_text, next_text (null if the gold chunk or
+    the neighbour is missing) and the arrays ``easy`` and ``hard`` of struct(chunk_id, text, category), in
+    the order of the draw. If no chunk of the wanted kind exists, any other page's will do."""
+    picked = draw(seeds, chunks, run, purposes)
+    asked = F.broadcast(seeds.select("sample_id", F.col("source.chunk_id").alias("chunk_id")))
+    gold = chunks.join(asked, "chunk_id").select("sample_id", F.col("text").alias("gold_text"), "previous_chunk_id", "next_chunk_id")
+    rows = seeds.join(gold, "sample_id", "left")
+    for name in ("previous", "next"):
+        near = rows.select(F.col(f"{name}_chunk_id").alias("chunk_id")).distinct()
+        texts = chunks.join(F.broadcast(near), "chunk_id").select(F.col("chunk_id").alias(f"{name}_chunk_id"), F.col("text").alias(f"{name}_text"))
+        rows = rows.join(texts, f"{name}_chunk_id", "left")
+    wanted = picked.select("chunk_id").distinct()
+    texts = chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", "text", F.col("category_group").alias("category"))
+    item = F.struct("rank", "chunk_id", "text", "category")
+    pool = lambda same: F.transform(F.array_sort(F.collect_list(F.when(F.col("same") == F.lit(same), item))), lambda d: d.dropFields("rank"))
+    pools = picked.join(texts, "chunk_id").groupBy("purpose", "sample_id").agg(pool(True).alias("_hard"), pool(False).alias("_easy"))
+    rows = rows.withColumn("purpose", F.explode(F.array(*map(F.lit, purposes)))).join(pools, ["purpose", "sample_id"], "left")
+    none = F.array().cast(pools.schema["_easy"].dataType)
+    either = lambda a, b: F.coalesce(F.when(F.size(a) > 0, F.col(a)), F.col(b), none)
+    return rows.withColumns({"hard": either("_hard", "_easy"), "easy": either("_easy", "_hard")}).drop("_hard", "_easy", "previous_chunk_id", "next_chunk_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.config import Validation
@@ -69,8 +69,8 @@ def validate(candidates: DataFrame, chunks: DataFrame, cfg: Validation = Validat
     rows = rows.withColumn("quality_score", quality_score(rule_ok, unique_ok))
     more = F.array(
         F.when(F.col("multiple"), "possible_multiple_answers"),
-        F.when(F.col("answerable").isNotNull() & ~judge_passed(cfg), "judge_rejected"),
-        F.when(~F.col("baseline_correct"), "baseline_incorrect"),
+        F.when(F.lit(cfg.use_answerability_judge) & F.col("answerable").isNotNull() & ~judge_passed(cfg), "judge_rejected"),
+        F.when(F.lit(cfg.use_baseline_test and cfg.require_baseline_correct) & ~F.col("baseline_correct"), "baseline_incorrect"),
         F.when(F.col("quality_score") < cfg.min_quality_score, "below_quality_threshold"),
     )
     rows = rows.withColumn("rejection_reasons", F.concat("rules", F.filter(more, lambda r: r.isNotNull())))
@@ -90,3 +90,23 @@ def contribution(results: DataFrame) -> DataFrame:
     parts = results.where("not accepted").select("candidate_id", F.array_distinct(F.filter(F.transform("rejection_reasons", reason_component), lambda c: c.isNotNull())).alias("parts"))
     each = parts.select(F.explode("parts").alias("component"), (F.size("parts") == 1).alias("alone"))
     return each.groupBy("component").agg(F.count("*").alias("rejected"), F.sum(F.col("alone").cast("long")).alias("unique_rejections"))
+
+
+def reason_counts(results: DataFrame) -> DataFrame:
+    """component, reason, n over all results, accepted or not."""
+    each = results.select(F.explode("rejection_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return each.select(reason_component(F.col("reason")).alias("component"), "reason", "n")
+
+
+def top_reasons(results: DataFrame, most: int = 5) -> DataFrame:
+    """The most frequent reasons of each component, with their ``rank``."""
+    w = Window.partitionBy("component").orderBy(F.desc("n"), "reason")
+    return reason_counts(results).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def overview(results: DataFrame) -> DataFrame:
+    """One row: candidates, accepted, rejected, those that a model assessed, acceptance rate (null for none)."""
+    one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    ok = F.col("accepted")
+    seen = F.col("answerable").isNotNull() | F.col("baseline_correct").isNotNull()
+    return results.agg(F.count("*").alias("candidates"), one(ok).alias("accepted"), one(~ok).alias("rejected"), one(seen).alias("llm_assessed"), F.avg(ok.cast("double")).alias("acceptance_rate"))

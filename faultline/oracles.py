@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from faultline.config import ABSTAIN_MARKERS, Run
-from faultline.operators.candidates import MONTHS, allocate
+from faultline.functions.text import ALTERNATES
+from faultline.operators.candidates import MONTHS
+from faultline.operators.pools import PRIME, drawn_by
 
 RUN = Run()
 NL = "chr(10)"
@@ -57,6 +59,12 @@ def abstains(x: str) -> str:
     return f"({p} = '' OR " + " OR ".join("contains({}, '{}')".format(p, m.replace("'", "''")) for m in ABSTAIN_MARKERS) + ")"
 
 
+def grams(x: str) -> str:
+    """Distinct character 5-grams of the lower-cased, squeezed text; a shorter one is its own gram."""
+    text = strip(squeeze(f"lower(coalesce({x}, ''))"))
+    return f"CASE WHEN {text} = '' THEN [] WHEN length({text}) < 5 THEN [{text}] ELSE list_distinct(list_transform(range(1, length({text}) - 3), lambda i: substring({text}, i, 5))) END"
+
+
 def f1(p: str, g: str) -> str:
     """F1 of two token lists."""
     same = f"list_sum(list_transform(list_distinct({p}), lambda t: least(len(list_filter({p}, lambda y: y = t)), len(list_filter({g}, lambda y: y = t)))))"
@@ -76,14 +84,33 @@ raw_section AS (SELECT page_id, (i - 1) // 4 AS k, {strip(f"regexp_replace({_BOD
 section AS (SELECT page_id, k, CASE WHEN k = 0 THEN 'Lead' ELSE 'Section ' || k END AS section_title, body FROM raw_section WHERE body <> ''),
 clean AS (SELECT page_id, page_title, category_group, coalesce(cleaned_text, '') AS cleaned_text, coalesce(section_count, 0) AS section_count FROM page LEFT JOIN
   (SELECT page_id, string_agg(CASE WHEN k = 0 THEN body ELSE '== ' || section_title || ' ==' || {NL} || body END, {PARA} ORDER BY k) AS cleaned_text, count(*) AS section_count FROM section GROUP BY page_id) USING (page_id))"""
+SIZE = RUN.chunking.chunk_tokens
+_PARTS = r"regexp_extract_all({}, '(?:\p{{L}}+|\p{{N}}{{1,3}}|[^\s\p{{L}}\p{{N}}]+)\s*')"
+
+
+def windows(x: str) -> str:
+    """Stretches of SIZE tokens, each token with the white space after it."""
+    parts = _PARTS.format(x)
+    return f"CASE WHEN len({parts}) <= {SIZE} THEN [{x}] ELSE list_transform(range(0, len({parts}), {SIZE}), lambda k: {strip(f"array_to_string(list_slice({parts}, k + 1, k + {SIZE}), '')")}) END"
+
+
+_NONE = "[]::VARCHAR[]"
+_PACK = f"""list_reduce(list_transform(sents, lambda s: {{'out': {_NONE}, 'cur': s, 'n': {token_count('s')}}}), lambda a, b:
+  CASE WHEN b.n > {SIZE} THEN {{'out': list_concat(list_concat(a.out, CASE WHEN a.n > 0 THEN [a.cur] ELSE {_NONE} END), {windows('b.cur')}), 'cur': '', 'n': 0}}
+  WHEN a.n > 0 AND a.n + 1 + b.n > {SIZE} THEN {{'out': list_append(a.out, a.cur), 'cur': b.cur, 'n': b.n}}
+  WHEN a.n > 0 THEN {{'out': a.out, 'cur': a.cur || ' ' || b.cur, 'n': a.n + 1 + b.n}} ELSE {{'out': a.out, 'cur': b.cur, 'n': b.n}} END, {{'out': {_NONE}, 'cur': '', 'n': 0::BIGINT}})"""
 CHUNKS = f"""{SECTIONS},
 para AS (SELECT page_id, section_title, k, unnest(ps) AS text, generate_subscripts(ps, 1) AS j FROM
   (SELECT page_id, section_title, k, list_filter(list_transform(regexp_split_to_array(body, '\\n\\s*\\n'), lambda p: {strip('p')}), lambda p: p <> '') AS ps FROM section)),
-placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k, j) - 1 AS paragraph_index, {token_count('text')} AS token_count FROM para),
-chunk AS (SELECT page_id || '_1_' || paragraph_index || '_0' AS chunk_id, page_id, page_title, category_group, section_title, paragraph_index, 0 AS chunk_index, token_count, text,
-  lag(text) OVER w AS previous_text, lead(text) OVER w AS next_text,
-  lag(page_id || '_1_' || paragraph_index || '_0') OVER w AS previous_chunk_id, lead(page_id || '_1_' || paragraph_index || '_0') OVER w AS next_chunk_id
-  FROM placed JOIN page USING (page_id) WHERE token_count >= 5 WINDOW w AS (PARTITION BY page_id ORDER BY paragraph_index))"""
+placed AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k, j) - 1 AS paragraph_index, {token_count('text')} AS tokens FROM para),
+cut AS (SELECT page_id, paragraph_index, CASE WHEN len(sents) <= 1 THEN {windows('text')} ELSE list_concat(packed.out, CASE WHEN packed.n > 0 THEN [packed.cur] ELSE {_NONE} END) END AS pieces FROM
+  (SELECT *, {_PACK} AS packed FROM (SELECT page_id, paragraph_index, text, {sentences('text')} AS sents FROM placed WHERE tokens > {SIZE}))),
+piece AS (SELECT page_id, section_title, paragraph_index, 1 AS i, text FROM placed WHERE tokens <= {SIZE} UNION ALL
+  SELECT page_id, section_title, paragraph_index, i, {strip('text')} AS text FROM (SELECT page_id, paragraph_index, unnest(pieces) AS text, generate_subscripts(pieces, 1) AS i FROM cut) JOIN (SELECT page_id, paragraph_index, section_title FROM placed) USING (page_id, paragraph_index)),
+counted AS (SELECT *, row_number() OVER (PARTITION BY page_id, paragraph_index ORDER BY i) - 1 AS chunk_index FROM (SELECT *, {token_count('text')} AS token_count FROM piece) WHERE token_count >= {RUN.chunking.least_tokens}),
+chunk AS (SELECT *, page_id || '_1_' || paragraph_index || '_' || chunk_index AS chunk_id, lag(text) OVER w AS previous_text, lead(text) OVER w AS next_text,
+  lag(page_id || '_1_' || paragraph_index || '_' || chunk_index) OVER w AS previous_chunk_id, lead(page_id || '_1_' || paragraph_index || '_' || chunk_index) OVER w AS next_chunk_id
+  FROM counted JOIN (SELECT page_id, page_title, category_group FROM page) USING (page_id) WINDOW w AS (PARTITION BY page_id ORDER BY paragraph_index, chunk_index))"""
 
 
 def ratio_repeat(x: str) -> str:
@@ -106,9 +133,9 @@ rejected AS (SELECT page_id, category_group, reasons, char_count FROM early UNIO
 
 GOOD = rf"""{CHUNKS},
 good AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY paragraph_index, chunk_index) AS turn FROM chunk
-  WHERE token_count >= 60 AND length(text) >= 120 AND (regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])\d{{2,}}($|[^\p{{L}}\p{{N}}_])') OR regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])({MONTHS})($|[^\p{{L}}\p{{N}}_])') OR len(regexp_extract_all(text, '[A-Z][a-z]+')) >= 2)),
+  WHERE token_count BETWEEN 60 AND 320 AND length(text) >= 120 AND (regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])\d{{2,}}($|[^\p{{L}}\p{{N}}_])') OR regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])({MONTHS})($|[^\p{{L}}\p{{N}}_])') OR len(regexp_extract_all(text, '[A-Z][a-z]+')) >= 2)),
 slotted AS (SELECT *, row_number() OVER (ORDER BY turn, page_id) - 1 AS slot FROM good ORDER BY turn, page_id LIMIT 2000)"""
-_COUNTS = allocate(1000, {"easy": 0.40, "medium": 0.40, "hard": 0.20})
+_COUNTS = {"easy": 400, "medium": 400, "hard": 200}
 SCHEDULE = "schedule AS (SELECT row_number() OVER (ORDER BY k, level) - 1 AS slot, difficulty FROM (VALUES " + ", ".join(f"('{d}', {i}, {n})" for i, (d, n) in enumerate(_COUNTS.items())) + ") v(difficulty, level, n), range(1, 1001) r(k) WHERE k <= n)"
 CANDIDATES = rf"""{GOOD}, {SCHEDULE},
 supported AS (SELECT *, list_sort(list_transform(list_filter({sentences('text')}, lambda s: len({words('s')}) >= 6), lambda s, i: {{'n': -length(s), 'i': i, 's': s}}))[1].s AS support FROM slotted),
@@ -120,7 +147,15 @@ RESULTS = f"""{CANDIDATES},
 normal AS (SELECT *, {norm('question')} AS nq, {norm('gold_answer')} AS ng, {norm('supporting_sentence')} AS ns, {norm('chunk_text')} AS nc, {norm('page_title')} AS nt, {token_count('question')} AS question_tokens FROM candidate),
 ruled AS (SELECT *, concat_ws(',', CASE WHEN length(question) < 12 THEN 'question_too_short' END, CASE WHEN question_tokens > 60 THEN 'question_too_long' END, CASE WHEN contains(nq, ng) THEN 'answer_in_question' END,
   CASE WHEN NOT contains(ns, ng) THEN 'answer_not_in_supporting_sentence' END, CASE WHEN ns <> '' AND NOT contains(nc, ns) THEN 'supporting_sentence_not_in_chunk' END, CASE WHEN nt <> '' AND contains(nq, nt) THEN 'title_leak_in_question' END) AS rules FROM normal),
-result AS (SELECT *, rules = '' AS accepted, CASE WHEN rules = '' THEN 1.0 ELSE 0.1 END AS quality_score, concat_ws(',', nullif(rules, ''), CASE WHEN rules <> '' THEN 'below_quality_threshold' END) AS reasons FROM ruled)"""
+ruled_result AS (SELECT *, rules = '' AS accepted, CASE WHEN rules = '' THEN 1.0 ELSE 0.1 END AS quality_score, concat_ws(',', nullif(rules, ''), CASE WHEN rules <> '' THEN 'below_quality_threshold' END) AS reasons FROM ruled),
+good_one AS (SELECT candidate_id, nq, ns || '||' || ng AS fact, {grams('question')} AS gs, row_number() OVER (ORDER BY candidate_id)::INT AS i FROM ruled_result WHERE accepted),
+rival AS (SELECT x.i, y.i AS j FROM good_one x JOIN good_one y ON y.i < x.i AND x.nq = y.nq UNION SELECT x.i, y.i AS j FROM good_one x JOIN good_one y ON y.i < x.i AND x.fact = y.fact UNION
+  SELECT i, j FROM (SELECT x.i, y.i AS j, count(*) AS k, any_value(len(x.gs)) AS nx, any_value(len(y.gs)) AS ny FROM (SELECT i, gs, unnest(gs) AS g FROM good_one) x JOIN (SELECT i, gs, unnest(gs) AS g FROM good_one) y ON x.g = y.g AND y.i < x.i GROUP BY x.i, y.i) WHERE 100 * k >= 85 * (nx + ny - k)),
+ordered AS (SELECT i, coalesce(list(j) FILTER (j IS NOT NULL), []::INT[]) AS bad FROM good_one LEFT JOIN rival USING (i) GROUP BY i),
+winner AS (SELECT unnest(list_reduce(list({{'k': [i], 'bad': bad}} ORDER BY i), lambda a, b: CASE WHEN list_has_any(a.k, b.bad) THEN a ELSE {{'k': list_concat(a.k, b.k), 'bad': a.bad}} END, {{'k': []::INT[], 'bad': []::INT[]}}).k) AS i FROM ordered),
+repeated AS (SELECT x.candidate_id, coalesce(nullif(concat_ws(',', CASE WHEN bool_or(x.nq = y.nq) THEN 'duplicate_question' END, CASE WHEN bool_or(x.fact = y.fact) THEN 'duplicate_supporting_fact' END), ''), 'near_duplicate_question') AS more
+  FROM good_one x JOIN rival r ON r.i = x.i JOIN winner w ON w.i = r.j JOIN good_one y ON y.i = r.j WHERE x.i NOT IN (SELECT i FROM winner) GROUP BY x.candidate_id),
+result AS (SELECT ruled_result.* EXCLUDE (accepted, reasons), accepted AND more IS NULL AS accepted, concat_ws(',', nullif(reasons, ''), more) AS reasons FROM ruled_result LEFT JOIN repeated USING (candidate_id))"""
 _SHARE = RUN.validation.target_clean_seeds // len(RUN.categories)
 _WANT = "CASE difficulty " + " ".join(f"WHEN '{d}' THEN {round(_SHARE * r)}" for d, r in (("easy", 0.4), ("medium", 0.4), ("hard", 0.2))) + " END"
 _TIE = f"quality_score DESC, {keyed('42', "'seed'", 'candidate_id')}, candidate_id"
@@ -131,17 +166,19 @@ levelled AS (SELECT *, row_number() OVER (PARTITION BY category_group, difficult
 ranked AS (SELECT *, row_number() OVER (PARTITION BY category_group ORDER BY first DESC, {_TIE}) AS in_category FROM levelled),
 picked AS (SELECT *, in_category <= {_SHARE} AND {_KNOWN} AS chosen FROM ranked),
 seed AS (SELECT 'seed_' || lpad((row_number() OVER (ORDER BY {_ORDER}) - 1)::VARCHAR, 6, '0') AS sample_id, * EXCLUDE (chosen, first, in_category) FROM (SELECT * FROM picked ORDER BY {_ORDER} LIMIT {RUN.validation.target_clean_seeds}))"""
-OFFERS = f"""offer AS (SELECT page_id AS d_page, chunk_id AS d_chunk, category_group AS d_category, text AS d_text FROM
-  (SELECT *, row_number() OVER (PARTITION BY category_group ORDER BY {keyed('42', "'pool'", 'chunk_id')}, chunk_id) AS r FROM chunk) WHERE r <= {RUN.failures.pool_size})"""
+_KEY = "('0x' || substring({}, {}, 8))::BIGINT % " + str(PRIME)
 
 
 def pools(purpose: str) -> str:
     """Seeds with their gold chunk, neighbours, and the texts of easy and hard distractors in order."""
-    return f"""{SEEDS}, {OFFERS},
-drawn AS (SELECT *, row_number() OVER (PARTITION BY sample_id, same ORDER BY o, d_chunk) AS r, row_number() OVER (PARTITION BY sample_id ORDER BY o, d_chunk) AS ra FROM
-  (SELECT sample_id, d_category IS NOT DISTINCT FROM category_group AS same, {keyed('42', f"'{purpose}'", 'sample_id', 'd_chunk')} AS o, d_chunk, d_text FROM seed JOIN offer ON d_page <> page_id)),
-pooled AS (SELECT sample_id, list(d_text ORDER BY o, d_chunk) FILTER (same AND r <= 16) AS h, list(d_text ORDER BY o, d_chunk) FILTER (NOT same AND r <= 16) AS e, list(d_text ORDER BY o, d_chunk) FILTER (ra <= 16) AS a FROM drawn GROUP BY sample_id),
-base AS (SELECT seed.*, chunk.text AS gold_text, chunk.previous_text, chunk.next_text, coalesce(h, a, []) AS hard, coalesce(e, a, []) AS easy, severity
+    key = keyed("42", f"'{purpose}'", "sample_id")
+    return f"""{SEEDS},
+ray AS (SELECT sample_id, page_id, category_group, {_KEY.format(key, 1)} AS b, {_KEY.format(key, 9)} AS c FROM seed),
+offer AS (SELECT page_id AS d_page, chunk_id AS d_chunk, category_group AS d_category, text AS d_text, md5(text) AS mark, {_KEY.format('md5(text)', 1)} AS a FROM chunk),
+valued AS (SELECT sample_id, d_category IS NOT DISTINCT FROM category_group AS same, (a * b + c) % {PRIME} AS v, mark, min(d_chunk) AS d_chunk FROM ray JOIN offer ON d_page <> page_id GROUP BY ALL),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY sample_id, same ORDER BY v, mark) AS r FROM valued QUALIFY r <= {drawn_by(RUN)}),
+pooled AS (SELECT sample_id, list(d_text ORDER BY r) FILTER (same) AS h, list(d_text ORDER BY r) FILTER (NOT same) AS e FROM drawn JOIN (SELECT d_chunk, d_text FROM offer) USING (d_chunk) GROUP BY sample_id),
+base AS (SELECT seed.*, chunk.text AS gold_text, chunk.previous_text, chunk.next_text, coalesce(h, e, []) AS hard, coalesce(e, h, []) AS easy, severity
   FROM seed JOIN chunk USING (chunk_id) LEFT JOIN pooled USING (sample_id), (VALUES ('low'), ('medium'), ('high')) s(severity))"""
 
 
@@ -190,13 +227,37 @@ cut3 AS (SELECT *, array_to_string(list_slice(sec, 1, greatest(1, len(sec) // 2)
 slot AS (SELECT *, CASE severity WHEN 'low' THEN [{_JOIN('before', 'cut_a')}, {_JOIN('cut_b', 'after')}] WHEN 'medium' THEN [{_JOIN('before', 'cut_a')}, {_JOIN('cut_b', 'after')}] ELSE [{_JOIN('before', 'cut_a')}, {strip('b1')}, {_JOIN('b2', 'after')}] END AS golds,
   coalesce({strip('hard[1]')}, '') AS d0, coalesce({strip('hard[2]')}, '') AS d1 FROM cut3),
 made AS (SELECT *, list_filter(CASE severity WHEN 'low' THEN golds WHEN 'medium' THEN [golds[1], d0, golds[2]] ELSE [golds[1], d0, golds[2], d1, golds[3]] END, lambda t: t <> '') AS contexts FROM slot WHERE len(list_filter(golds, lambda t: t = '')) = 0)"""
-_POOL = {"numeric": ["42", "100", "7", "3.14"], "other": ["Option A", "Option B", "an alternative account"]}
 _list = lambda v: "[" + ", ".join(f"'{x}'" for x in v) + "]"
-_NUM = r"regexp_extract(gold_answer, '\\b(\\d+(?:\\.\\d+)?)\\b', 1)".replace("\\\\", "\\")
+
+
+def found(x: str, number: str) -> tuple[str, str, str]:
+    """What stands before the first such number that is a word of its own, the number, and the rest."""
+    word, other = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    pattern = f"(?s)^(|.*?{other})({number})($|{other}.*$)"
+    return tuple(f"regexp_extract({x}, '{pattern}', {k})" for k in (1, 2, 3))
+
+
+def general(x: str) -> str:
+    """As C prints with %g, for numbers from one to below a million."""
+    fixed = f"round({x}, 0)"
+    for places in range(1, 6):
+        fixed = f"CASE WHEN {x} < {10 ** (6 - places)} THEN round({x}, {places}) ELSE {fixed} END"
+    return f"regexp_replace(({fixed})::VARCHAR, '\\.0$', '')"
+
+
+def alternate(gold: str, kind: str, key: str) -> str:
+    """Another answer for ``gold`` of the type ``kind``, an SQL string or column."""
+    before, year, after = found(gold, "1[0-9]{3}|20[0-9]{2}")
+    head, number, tail = found(gold, r"[0-9]+(?:\.[0-9]+)?")
+    of = lambda k: f"list_filter({_list(ALTERNATES[k])}, lambda a: {norm('a')} <> {norm(gold)})"
+    pick = lambda k: f"{of(k)}[1 + (('0x' || left({key}, 8))::BIGINT % len({of(k)}))]"
+    plus = f"CASE WHEN contains({number}, '.') THEN {general(f'(({number})::DOUBLE + 1)')} ELSE (({number})::DECIMAL(38, 0) + 1)::VARCHAR END"
+    return f"""CASE WHEN {kind} = 'date' AND {year} <> '' THEN {before} || (({year})::INT - 3) || {after} WHEN {kind} IN ('numeric', 'other') AND {number} <> '' THEN {head} || {plus} || {tail}
+  WHEN {kind} = 'date' THEN {pick('date')} WHEN {kind} = 'numeric' THEN {pick('numeric')} ELSE {pick('other')} END"""
+
+
 CONFLICT = f"""{pools('conflict')},
-alt0 AS (SELECT *, {_NUM} AS num, list_filter(CASE answer_type WHEN 'numeric' THEN {_list(_POOL['numeric'])} ELSE {_list(_POOL['other'])} END, lambda a: {norm('a')} <> ng) AS open_, {strip('supporting_sentence')} AS support FROM base),
-alt1 AS (SELECT *, CASE WHEN num <> '' THEN left(gold_answer, instr(gold_answer, num) - 1) || CASE WHEN contains(num, '.') THEN regexp_replace(round(num::DOUBLE + 1, 4)::VARCHAR, '\\.0$', '') ELSE (num::DECIMAL(38, 0) + 1)::VARCHAR END || substring(gold_answer, instr(gold_answer, num) + length(num))
-  ELSE open_[1 + (('0x' || left({keyed('42', "'conflict'", 'sample_id', 'severity')}, 8))::BIGINT % len(open_))] END AS other FROM alt0),
+alt1 AS (SELECT *, {strip('supporting_sentence')} AS support, {alternate('gold_answer', 'answer_type', keyed('42', "'conflict'", 'sample_id', 'severity'))} AS other FROM base),
 alt2 AS (SELECT *, {strip("left(support, instr(support, gold_answer) - 1) || other || substring(support, instr(support, gold_answer) + length(gold_answer))")} AS said FROM alt1),
 alt3 AS (SELECT *, CASE WHEN {holds('said')} THEN 'Contrary to other reports, the correct answer is ' || other || ', not ' || gold_answer || '.' ELSE said END AS passage, list_filter({full('list_slice(easy, 1, 8)')}, lambda t: t <> gold_text) AS fillers FROM alt2 WHERE said <> '' AND {norm('said')} <> ns),
 made AS (SELECT *, {full("CASE severity WHEN 'low' THEN [gold_text, passage] WHEN 'medium' THEN list_concat([passage, gold_text], list_slice(fillers, 1, 2)) ELSE list_slice(list_concat([passage], list_slice(fillers, 1, 5), [passage, gold_text]), 1, 8) END")} AS contexts FROM alt3)"""
@@ -226,10 +287,30 @@ RUNS = """cnt AS (SELECT source, count(*) AS candidates, count(*) FILTER (n_char
 run AS (SELECT candidates::DOUBLE AS candidates, accepted::DOUBLE AS accepted, candidates / nullif(candidates + errors, 0) AS schema_success_rate, accepted / nullif(CASE WHEN accepted + rejected > 0 THEN accepted + rejected ELSE candidates END, 0) AS qa_acceptance_rate,
   seeds / nullif(candidates, 0) AS clean_seed_yield, valid / nullif(valid + invalid, 0) AS failure_verification_pass_rate FROM cnt)"""
 
+_COMPONENT = "CASE WHEN r = 'below_quality_threshold' THEN 'quality_threshold' WHEN r IN ('duplicate_question', 'duplicate_supporting_fact', 'near_duplicate_question') THEN 'deduplication' ELSE 'rule_checks' END"
+#: First-wins deduplication of all candidates, in the order of their ids.
+FIRST_WINS = RESULTS[RESULTS.index("good_one AS") : RESULTS.index(",\nresult AS")].replace("FROM ruled_result WHERE accepted", "FROM every").join([f"every AS (SELECT candidate_id, question, {norm('question')} AS nq, {norm('gold_answer')} AS ng, {norm('supporting_sentence')} AS ns FROM candidate), ", ""])
+_JUDGED = f"coalesce(answerable AND answer_supported AND answer_unique AND question_clear AND judge_confidence >= {RUN.validation.min_judge_confidence}, false)"
+_FIRST = f"coalesce({sentences("coalesce(text, '')")}[1], '')"
+MIXED = f"""base AS (SELECT doc_id AS n, {_FIRST} AS first, doc_id % 3 > 0 AS ran, doc_id % 5 > 0 AS told FROM documents),
+mixed AS (SELECT n, n::VARCHAR AS candidate_id, ran, ['Who ', 'which ', 'When ', 'What '][n % 4 + 1] || left(first, 40) AS question, ['person', 'organization', 'location', 'other'][n % 4 + 1] AS answer_type, first || CASE WHEN n % 2 = 0 THEN ' and more' ELSE '' END AS support, n % 7 = 0 AS both_,
+  CASE WHEN ran THEN n % 11 > 0 END AS answerable, CASE WHEN ran THEN n % 13 > 0 END AS answer_supported, CASE WHEN ran THEN n % 17 > 0 END AS answer_unique, CASE WHEN ran THEN n % 19 > 0 END AS question_clear,
+  CASE WHEN ran THEN n % 10 / 10 END AS judge_confidence, CASE WHEN told THEN n % 8 / 8 END AS baseline_f1, CASE WHEN told THEN n % 6 > 1 END AS baseline_correct, n % 9 > 0 AS rule_ok FROM base),
+flagged AS (SELECT *, n % 4 IN (0, 1) AND contains(support, ' and ') AND NOT both_ AS multiple FROM mixed)"""
+
+
+def _score(rules: str, unique: str) -> str:
+    judge = "(answerable::INT + answer_supported::INT + answer_unique::INT + question_clear::INT) * 0.25::DOUBLE * judge_confidence"
+    total = f"0.3::DOUBLE * ({rules})::INT + 0.1::DOUBLE * ({unique})::INT + 0.3::DOUBLE * coalesce({judge}, ({rules})::INT) + 0.3::DOUBLE * CASE WHEN baseline_correct IS NULL THEN ({rules})::INT ELSE greatest(coalesce(baseline_f1, 0), baseline_correct::INT) END"
+    return f"round(least({total}, 1.0), 4)"
+
+
 SQL = {
     "page_reject_reasons": f"WITH {REJECTED} SELECT page_id, category_group, reasons, char_count::INT AS char_count FROM rejected",
     "page_reject_counts": f"WITH {REJECTED} SELECT category_group, reason, count(*) AS n FROM (SELECT category_group, unnest(string_split(reasons, ',')) AS reason FROM rejected) GROUP BY ALL",
-    "page_filter_raw": f"WITH {PAGES} SELECT page_id, CASE WHEN length(raw_text) < 500 THEN 'too_short' ELSE '' END AS reasons FROM page",
+    "page_filter_raw": f"""WITH {PAGES}, named AS (SELECT page_id, raw_text, CASE page_id % 11 WHEN 1 THEN ' List of ' || page_title WHEN 2 THEN page_title || ' (Disambiguation)' WHEN 3 THEN 'A TIMELINE of ' || page_title WHEN 4 THEN 'Outlines of ' || page_title WHEN 5 THEN '' ELSE page_title END AS title FROM page)
+SELECT page_id, concat_ws(',', CASE WHEN page_id % 7 = 0 THEN 'redirect' END, CASE WHEN page_id % 13 = 0 OR ends_with(lower(title), '(disambiguation)') THEN 'disambiguation' END, CASE WHEN starts_with(lower(trim(title)), 'list of ') THEN 'list_page' END,
+  CASE WHEN contains(lower(title), ' timeline ') THEN 'timeline_page' END, CASE WHEN length(raw_text) < 500 THEN 'too_short' END) AS reasons FROM named""",
     "cleaned_pages": f"WITH {SECTIONS} SELECT page_id, page_title, section_count::INT AS section_count, length(cleaned_text)::INT AS char_count, md5(cleaned_text) AS text_md5 FROM clean",
     "section_rows": f"WITH {SECTIONS} SELECT page_id, section_title, CASE WHEN k = 0 THEN 1 ELSE 2 END AS level, section_title AS path, length(body)::INT AS chars FROM section",
     "prose_ratio": f"SELECT doc_id, round({ratio_prose('text')}, 6) AS ratio FROM documents",
@@ -262,9 +343,22 @@ SELECT *, CASE WHEN n_pages > 0 THEN round(n_chunks / n_pages, 2) ELSE 0.0 END A
     "difficulty_allocation": "SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, '{d}', {c}::BIGINT)" for n, e, m, h in ((1, 1, 0, 0), (2, 1, 1, 0), (7, 3, 3, 1), (33, 13, 13, 7), (100, 40, 40, 20), (500, 200, 200, 100), (1000, 400, 400, 200)) for d, c in (("easy", e), ("medium", m), ("hard", h))) + ") v(total, difficulty, n)",
     "difficulty_schedule": f"WITH {SCHEDULE} SELECT slot::INT AS slot, difficulty FROM schedule",
     "candidate_rows": f"WITH {CANDIDATES} SELECT candidate_id, slot::INT AS slot, difficulty, answer_type, gold_answer, question, chunk_id FROM candidate",
-    "rule_reasons": f"WITH {RESULTS} SELECT candidate_id, rules AS reasons, false AS multiple FROM ruled",
+    "rule_reasons": f"WITH {RESULTS} SELECT candidate_id, rules AS reasons, regexp_matches(lower(question), '^(who|which|what)') AND answer_type IN ('person', 'organization') AND contains(supporting_sentence, ' and ') AND NOT contains(lower(gold_answer), ' and ') AS multiple FROM ruled",
+    "uniqueness_flags": f"WITH {MIXED} SELECT candidate_id, multiple FROM flagged",
+    "quality_scores": f"WITH {MIXED} SELECT candidate_id, {_score('rule_ok', 'NOT multiple')} AS quality_score, {_JUDGED} AS judged_good FROM flagged",
+    "layer_contribution": f"""WITH {MIXED}, parts AS (SELECT list_filter([CASE WHEN NOT rule_ok THEN 'rule_checks' END, CASE WHEN ran AND NOT {_JUDGED} THEN 'llm_judge' END, CASE WHEN NOT baseline_correct THEN 'baseline_test' END,
+  CASE WHEN {_score('rule_ok', 'true')} < 0.85 AND n % 2 = 0 THEN 'quality_threshold' END, CASE WHEN n % 23 = 0 THEN 'deduplication' END], lambda c: c IS NOT NULL) AS c FROM flagged)
+SELECT component, count(*) AS rejected, count(*) FILTER (alone) AS unique_rejections FROM (SELECT unnest(c) AS component, len(c) = 1 AS alone FROM parts) GROUP BY component""",
+    "rejection_reason_counts": f"WITH {RESULTS} SELECT {_COMPONENT} AS component, r AS reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS r FROM result WHERE reasons <> '') GROUP BY ALL",
+    "pages_by_category": f"WITH {REJECTED} SELECT coalesce(category_group, 'unknown') AS value, count(*) AS n FROM page WHERE page_id NOT IN (SELECT page_id FROM rejected) GROUP BY ALL",
+    "alternate_answers": f"""WITH g AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '([^\\s]*[^\\s\\d]?\\d+(?:\\.\\d+)?[^\\s]*)', 1) AS gold, (doc_id % 2000 / 8 + 0.0625)::DOUBLE::VARCHAR AS small FROM documents)
+SELECT doc_id, {alternate('gold', "'numeric'", keyed('42', 'doc_id'))} AS counted, {alternate('small', "'other'", keyed('42', 'doc_id'))} AS raised, {alternate('gold', "'date'", keyed('42', 'doc_id'))} AS dated FROM g WHERE gold <> ''""",
+    "gram_similarity_turns": f"""WITH {PAIRS}, s AS (SELECT conv_id, turn, {grams('gold')} AS a, {grams('prediction')} AS b FROM pair)
+SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END, 6) AS similarity FROM s""",
     "validation_results": f"WITH {RESULTS} SELECT candidate_id, accepted, quality_score::DOUBLE AS quality_score, reasons FROM result",
-    "validation_contribution": f"WITH {RESULTS}, part AS (SELECT unnest(['rule_checks', 'quality_threshold']) AS component FROM result WHERE NOT accepted) SELECT component, count(*) AS rejected, 0::BIGINT AS unique_rejections FROM part GROUP BY component",
+    "validation_contribution": f"""WITH {RESULTS}, part AS (SELECT list_distinct(list_transform(string_split(reasons, ','), lambda r: {_COMPONENT})) AS c FROM result WHERE NOT accepted)
+SELECT component, count(*) AS rejected, count(*) FILTER (alone) AS unique_rejections FROM (SELECT unnest(c) AS component, len(c) = 1 AS alone FROM part) GROUP BY component""",
+    "question_dedup": f"WITH {CANDIDATES}, {FIRST_WINS} SELECT candidate_id, more IS NULL AS kept, coalesce(more, '') AS reasons FROM every LEFT JOIN repeated USING (candidate_id)",
     "rejected_anti_join": f"WITH {RESULTS} SELECT candidate_id FROM result WHERE NOT accepted",
     "seed_selection": f"WITH {SEEDS} SELECT sample_id, candidate_id, category_group, difficulty, quality_score::DOUBLE AS quality_score FROM seed",
     "inject_missing_evidence": case_rows(MISSING, "missing_evidence", False),

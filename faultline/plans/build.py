@@ -15,12 +15,12 @@ def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 def build_corpus(pages: DataFrame, run: Run, folder: str) -> dict[str, DataFrame]:
     """Filter, deduplicate, draw the quotas, chunk. Tables: accepted, rejected, pages, chunks."""
-    accepted, rejected = filters.filter_pages(pages, run.filtering)
-    accepted = _kept(accepted, folder, "accepted")
+    accepted, rejected = filters.split_decided(_kept(filters.decide_pages(pages, run.filtering), folder, "decided"))
+    accepted = _kept(dedup.numbered(accepted), folder, "accepted")
     decided = _kept(dedup.deduplicate_pages(accepted), folder, "dedup")
-    repeats = accepted.join(decided.where("not kept"), "page_id").drop("rejection_reasons").withColumnRenamed("reasons", "rejection_reasons")
+    repeats = accepted.join(decided.where("not kept"), ["page_id", "copy"]).drop("rejection_reasons").withColumnRenamed("reasons", "rejection_reasons")
     out = {"accepted": accepted, "rejected": _kept(rejected.unionByName(repeats.select(*rejected.columns)), folder, "rejected")}
-    unique = accepted.join(decided.where("kept").select("page_id"), "page_id", "left_semi")
+    unique = accepted.join(decided.where("kept").select("page_id", "copy"), ["page_id", "copy"], "left_semi")
     out["pages"] = _kept(dedup.quota_sample(unique, run), folder, "pages")
     out["chunks"] = _kept(chunks.chunk_pages(out["pages"], run.chunking), folder, "chunks")
     return out
@@ -33,7 +33,7 @@ def build_failures(found: DataFrame, run: Run, folder: str, signals: DataFrame |
     out["results"] = _kept(validation.with_dedup(results), folder, "results")
     chosen = _kept(seeds.select_seeds(out["results"].where("accepted"), run), folder, "chosen")
     out["seeds"] = _kept(seeds.clean_contexts(chosen, found, run), folder, "seeds")
-    verified = _kept(verify.verify(failures.inject(chosen, found, run)), folder, "verified")
+    verified = _kept(verify.verify(failures.inject(chosen, found, run, folder=f"{folder}/drawn")), folder, "verified")
     out["failures"], out["quarantine"] = verify.split_valid(verified)
     work = evaluate.jobs(out["seeds"], out["failures"])
     out["evaluation"] = _kept(evaluate.score(evaluate.answer_offline(work), run), folder, "evaluation")

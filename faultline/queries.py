@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.config import Chunking, Filtering, Generation, Run
+from faultline.config import Filtering, Generation, Run
 from faultline.functions import text as t
 from faultline.functions.similarity import semantic_similarity
 from faultline.operators import candidates, chunks, dedup, evaluate, failures, filters, metrics, reports, seeds, validation, verify
@@ -17,9 +17,7 @@ from faultline.sources.adapters import corpus_pages, table, web_pages
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 RUN = Run()
-#: Paragraphs stay whole, so that SQL can follow; the packed query takes the default budget.
-WHOLE = Chunking(chunk_tokens=10**9)
-GENERATION = Generation(max_chunk_tokens=10**9)
+GENERATION = Generation()
 
 
 def query(f: Query) -> Query:
@@ -28,7 +26,7 @@ def query(f: Query) -> Query:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus_pages(table(spark, sf, "documents"))
+    return corpus_pages(table(spark, sf, "documents", "doc_id", "text", "lang", "source"))
 
 
 def _turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,7 +54,11 @@ def page_reject_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def page_filter_raw(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf).select("page_id", F.array_join(filters.raw_reasons(Filtering(min_page_chars=500)), ",").alias("reasons"))
+    """Phase one over pages whose titles and flags take all its forms in turn."""
+    form, title = F.col("page_id") % 11, F.col("page_title")
+    named = F.when(form == 1, F.concat(F.lit(" List of "), title)).when(form == 2, F.concat(title, F.lit(" (Disambiguation)"))).when(form == 3, F.concat(F.lit("A TIMELINE of "), title)).when(form == 4, F.concat(F.lit("Outlines of "), title)).when(form == 5, F.lit(None)).otherwise(title)
+    rows = _pages(spark, sf).withColumns({"page_title": named, "is_redirect": F.col("page_id") % 7 == 0, "is_disambiguation": F.col("page_id") % 13 == 0})
+    return rows.select("page_id", F.array_join(filters.raw_reasons(Filtering(min_page_chars=500)), ",").alias("reasons"))
 
 
 @query
@@ -129,40 +131,35 @@ def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def near_dup_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.deduplicate_pages(_pages(spark, sf).withColumn("cleaned_text", F.lit(None).cast("string"))).select("page_id", "kept", F.array_join("reasons", ",").alias("reasons"))
+    return dedup.deduplicate_pages(clean_pages(_pages(spark, sf))).select("page_id", "kept", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query
 def category_quota_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.quota_sample(_pages(spark, sf), RUN).select("page_id", "category_group", "rank")
+    return dedup.quota_sample(_pages(spark, sf).select("page_id", "category_group"), RUN).select("page_id", "category_group", "rank")
 
 
 # Chunks
 
 
-def _whole_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks.chunk_pages(clean_pages(_pages(spark, sf)), WHOLE)
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.chunk_pages(clean_pages(_pages(spark, sf)))
 
 
 @query
 def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _whole_chunks(spark, sf).select("chunk_id", "page_id", "section_title", "paragraph_index", "chunk_index", "token_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return _chunks(spark, sf).select("chunk_id", "page_id", "section_title", "paragraph_index", "chunk_index", "token_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query
 def chunk_adjacency(spark: SparkSession, sf: str) -> DataFrame:
-    return _whole_chunks(spark, sf).select("chunk_id", "previous_chunk_id", "next_chunk_id")
-
-
-@query
-def chunk_rows_packed(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks.chunk_pages(clean_pages(_pages(spark, sf))).select("chunk_id", "page_id", "token_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return _chunks(spark, sf).select("chunk_id", "previous_chunk_id", "next_chunk_id")
 
 
 @query
 def dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
     pages = clean_pages(_pages(spark, sf))
-    return chunks.dataset_stats(pages, chunks.chunk_pages(pages, WHOLE))
+    return chunks.dataset_stats(pages, chunks.chunk_pages(pages))
 
 
 # Text metrics
@@ -194,6 +191,11 @@ def semantic_similarity_turns(spark: SparkSession, sf: str) -> DataFrame:
     return _turn_pairs(spark, sf).select("conv_id", "turn", semantic_similarity(F.col("prediction"), F.col("gold")).alias("similarity"))
 
 
+@query
+def gram_similarity_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return _turn_pairs(spark, sf).select("conv_id", "turn", F.round(t.gram_similarity(F.coalesce("gold", F.lit("")), F.coalesce("prediction", F.lit(""))), 6).alias("similarity"))
+
+
 @query
 def abstention_turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", t.is_abstention(F.col("text")).alias("abstained"))
@@ -214,13 +216,13 @@ def char_ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    found = _whole_chunks(spark, sf)
+    found = _chunks(spark, sf)
     return candidates.generate(found, GENERATION), found
 
 
 @query
 def qa_chunk_round_robin(spark: SparkSession, sf: str) -> DataFrame:
-    return candidates.round_robin(_whole_chunks(spark, sf), GENERATION).select("slot", "chunk_id", "turn")
+    return candidates.round_robin(_chunks(spark, sf), GENERATION).select("slot", "chunk_id", "turn")
 
 
 @query
@@ -267,6 +269,48 @@ def rejected_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     return results.join(results.where("accepted").select("candidate_id"), "candidate_id", "left_anti").select("candidate_id")
 
 
+def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as validation rows with every kind of signal in turn: layers not run, passed, failed."""
+    n, lines = F.col("doc_id"), t.split_sentences(F.coalesce("text", F.lit("")))
+    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    ran, told = n % 3 > 0, n % 5 > 0
+    return table(spark, sf, "documents", "doc_id", "text").select(
+        n.cast("string").alias("candidate_id"),
+        F.concat(F.when(n % 4 == 0, "Who ").when(n % 4 == 1, "which ").when(n % 4 == 2, "When ").otherwise("What "), F.substring(first, 1, 40)).alias("question"),
+        F.element_at(F.array(*map(F.lit, ("person", "organization", "location", "other"))), (n % 4 + 1).cast("int")).alias("answer_type"),
+        F.when(n % 2 == 0, F.concat(first, F.lit(" and more"))).otherwise(first).alias("supporting_sentence"),
+        F.when(n % 7 == 0, "a AND b").otherwise("a").alias("gold_answer"),
+        *(F.when(ran, n % k > 0).alias(c) for c, k in (("answerable", 11), ("answer_supported", 13), ("answer_unique", 17), ("question_clear", 19))),
+        F.when(ran, n % 10 / 10).alias("judge_confidence"), F.when(told, n % 8 / 8).alias("baseline_f1"), F.when(told, n % 6 > 1).alias("baseline_correct"), (n % 9 > 0).alias("rule_ok"),
+    )
+
+
+@query
+def uniqueness_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf).select("candidate_id", validation.not_unique().alias("multiple"))
+
+
+@query
+def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _mixed(spark, sf).withColumn("multiple", validation.not_unique())
+    return rows.select("candidate_id", validation.quality_score(F.col("rule_ok"), ~F.col("multiple")).alias("quality_score"), F.coalesce(validation.judge_passed(), F.lit(False)).alias("judged_good"))
+
+
+@query
+def layer_contribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejections by layer where each layer decides on some rows."""
+    n, score = F.col("candidate_id").cast("long"), F.col("quality_score")
+    rows = _mixed(spark, sf).withColumn("quality_score", validation.quality_score(F.col("rule_ok"), F.lit(True)))
+    reasons = (F.when(~F.col("rule_ok"), "question_too_short"), F.when(F.col("answerable").isNotNull() & ~validation.judge_passed(), "judge_rejected"), F.when(~F.col("baseline_correct"), "baseline_incorrect"), F.when((score < 0.85) & (n % 2 == 0), "below_quality_threshold"), F.when(n % 23 == 0, "duplicate_question"))
+    rows = rows.withColumn("rejection_reasons", F.array_compact(F.array(*reasons))).withColumn("accepted", F.size("rejection_reasons") == 0)
+    return validation.contribution(rows)
+
+
+@query
+def rejection_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return validation.reason_counts(_validated(*_candidates(spark, sf)))
+
+
 @query
 def question_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = _candidates(spark, sf)
@@ -275,7 +319,7 @@ def question_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def _seeds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     folder = dedup.shared_folder(spark)
-    found = dedup.held(_whole_chunks(spark, sf), f"{folder}/chunks")
+    found = dedup.held(_chunks(spark, sf), f"{folder}/chunks")
     chosen = seeds.select_seeds(_validated(candidates.generate(found, GENERATION), found).where("accepted"), RUN)
     return dedup.held(chosen, f"{folder}/seeds"), found
 
@@ -300,7 +344,7 @@ def _flat(cases: DataFrame) -> DataFrame:
 
 def _register_operator(kind: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _flat(failures.OPERATORS[kind](*_seeds(spark, sf), RUN))
+        return _flat(failures.inject(*_seeds(spark, sf), RUN, (kind,)))
 
     run.__name__ = f"inject_{kind}"
     query(run)
@@ -312,7 +356,8 @@ for _kind in RUN.failures.types:
 
 def _verified(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     chosen, found = _seeds(spark, sf)
-    cases = dedup.held(failures.inject(chosen, found, RUN), f"{dedup.shared_folder(spark)}/cases")
+    folder = dedup.shared_folder(spark)
+    cases = dedup.held(failures.inject(chosen, found, RUN, folder=folder), f"{folder}/cases")
     return verify.verify(cases), chosen, found
 
 
@@ -435,6 +480,20 @@ def human_rates(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.human_rate(said, "decision", "keep").select("n", F.round("rate", 6).alias("rate"))
 
 
+@query
+def pages_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.distribution(filters.filter_pages(_pages(spark, sf))[0], "category_group")
+
+
+@query
+def alternate_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Another answer for the first words of each document that hold a digit, as a number and as a date."""
+    found = F.regexp_extract(F.coalesce("text", F.lit("")), r"([^\s]*[^\s\d]?\d+(?:\.\d+)?[^\s]*)", 1)
+    rows = table(spark, sf, "documents", "doc_id", "text").select("doc_id", found.alias("gold"), (F.col("doc_id") % 2000 / 8 + 0.0625).cast("string").alias("small")).where("gold <> ''")
+    other = lambda c, kind: t.alternate_answer(F.col(c), F.lit(kind), RUN.seed, F.col("doc_id"))
+    return rows.select("doc_id", other("gold", "numeric").alias("counted"), other("small", "other").alias("raised"), other("gold", "date").alias("dated"))
+
+
 @query
 def label_distribution(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")

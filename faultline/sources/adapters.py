@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 from faultline.functions.text import normalize_title, strip
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bytes a core may read as they lie. A smaller table is dealt to all cores: it may lie in one row group,
+#: which one task reads. A larger one is never shuffled for this.
+CORE_BYTES = 16_000_000
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table, or some columns of it, in enough partitions to keep all cores busy."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 1_000_000 < size < cores * CORE_BYTES else df
 
 
 def corpus_pages(documents: DataFrame) -> DataFrame:
