@@ -79,9 +79,13 @@ def words(x: Column) -> Column:
 
 def char_ngrams(x: Column, n: int = 5) -> Column:
     """Distinct character n-grams of the lower-cased, squeezed text; a shorter text is its own gram."""
-    t = strip(squeeze(F.lower(x)))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(grams)
+    none = F.array().cast("array<string>")
+
+    def grams(t: Column) -> Column:
+        every = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))
+        return F.when(F.length(t) == 0, none).when(F.length(t) < n, F.array(t)).otherwise(every)
+
+    return once(strip(squeeze(F.lower(x))), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:

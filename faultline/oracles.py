@@ -59,10 +59,13 @@ def abstains(x: str) -> str:
     return f"({p} = '' OR " + " OR ".join("contains({}, '{}')".format(p, m.replace("'", "''")) for m in ABSTAIN_MARKERS) + ")"
 
 
-def grams(x: str) -> str:
-    """Distinct character 5-grams of the lower-cased, squeezed text; a shorter one is its own gram."""
-    text = strip(squeeze(f"lower(coalesce({x}, ''))"))
-    return f"CASE WHEN {text} = '' THEN [] WHEN length({text}) < 5 THEN [{text}] ELSE list_distinct(list_transform(range(1, length({text}) - 3), lambda i: substring({text}, i, 5))) END"
+def gram_text(x: str) -> str:
+    return strip(squeeze(f"lower(coalesce({x}, ''))"))
+
+
+def grams(t: str) -> str:
+    """Distinct character 5-grams of a column of gram texts; a shorter one is its own gram."""
+    return f"CASE WHEN {t} = '' THEN [] WHEN length({t}) < 5 THEN [{t}] ELSE list_distinct(list_transform(range(1, length({t}) - 3), lambda i: substring({t}, i, 5))) END"
 
 
 def f1(p: str, g: str) -> str:
@@ -148,9 +151,9 @@ normal AS (SELECT *, {norm('question')} AS nq, {norm('gold_answer')} AS ng, {nor
 ruled AS (SELECT *, concat_ws(',', CASE WHEN length(question) < 12 THEN 'question_too_short' END, CASE WHEN question_tokens > 60 THEN 'question_too_long' END, CASE WHEN contains(nq, ng) THEN 'answer_in_question' END,
   CASE WHEN NOT contains(ns, ng) THEN 'answer_not_in_supporting_sentence' END, CASE WHEN ns <> '' AND NOT contains(nc, ns) THEN 'supporting_sentence_not_in_chunk' END, CASE WHEN nt <> '' AND contains(nq, nt) THEN 'title_leak_in_question' END) AS rules FROM normal),
 ruled_result AS (SELECT *, rules = '' AS accepted, CASE WHEN rules = '' THEN 1.0 ELSE 0.1 END AS quality_score, concat_ws(',', nullif(rules, ''), CASE WHEN rules <> '' THEN 'below_quality_threshold' END) AS reasons FROM ruled),
-good_one AS (SELECT candidate_id, nq, ns || '||' || ng AS fact, {grams('question')} AS gs, row_number() OVER (ORDER BY candidate_id)::INT AS i FROM ruled_result WHERE accepted),
+good_one AS MATERIALIZED (SELECT candidate_id, nq, ns || '||' || ng AS fact, {grams('gt')} AS gs, row_number() OVER (ORDER BY candidate_id)::INT AS i FROM (SELECT *, {gram_text('question')} AS gt FROM ruled_result WHERE accepted)),
 rival AS (SELECT x.i, y.i AS j FROM good_one x JOIN good_one y ON y.i < x.i AND x.nq = y.nq UNION SELECT x.i, y.i AS j FROM good_one x JOIN good_one y ON y.i < x.i AND x.fact = y.fact UNION
-  SELECT i, j FROM (SELECT x.i, y.i AS j, count(*) AS k, any_value(len(x.gs)) AS nx, any_value(len(y.gs)) AS ny FROM (SELECT i, gs, unnest(gs) AS g FROM good_one) x JOIN (SELECT i, gs, unnest(gs) AS g FROM good_one) y ON x.g = y.g AND y.i < x.i GROUP BY x.i, y.i) WHERE 100 * k >= 85 * (nx + ny - k)),
+  SELECT i, j FROM (SELECT x.i, y.i AS j, count(*) AS k, any_value(x.m) AS nx, any_value(y.m) AS ny FROM (SELECT i, len(gs) AS m, unnest(gs) AS g FROM good_one) x JOIN (SELECT i, len(gs) AS m, unnest(gs) AS g FROM good_one) y ON x.g = y.g AND y.i < x.i GROUP BY x.i, y.i) WHERE 100 * k >= 85 * (nx + ny - k)),
 ordered AS (SELECT i, coalesce(list(j) FILTER (j IS NOT NULL), []::INT[]) AS bad FROM good_one LEFT JOIN rival USING (i) GROUP BY i),
 winner AS (SELECT unnest(list_reduce(list({{'k': [i], 'bad': bad}} ORDER BY i), lambda a, b: CASE WHEN list_has_any(a.k, b.bad) THEN a ELSE {{'k': list_concat(a.k, b.k), 'bad': a.bad}} END, {{'k': []::INT[], 'bad': []::INT[]}}).k) AS i FROM ordered),
 repeated AS (SELECT x.candidate_id, coalesce(nullif(concat_ws(',', CASE WHEN bool_or(x.nq = y.nq) THEN 'duplicate_question' END, CASE WHEN bool_or(x.fact = y.fact) THEN 'duplicate_supporting_fact' END), ''), 'near_duplicate_question') AS more
@@ -289,7 +292,7 @@ run AS (SELECT candidates::DOUBLE AS candidates, accepted::DOUBLE AS accepted, c
 
 _COMPONENT = "CASE WHEN r = 'below_quality_threshold' THEN 'quality_threshold' WHEN r IN ('duplicate_question', 'duplicate_supporting_fact', 'near_duplicate_question') THEN 'deduplication' ELSE 'rule_checks' END"
 #: First-wins deduplication of all candidates, in the order of their ids.
-FIRST_WINS = RESULTS[RESULTS.index("good_one AS") : RESULTS.index(",\nresult AS")].replace("FROM ruled_result WHERE accepted", "FROM every").join([f"every AS (SELECT candidate_id, question, {norm('question')} AS nq, {norm('gold_answer')} AS ng, {norm('supporting_sentence')} AS ns FROM candidate), ", ""])
+FIRST_WINS = RESULTS[RESULTS.index("good_one AS MATERIALIZED") : RESULTS.index(",\nresult AS")].replace("FROM ruled_result WHERE accepted", "FROM every").join([f"every AS (SELECT candidate_id, question, {norm('question')} AS nq, {norm('gold_answer')} AS ng, {norm('supporting_sentence')} AS ns FROM candidate), ", ""])
 _JUDGED = f"coalesce(answerable AND answer_supported AND answer_unique AND question_clear AND judge_confidence >= {RUN.validation.min_judge_confidence}, false)"
 _FIRST = f"coalesce({sentences("coalesce(text, '')")}[1], '')"
 MIXED = f"""base AS (SELECT doc_id AS n, {_FIRST} AS first, doc_id % 3 > 0 AS ran, doc_id % 5 > 0 AS told FROM documents),
@@ -353,7 +356,7 @@ SELECT component, count(*) AS rejected, count(*) FILTER (alone) AS unique_reject
     "pages_by_category": f"WITH {REJECTED} SELECT coalesce(category_group, 'unknown') AS value, count(*) AS n FROM page WHERE page_id NOT IN (SELECT page_id FROM rejected) GROUP BY ALL",
     "alternate_answers": f"""WITH g AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '([^\\s]*[^\\s\\d]?\\d+(?:\\.\\d+)?[^\\s]*)', 1) AS gold, (doc_id % 2000 / 8 + 0.0625)::DOUBLE::VARCHAR AS small FROM documents)
 SELECT doc_id, {alternate('gold', "'numeric'", keyed('42', 'doc_id'))} AS counted, {alternate('small', "'other'", keyed('42', 'doc_id'))} AS raised, {alternate('gold', "'date'", keyed('42', 'doc_id'))} AS dated FROM g WHERE gold <> ''""",
-    "gram_similarity_turns": f"""WITH {PAIRS}, s AS (SELECT conv_id, turn, {grams('gold')} AS a, {grams('prediction')} AS b FROM pair)
+    "gram_similarity_turns": f"""WITH {PAIRS}, n AS (SELECT conv_id, turn, {gram_text('gold')} AS tg, {gram_text('prediction')} AS tp FROM pair), s AS (SELECT conv_id, turn, {grams('tg')} AS a, {grams('tp')} AS b FROM n)
 SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END, 6) AS similarity FROM s""",
     "validation_results": f"WITH {RESULTS} SELECT candidate_id, accepted, quality_score::DOUBLE AS quality_score, reasons FROM result",
     "validation_contribution": f"""WITH {RESULTS}, part AS (SELECT list_distinct(list_transform(string_split(reasons, ','), lambda r: {_COMPONENT})) AS c FROM result WHERE NOT accepted)
