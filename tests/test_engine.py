@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline import providers
-from faultline.config import Chunking, Filtering, Run, Validation
+from faultline.config import Chunking, Filtering, Generation, Run, Validation
 from faultline.functions import text as t
 from faultline.functions.similarity import semantic_similarity
-from faultline.operators import candidates, chunks, clean, dedup, evaluate, failures, filters, metrics, reports, seeds, validation, verify
+from faultline.operators import candidates, chunks, clean, dedup, evaluate, failures, filters, metrics, models, reports, seeds, validation, verify
 from faultline.plans.build import build_corpus, build_failures
 from faultline.sources import io, pages, schemas
 from faultline.sources.adapters import corpus_pages, web_pages
@@ -52,6 +52,8 @@ def test_sentences_like_a_character_loop(spark):
 
 def test_conflicts(spark):
     other = lambda g, k: value(spark, t.alternate_answer(F.lit(g), F.lit(k), 1, "x"))
+    assert other("A12 has 1", "numeric") == "A12 has 2" and other("3.14159", "other") == "4.14159" and other("12345.678", "numeric") == "12346.7"
+    assert other("999999.7", "numeric") == "1e+06" and other("1234567.5", "numeric") == "1.23457e+06" and other("0.5", "numeric") == "1.5"
     assert other("July 4, 1999", "date") == "July 4, 1996" and other("about 41 men", "numeric") == "about 42 men" and other("2.5", "numeric") == "3.5"
     assert other("Paris", "location") in {"Tokyo", "Cairo", "Toronto", "Sydney"}
     said = lambda s, g: value(spark, t.conflict_passage(F.lit(s), F.lit(g), F.lit("X")))
@@ -114,7 +116,9 @@ def test_greedy_dedup_against_brute_force(spark):
 
 def test_allocation_and_schedule(spark):
     quotas = {"easy": 0.4, "medium": 0.4, "hard": 0.2}
-    assert candidates.allocate(500, quotas) == {"easy": 200, "medium": 200, "hard": 100} and sum(candidates.allocate(7, quotas).values()) == 7
+    of = lambda n, q: {r.difficulty: r.n for r in candidates.allocation(spark, [n], q).collect()}
+    assert of(500, quotas) == {"easy": 200, "medium": 200, "hard": 100} and sum(of(7, quotas).values()) == 7
+    assert of(3, {"easy": 0.98, "medium": 0.01, "hard": 0.01}) == {"easy": 1, "medium": 1, "hard": 1} and of(4, {"hard": 0.0}) == {"easy": 4, "medium": 0, "hard": 0}
     assert [r.difficulty for r in candidates.schedule(spark, 5, quotas).orderBy("slot").collect()] == ["easy", "medium", "hard", "easy", "medium"]
 
 
@@ -173,6 +177,7 @@ def test_validation_layers(spark):
     cand = spark.createDataFrame(rows, f"candidate_id string, question string, gold_answer string, supporting_sentence string, answer_type string, source {source}")
     found = spark.createDataFrame([("k", "Ann and Bob founded it. More.", "Title")], "chunk_id string, text string, page_title string")
     got = {r.candidate_id: r for r in validation.validate(cand, found).collect()}
+    assert validation.overview(spark.createDataFrame(list(got.values()), validation.validate(cand, found).schema)).first().rejected == 2
     assert list(got["c1"].rejection_reasons) == ["possible_multiple_answers"] and got["c1"].quality_score == 0.9
     assert list(got["c2"].rejection_reasons) == ["answer_in_question", "answer_not_in_supporting_sentence", "below_quality_threshold"]
     signals = spark.createDataFrame([("c1", True, True, True, False, 0.9, "Bob", None)], "candidate_id string, answerable boolean, answer_supported boolean, answer_unique boolean, question_clear boolean, judge_confidence double, baseline_prediction string, baseline_judge boolean")
@@ -255,6 +260,73 @@ def test_web_pages(spark, sf):
     assert rows and any(r.raw_text.startswith("== ") for r in rows)
 
 
+def test_page_reasons_of_ids_and_redirects(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, "A", text(1), None), (1, "B", text(2), None), (2, "C", text(3), "a"), (3, "a ", text(4), None), (4, "D", text(1), None), (5, "E", text(5), "E"), (6, "F", text(6), "B")]
+    df = spark.createDataFrame(rows, "page_id long, page_title string, raw_text string, redirect_target string").withColumn("cleaned_text", F.lit(None).cast("string"))
+    got = sorted((r.page_id, r.kept, tuple(r.reasons)) for r in dedup.deduplicate_pages(df).collect())
+    first = [r for r in got if r[0] == 1]
+    assert sorted(r[1] for r in first) == [False, True] and ("duplicate_page_id",) in [r[2] for r in first]
+    assert {r[0]: r[2] for r in got if r[0] in (5,)} == {5: ()}
+    kept_title = "A" if dedup.numbered(df).where("page_id = 1 and copy = 0").first().page_title == "A" else "B"
+    assert (2, kept_title != "A", ("redirect_alias",) if kept_title == "A" else ()) in got and (6, kept_title != "B", ("redirect_alias",) if kept_title == "B" else ()) in got
+
+
+def test_chunk_places(spark):
+    long = " ".join(f"Sentence number {i} has some words." for i in range(60))
+    df = spark.createDataFrame([(1, 1, "K", f"Some lead text stands here.\n\n{long}\n\n== S ==\nOne two three four five.\n\n\n  Six seven eight nine ten.", "c")], "page_id long, revision_id long, page_title string, raw_text string, category_group string")
+    page = clean.clean_pages(df)
+    text = page.first().cleaned_text
+    rows = chunks.chunk_pages(page, Chunking(80, 10)).collect()
+    assert len(rows) > 6 and all(text[r.char_start : r.char_end] == r.text for r in rows)
+    assert chunks.pack(long, 80, 10, ("token", "sentence")) == chunks.windows(long, 80, 10)
+
+
+def test_fill_takes_places_in_order():
+    rows = [(0, "easy", "easy"), (1, None, "easy"), (2, "easy", "medium"), (3, "hard", "hard"), (4, "easy", "easy")]
+    assert models.fill(rows, {"easy": 1, "medium": 1, "hard": 1}, True) == ({0: "easy", 2: "medium", 3: "hard"}, 3)
+    assert models.fill(rows, {"easy": 3, "medium": 0, "hard": 0}, True)[0] == {0: "easy", 2: "easy", 3: "easy"}
+
+
+def test_model_steps(spark, built, tmp_path):
+    corpus, out, run = built
+    found = corpus["chunks"]
+
+    def writer(prompt, system):
+        passage = prompt.split("Passage:\n")[1]
+        words = passage.split()
+        if len(passage) % 7 == 0:
+            raise OSError("down")
+        if len(passage) % 5 == 0:
+            return "no object"
+        return json.dumps({"question": f"Which words stand first near {words[3]}?", "gold_answer": words[0], "supporting_sentence": " ".join(words[:8]), "answer_type": "PLACE", "difficulty": "easy", "is_time_sensitive": "false"})
+
+    cfg = Generation(target_candidates=10)
+    made = models.generate(found, writer, "m", str(tmp_path / "a"), cfg)
+    rows = made["candidates"].collect()
+    assert 0 < len(rows) <= 10 and {r.answer_type for r in rows} == {"other"} and all(r.is_time_sensitive for r in rows)
+    assert made["raw"].count() >= len(rows) and {r.error.split(":")[0] for r in made["errors"].collect()} <= {"request_error", "json_parse_error"}
+    again = models.generate(found, writer, "m", str(tmp_path / "b"), Generation(target_candidates=12), made["candidates"], made["errors"])
+    assert len(rows) <= again["candidates"].count() <= 12
+    assert again["candidates"].select("candidate_id").distinct().count() == again["candidates"].count()
+
+    judge = lambda prompt, system: '{"answerable": true, "answer_supported": 1, "answer_unique": "x", "question_clear": true, "correct": false, "answer_available": true, "confidence": 0.9}'
+    reader = lambda prompt, system: " I don't know "
+    told = models.signals(out["candidates"], found, judge, reader)
+    assert told.count() > 0 and told.where("answerable and answer_supported and answer_unique and judge_confidence = 0.9 and baseline_prediction = \"I don't know\" and not baseline_judge").count() == told.count()
+
+    def broken(prompt, system):
+        raise OSError("down")
+
+    assert models.signals(out["candidates"], found, broken, broken).where("answerable or judge_confidence > 0 or baseline_prediction <> ''").count() == 0
+    cases = out["failures"]
+    assert models.absence(cases, judge).count() == cases.count() and models.absence(cases, broken).count() == 0
+    work = evaluate.jobs(out["seeds"], cases).limit(5)
+    answered = models.answers(work, {"a": reader, "b": broken, "c": lambda p, s: "Oslo"}, run, judge)
+    assert answered.count() == 15 and answered.where("model_name = 'b' and provider_error is null").count() == 0
+    assert answered.where("llm_judge_correct is not null").select("model_name").distinct().count() == 1
+
+
 def test_merge_by_model(spark):
     old = spark.createDataFrame([("A", 1), ("b", 1)], "model_name string, x int")
     new = spark.createDataFrame([("a", 2)], "model_name string, x int")
@@ -267,33 +339,6 @@ def test_seed_shares(built):
     assert sum(per.values()) == out["seeds"].count() and seeds.TARGETS.keys() == {"easy", "medium", "hard"}
 
 
-def test_registered_validation_drops_repeats(spark, sf):
-    """The SQL, which ends before layer 5, with first-wins by brute force after it."""
-    import duckdb
-
-    from faultline import oracles, queries
-
-    sql = duckdb.connect()
-    sql.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    found = sql.execute(f"WITH {oracles.RESULTS} SELECT candidate_id, nq, ns || '||' || ng, question, reasons, accepted FROM result ORDER BY candidate_id").fetchall()
-    grams = lambda q: {q[i : i + 5] for i in range(max(len(q) - 4, 1))}
-    kept, reasons = [], {}
-    for name, question, fact, text, before, accepted in found:
-        g = grams(" ".join(text.lower().split()))
-        more = [r for r, hit in (("duplicate_question", any(question == k[0] for k in kept)), ("duplicate_supporting_fact", any(fact == k[1] for k in kept))) if hit]
-        if not more and any(len(g & k[2]) >= 0.85 * len(g | k[2]) for k in kept):
-            more = ["near_duplicate_question"]
-        if accepted and not more:
-            kept.append((question, fact, g))
-        reasons[name] = ",".join(more) if accepted else before
-    got = {r.candidate_id: r for r in queries.QUERIES["validation_results"](spark, sf).collect()}
-    assert {k: r.reasons for k, r in got.items()} == reasons and all(r.accepted == (r.reasons == "") for r in got.values())
-    assert sum("duplicate" in r for r in reasons.values()) > 0
-    dropped = ", ".join(f"'{k}'" for k, r in reasons.items() if "duplicate" in r)
-    expected = sql.execute(oracles.SQL["seed_selection"].replace("FROM result WHERE accepted", f"FROM result WHERE accepted AND candidate_id NOT IN ({dropped})")).fetchall()
-    assert sorted(map(tuple, queries.QUERIES["seed_selection"](spark, sf).collect())) == sorted(expected)
-
-
 def test_registered_evaluation_has_similarities(spark, sf, monkeypatch):
     from difflib import SequenceMatcher
 
