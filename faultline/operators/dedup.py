@@ -166,10 +166,10 @@ def first_wins(rows: DataFrame, id_column: str, exact: dict[str, Column | tuple[
         out = out.join(by_class, "cls", "left")
         before = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
         hit = {n: before(f"won_{n}") for n in names}
-        waits = [before(f"open_{n}") for n in (*names, "near")]
+        waits = [*(before(f"open_{n}") & ~hit[n] for n in names), before("open_near")]
         any_exact = F.greatest(*hit.values(), F.lit(False))
         reasons = F.filter(F.array(*(F.when(c, n) for n, c in hit.items()), F.when(~any_exact & before("won_near"), near_reason)), lambda r: r.isNotNull())
-        # an exact rival that is still open may add a reason, so wait for those; a near one only if nothing else decides
+        # an open exact rival may add a reason, unless a kept one has given it; wait for a near one only if nothing else decides
         ready = ~F.greatest(*waits[:-1], F.lit(False)) & (any_exact | before("won_near") | ~waits[-1])
         settle = F.col("kept").isNull() & ready
         out = out.withColumn("_r", reasons).select(
