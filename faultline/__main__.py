@@ -1,4 +1,4 @@
-"""Commands: export-schemas, corpus, failures. Run with ``python -m faultline COMMAND``."""
+"""Commands over run folders: python -m faultline COMMAND --folder F. See COMMANDS."""
 
 from __future__ import annotations
 
@@ -7,34 +7,79 @@ import argparse
 from pyspark.sql import SparkSession
 
 from faultline import config
-from faultline.operators import chunks, reports
+from faultline.operators import chunks, reports, runs
 from faultline.plans.build import build_corpus, build_failures
 from faultline.sources import io, schemas
 from faultline.sources.adapters import corpus_pages
 
+COMMANDS = {
+    "export-schemas": "print the schemas of all tables",
+    "corpus": "filter, deduplicate, sample and chunk --documents",
+    "stats": "counts of the corpus",
+    "failures": "candidates to evaluated failures from the chunks",
+    "report": "evaluation by model, condition and severity",
+    "validation-report": "funnel, reasons and kinds of seeds",
+    "export-review": "packs for annotators below --output",
+    "freeze": "copy the corpus of --source into the folder",
+    "stability-run": "freeze the corpus of --source into a run of each of --seeds below the folder, and run it",
+    "stability-report": "counts and rates of --runs below the folder",
+    "contribution": "what each validation layer rejected in --runs below the folder",
+}
 
-def main() -> None:
-    parser = argparse.ArgumentParser(prog="faultline", description=__doc__)
-    parser.add_argument("command", choices=["export-schemas", "corpus", "failures", "report"])
+
+def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
+    parser = argparse.ArgumentParser(prog="faultline", description="; ".join(f"{k}: {v}" for k, v in COMMANDS.items()))
+    parser.add_argument("command", choices=list(COMMANDS))
     parser.add_argument("--documents", help="Parquet table of documents")
-    parser.add_argument("--folder", help="folder of the run's tables")
+    parser.add_argument("--folder", help="folder of the run's tables, or of several runs")
     parser.add_argument("--settings", help="settings file (YAML or JSON)")
     parser.add_argument("--seed", type=int)
-    a = parser.parse_args()
+    parser.add_argument("--seeds", type=lambda s: [int(x) for x in s.split(",")], default=[42, 123, 2026])
+    parser.add_argument("--source", help="run folder with a corpus")
+    parser.add_argument("--overwrite", action="store_true")
+    parser.add_argument("--runs", type=lambda s: s.split(","), default=[])
+    parser.add_argument("--output", help="folder of review packs")
+    a = parser.parse_args(arguments)
     if a.command == "export-schemas":
         for name, text in schemas.export().items():
             print(f"# {name}\n{text}")
         return
+    if not a.folder:
+        parser.error("--folder is missing")
     run = config.load(a.settings) if a.settings else config.Run()
     run = run.with_seed(a.seed) if a.seed is not None else run
-    spark = SparkSession.builder.appName(f"faultline-{run.run_id}").getOrCreate()
+    spark = spark or SparkSession.builder.appName(f"faultline-{run.run_id}").getOrCreate()
+    read = lambda name: spark.read.parquet(f"{a.folder}/{name}")
     if a.command == "corpus":
         out = build_corpus(corpus_pages(spark.read.parquet(a.documents)), run, a.folder)
         print(io.to_json(chunks.dataset_stats(out["pages"], out["chunks"])))
+    elif a.command == "stats":
+        print(io.to_json(chunks.dataset_stats(read("pages"), read("chunks"))))
     elif a.command == "failures":
-        build_failures(spark.read.parquet(f"{a.folder}/chunks"), run, a.folder)["robustness"].show(truncate=False)
+        build_failures(read("chunks"), run, a.folder)["robustness"].show(truncate=False)
+    elif a.command == "report":
+        print(reports.evaluation_report(read("evaluation")))
+    elif a.command == "validation-report":
+        print(reports.validation_report(read("candidates"), read("results"), read("seeds")))
+    elif a.command == "export-review":
+        io.write_csv(reports.seed_review(read("seeds")), f"{a.output}/seeds_review")
+        io.write_csv(reports.failure_review(read("verified").where("verification.injection_valid"), run.seed), f"{a.output}/failures_review")
+    elif a.command == "freeze":
+        print("copied: " + (", ".join(runs.freeze(spark, a.source, a.folder, a.overwrite)) or "nothing"))
+    elif a.command == "stability-run":
+        for seed in a.seeds:
+            one = run.with_seed(seed)
+            runs.freeze(spark, a.source, f"{a.folder}/{one.run_id}", a.overwrite)
+            build_failures(spark.read.parquet(f"{a.folder}/{one.run_id}/chunks"), one, f"{a.folder}/{one.run_id}")
+            runs.publish(spark, a.folder, one.run_id)
     else:
-        print(reports.evaluation_report(spark.read.parquet(f"{a.folder}/evaluation")))
+        names = a.runs or [run.with_seed(s).run_id for s in a.seeds]
+        if a.command == "stability-report":
+            print(reports.stability_report(runs.run_counts(spark, a.folder, names, a.output), runs.RATES, runs.COUNTS))
+        elif (results := runs.all_results(spark, a.folder, names)) is None:
+            print("no run has validation results")
+        else:
+            print(reports.contribution_report(results, runs.contributions(results)))
 
 
 if __name__ == "__main__":

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.text import format_percent, keyed
-from faultline.operators import metrics
+from faultline.functions.text import format_number, format_percent, keyed
+from faultline.operators import metrics, validation
 
 
 def failure_distribution(cases: DataFrame) -> DataFrame:
@@ -48,15 +48,10 @@ def gallery(cases: DataFrame, per_type: int = 3) -> DataFrame:
     return cases.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_type).select("failure_type", "severity", "failure_id", "question", "gold_answer", shown.alias("contexts"))
 
 
-def validation_funnel(results: DataFrame) -> DataFrame:
-    """One row: candidates, accepted, rejected, acceptance rate."""
-    ok = F.col("accepted").cast("long")
-    return results.agg(F.count("*").alias("candidates"), F.coalesce(F.sum(ok), F.lit(0)).alias("accepted"), F.coalesce(F.sum(1 - ok), F.lit(0)).alias("rejected"), F.avg(ok).alias("acceptance_rate"))
-
-
-def _lines(df: DataFrame, order: list[str]) -> str:
+def _lines(df: DataFrame, order: list[str], hide: str = "") -> str:
     """A small report table (groups, not rows of data) as markdown."""
-    rows = df.orderBy(*order).collect()
+    rows = (df.orderBy(*order) if order else df).drop(hide).collect()
+    df = df.drop(hide)
     head = "| " + " | ".join(df.columns) + " |\n|" + " - |" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows)])
 
@@ -67,6 +62,32 @@ def evaluation_report(results: DataFrame) -> str:
     return "\n\n".join(parts) + "\n"
 
 
-def stability_report(runs: DataFrame, *columns: str) -> str:
-    shown = metrics.mean_std(runs, *columns).withColumn("shown", format_percent(F.col("mean"), F.col("std")))
-    return "# Stability\n\n" + _lines(shown, ["metric"]) + "\n"
+def validation_report(candidates: DataFrame, results: DataFrame, chosen: DataFrame) -> str:
+    """Funnel, rejection reasons, and the kinds of seeds, the frequent ones first."""
+    falling = lambda df: _lines(df.withColumn("_n", -F.col("n")), ["_n", df.columns[-2]], hide="_n")
+    known = validation.overview(results)
+    funnel = known.crossJoin(chosen.agg(F.count("*").alias("seeds"))).crossJoin(candidates.agg(F.count("*").alias("generated"))).select("generated", "accepted", "rejected", "seeds")  # one row by one row
+    reasons = validation.reason_counts(results.where("not accepted")).select("reason", "n")
+    parts = ["# Validation", _lines(funnel, []), "## Rejection reasons", falling(reasons)]
+    for c in ("category_group", "difficulty", "answer_type"):
+        parts += [f"## Seeds by {c}", falling(metrics.distribution(chosen, c))]
+    return "\n\n".join(parts) + "\n"
+
+
+def contribution_report(results: DataFrame, parts: DataFrame) -> str:
+    """What each validation layer rejected, mean and deviation over runs, and each run with its top reasons.
+    ``results`` has ``run_id``; ``parts`` is runs.contributions of it."""
+    wide = parts.groupBy("component").agg(*(F.struct(F.avg(c).alias("mean"), F.when(F.count(c) > 1, F.stddev_samp(c)).alias("std")).alias(c) for c in ("rejected", "unique_rejections")))
+    shown = wide.select("component", *(format_number(F.col(c)["mean"], F.col(c)["std"]).alias(c) for c in ("rejected", "unique_rejections")))
+    out = ["# Validation layers", _lines(shown, ["component"])]
+    for run in [r.run_id for r in parts.select("run_id").distinct().orderBy("run_id").collect()]:
+        mine = results.where(F.col("run_id") == run)
+        top = validation.top_reasons(mine.where("not accepted"), 3)
+        out += [f"## {run}", _lines(validation.overview(mine), []), _lines(parts.where(F.col("run_id") == run).drop("run_id"), ["component"]), _lines(top, ["component", "rank"])]
+    return "\n\n".join(out) + "\n"
+
+
+def stability_report(runs: DataFrame, rates: tuple[str, ...], counts: tuple[str, ...]) -> str:
+    """Mean and deviation of rates in per cent and of counts, and the runs themselves."""
+    show = lambda names, form: _lines(metrics.mean_std(runs, *names).withColumn("shown", form(F.col("mean"), F.col("std"))), ["metric"])
+    return "\n\n".join(["# Stability", show(rates, format_percent), show(counts, format_number), "## Runs", _lines(runs, ["run_id"])]) + "\n"

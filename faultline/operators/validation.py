@@ -85,11 +85,15 @@ def with_dedup(results: DataFrame, percent: int = 85) -> DataFrame:
     return out.withColumns({"rejection_reasons": reasons, "accepted": F.col("accepted") & F.col("_more").isNull()}).drop("_more")
 
 
+def contribution_parts(results: DataFrame, *groups: str) -> DataFrame:
+    """By group and validation layer: candidates it rejected, and those that no other layer rejected."""
+    parts = results.where("not accepted").select(*groups, "candidate_id", F.array_distinct(F.filter(F.transform("rejection_reasons", reason_component), lambda c: c.isNotNull())).alias("parts"))
+    each = parts.select(*groups, F.explode("parts").alias("component"), (F.size("parts") == 1).alias("alone"))
+    return each.groupBy(*groups, "component").agg(F.count("*").alias("rejected"), F.sum(F.col("alone").cast("long")).alias("unique_rejections"))
+
+
 def contribution(results: DataFrame) -> DataFrame:
-    """By validation layer: candidates it rejected, and those that no other layer rejected."""
-    parts = results.where("not accepted").select("candidate_id", F.array_distinct(F.filter(F.transform("rejection_reasons", reason_component), lambda c: c.isNotNull())).alias("parts"))
-    each = parts.select(F.explode("parts").alias("component"), (F.size("parts") == 1).alias("alone"))
-    return each.groupBy("component").agg(F.count("*").alias("rejected"), F.sum(F.col("alone").cast("long")).alias("unique_rejections"))
+    return contribution_parts(results)
 
 
 def reason_counts(results: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from faultline import providers
 from faultline.config import Chunking, Filtering, Generation, Run, Validation
 from faultline.functions import text as t
 from faultline.functions.similarity import semantic_similarity
-from faultline.operators import candidates, chunks, clean, dedup, evaluate, failures, filters, metrics, models, reports, seeds, validation, verify
+from faultline.__main__ import main
+from faultline.operators import candidates, chunks, clean, dedup, evaluate, failures, filters, metrics, models, reports, runs, seeds, validation, verify
 from faultline.plans.build import build_corpus, build_failures
 from faultline.sources import io, pages, schemas
 from faultline.sources.adapters import corpus_pages, web_pages
@@ -353,3 +354,44 @@ def test_registered_evaluation_has_similarities(spark, sf, monkeypatch):
     got = {(r.sample_id, r.model_name): float(r.semantic_similarity) for r in queries.QUERIES["eval_results"](spark, sf).collect()}
     assert len(got) == 6 and got["s0", "reader_gold"] == 1.0
     assert got["s0", "reader_first"] == pytest.approx(SequenceMatcher(None, "oslo lies there", "oslo").ratio())
+
+
+def test_tables_of_runs(spark, built, tmp_path, capsys):
+    corpus, out, run = built
+    source = corpus["chunks"].inputFiles()[0].removeprefix("file:").split("/chunks/")[0]
+    ask = lambda *a: (main([*a], spark), capsys.readouterr().out)[1]
+    root, reviews = str(tmp_path / "root"), str(tmp_path / "reviews")
+    assert "chunks" in ask("freeze", "--source", source, "--folder", f"{root}/a") and "nothing" in ask("freeze", "--source", source, "--folder", f"{root}/a")
+    with pytest.raises(FileNotFoundError):
+        runs.freeze(spark, root, f"{root}/b")
+    assert spark.read.parquet(f"{root}/a/chunks").count() == corpus["chunks"].count()
+    for name in ("candidates", "results", "seeds", "verified"):
+        out["candidates" if name == "candidates" else name if name in out else "failures"].write.parquet(f"{root}/a/{name}")
+    ask("export-review", "--folder", f"{root}/a", "--output", f"{reviews}/a")
+    assert "0" in ask("stats", "--folder", f"{root}/a") and "# Validation" in ask("validation-report", "--folder", f"{root}/a")
+    counted = runs.run_counts(spark, root, ["a", "none"], reviews).orderBy("run_id").collect()
+    n = out["results"].where("accepted").count()
+    assert counted[0].accepted == n and counted[0].seeds == out["seeds"].count() and counted[0].failure_verification_pass_rate == 1.0
+    assert counted[0].human_acceptance_rate is None and counted[1].candidates == 0 and counted[1].qa_acceptance_rate is None
+    assert "## Runs" in ask("stability-report", "--folder", root, "--runs", "a,none") and "## a" in ask("contribution", "--folder", root, "--runs", "a,none")
+    assert "no run" in ask("contribution", "--folder", root, "--runs", "none")
+    parts = {r.component: r.rejected for r in runs.contributions(runs.all_results(spark, root, ["a"])).collect()}
+    assert set(parts) == set(runs.COMPONENTS) and parts["llm_judge"] == 0
+    assert runs.latest(spark, root, "seeds") is None
+    runs.publish(spark, root, "a")
+    assert runs.latest(spark, root, "seeds").count() == counted[0].seeds and runs.latest(spark, root, "absent") is None
+
+
+def test_logs_places_and_heads(spark):
+    said = spark.createDataFrame([("x" * 4001, None), ("short", None), (None, "request_error")], "answer string, error string")
+    rows = {r.full_chars: r for r in runs.logged(said, "qa").collect()}
+    assert len(rows[4001].response) == 4000 and rows[4001].truncated and len(rows[4001].sha1) == 16
+    assert rows[5].response == "short" and rows[5].sha1 is None and rows[None].response is None and not rows[None].truncated
+    made = spark.createDataFrame([("easy",), ("easy",), ("odd",)], "difficulty string")
+    want = spark.createDataFrame([("easy", 3), ("hard", 1)], "difficulty string, n long")
+    assert {tuple(r) for r in runs.quota_counts(made, want).collect()} == {("easy", 3, 2), ("hard", 1, 0), ("odd", 0, 1)}
+    done = spark.createDataFrame([("a", 7)], "candidate_id string, slot int")
+    new = spark.createDataFrame([("c", 2), ("a", 0), ("b", 1)], "candidate_id string, slot int")
+    assert [r.candidate_id for r in runs.resumed(done, new, 2).collect()] == ["a", "b"]
+    cases = spark.createDataFrame([("b", "s", "low"), ("a", "t", "low")], "failure_type string, parent_seed_id string, severity string")
+    assert runs.first_cases(cases, 1).first().failure_type == "a" and runs.first_cases(cases, 0).count() == 2
