@@ -6,7 +6,10 @@ tasks, held to a rate that all partitions share. Titles come from category membe
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,6 +21,55 @@ from faultline.functions.text import keyed, normalize_title
 PAGE = "page_id bigint, revision_id bigint, page_title string, category_group string, raw_text string, is_redirect boolean, redirect_target string, is_disambiguation boolean"
 
 
+# A query of the public wiki action interface, and what marks a page of meanings.
+QUERY = {
+    "action": "query", "format": "json", "formatversion": "2", "maxlag": "5", "prop": "extracts|revisions|categories|info|pageprops",
+    "explaintext": "1", "exsectionformat": "wiki", "rvprop": "ids|timestamp", "cllimit": "max", "redirects": "1",
+}
+MEANINGS = ("may refer to:", "{{disambiguation", "disambiguation page")
+
+
+class Missing(LookupError):
+    """The source has no such page: asking again is no use."""
+
+
+class Lagging(OSError):
+    """The source asks for a pause."""
+
+
+def _key(title: str | None) -> str:
+    return " ".join((title or "").replace("_", " ").split()).casefold()
+
+
+def page_of(said: dict, title: str) -> dict:
+    """The page in an answer to QUERY. It is a redirect if its title is another than the one asked for."""
+    if (said.get("error") or {}).get("code") == "maxlag":
+        raise Lagging("maxlag")
+    query = said.get("query") or {}
+    page = next(iter(query.get("pages") or ()), None)
+    if page is None or page.get("missing"):
+        raise Missing(title)
+    text = page.get("extract") or ""
+    target = next((r.get("to") for r in reversed(query.get("redirects") or []) if _key(r.get("from")) == _key(title)), None)
+    meant = bool((page.get("pageprops") or {}).get("disambiguation")) or any(m in text[:500].casefold() for m in MEANINGS)
+    revision = next(iter(page.get("revisions") or ()), {}).get("revid", 0)
+    return {
+        "page_id": int(page["pageid"]), "revision_id": int(revision), "page_title": page.get("title", title), "raw_text": text,
+        "is_redirect": target is not None and _key(target) != _key(title), "redirect_target": target, "is_disambiguation": meant,
+    }
+
+
+def http_transport(endpoint: str, agent: str, timeout: float = 30.0) -> Callable[[str, str], dict]:
+    """A transport for ``fetch`` that asks a wiki's action interface; ``agent`` names the caller to it."""
+
+    def transport(group: str, title: str) -> dict:
+        asked = urllib.request.Request(f"{endpoint}?{urllib.parse.urlencode({**QUERY, 'titles': title})}", headers={"User-Agent": agent})
+        with urllib.request.urlopen(asked, timeout=timeout) as response:
+            return page_of(json.load(response), title)
+
+    return transport
+
+
 def category_members(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
     """(group, title): pages below each seed category, through subcategories up to ``depth``. ``edges``
     has parent, child, is_category; ``seeds`` has group, parent."""
@@ -60,6 +112,9 @@ def fetch(titles: DataFrame, transport: Callable[[str, str], dict], per_second:
                     try:
                         page, error = transport(group, title), None
                         break
+                    except Missing as e:
+                        error = f"missing: {e}"
+                        break
                     except Exception as e:  # noqa: BLE001  becomes an error row
                         error = f"{type(e).__name__}: {e}"[:500]
                         if attempt + 1 < attempts:

@@ -247,6 +247,42 @@ def test_page_source(spark):
     assert {r.page_id for r in good.collect()} == {1, 2} and [r.title for r in bad.collect()] == ["p2"]
 
 
+def test_http_pages(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    asked = []
+
+    class Wiki(BaseHTTPRequestHandler):
+        def do_GET(self):
+            title = parse_qs(urlparse(self.path).query)["titles"][0]
+            asked.append(title)
+            page = {"pageid": 5, "title": "Real", "extract": "Real MAY refer to: two things", "revisions": [{"revid": 9}]}
+            said = {"query": {"pages": [{"missing": True}]}} if title == "gone" else {"query": {"pages": [page], "redirects": [{"from": "Old name", "to": "Real"}]}}
+            if title == "late" and asked.count("late") < 2:
+                said = {"error": {"code": "maxlag"}}
+            self.send_response(503 if title == "down" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps(said).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Wiki)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        titles = spark.createDataFrame([("g", "old_name"), ("g", "gone"), ("g", "down"), ("g", "late")], "group string, title string").coalesce(1)
+        good, bad = pages.fetch(titles, pages.http_transport(f"http://127.0.0.1:{server.server_port}/api", "test"), per_second=1000, attempts=2, base_delay=0.0)
+        rows, lost = good.collect(), {r.title: r.error for r in bad.collect()}
+    finally:
+        server.shutdown()
+    assert len(rows) == 1 and (rows[0].page_id, rows[0].revision_id, rows[0].page_title, rows[0].is_disambiguation) == (5, 9, "Real", True)
+    assert set(lost) == {"gone", "down"} and lost["gone"].startswith("missing") and "503" in lost["down"]
+    assert pages.page_of({"query": {"pages": [{"pageid": 1, "title": "Real"}], "redirects": [{"from": "Old name", "to": "Real"}]}}, "old_name")["is_redirect"]
+    assert not pages.page_of({"query": {"pages": [{"pageid": 1, "title": "Real"}]}}, "Real")["is_redirect"]
+
+
 def test_streamed_results_merge_once(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
