@@ -201,9 +201,13 @@ def deduplicate_pages(pages: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def deduplicate_candidates(candidates: DataFrame, percent: int = 85) -> DataFrame:
-    """candidate_id, kept, reasons: equal questions, equal facts, near-equal questions."""
+    """candidate_id, kept, reasons, in the order of ``slot`` (that of generation; ids alone where there is none):
+    equal questions, equal facts, near-equal questions."""
     fact = F.concat(normalize_answer(F.col("supporting_sentence")), F.lit("||"), normalize_answer(F.col("gold_answer")))
-    return first_wins(candidates, "candidate_id", {"duplicate_question": normalize_answer(F.col("question")), "duplicate_supporting_fact": fact}, F.col("question"), "near_duplicate_question", percent)
+    slot = F.col("slot").cast("long") if "slot" in candidates.columns else F.lit(None).cast("long")
+    rows = candidates.withColumn("_place", F.struct(slot.alias("slot"), F.col("candidate_id").alias("candidate_id")))
+    done = first_wins(rows, "_place", {"duplicate_question": normalize_answer(F.col("question")), "duplicate_supporting_fact": fact}, F.col("question"), "near_duplicate_question", percent)
+    return done.select("_place.candidate_id", "kept", "reasons")
 
 
 def first_by_key(rows: DataFrame, key: Column, *order: str) -> DataFrame:

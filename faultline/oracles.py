@@ -151,7 +151,7 @@ normal AS (SELECT *, {norm('question')} AS nq, {norm('gold_answer')} AS ng, {nor
 ruled AS (SELECT *, concat_ws(',', CASE WHEN length(question) < 12 THEN 'question_too_short' END, CASE WHEN question_tokens > 60 THEN 'question_too_long' END, CASE WHEN contains(nq, ng) THEN 'answer_in_question' END,
   CASE WHEN NOT contains(ns, ng) THEN 'answer_not_in_supporting_sentence' END, CASE WHEN ns <> '' AND NOT contains(nc, ns) THEN 'supporting_sentence_not_in_chunk' END, CASE WHEN nt <> '' AND contains(nq, nt) THEN 'title_leak_in_question' END) AS rules FROM normal),
 ruled_result AS (SELECT *, rules = '' AS accepted, CASE WHEN rules = '' THEN 1.0 ELSE 0.1 END AS quality_score, concat_ws(',', nullif(rules, ''), CASE WHEN rules <> '' THEN 'below_quality_threshold' END) AS reasons FROM ruled),
-good_one AS MATERIALIZED (SELECT candidate_id, nq, ns || '||' || ng AS fact, {grams('gt')} AS gs, row_number() OVER (ORDER BY candidate_id)::INT AS i FROM (SELECT *, {gram_text('question')} AS gt FROM ruled_result WHERE accepted)),
+good_one AS MATERIALIZED (SELECT candidate_id, nq, ns || '||' || ng AS fact, {grams('gt')} AS gs, row_number() OVER (ORDER BY slot, candidate_id)::INT AS i FROM (SELECT *, {gram_text('question')} AS gt FROM ruled_result WHERE accepted)),
 rival AS (SELECT x.i, y.i AS j FROM good_one x JOIN good_one y ON y.i < x.i AND x.nq = y.nq UNION SELECT x.i, y.i AS j FROM good_one x JOIN good_one y ON y.i < x.i AND x.fact = y.fact UNION
   SELECT i, j FROM (SELECT x.i, y.i AS j, count(*) AS k, any_value(x.m) AS nx, any_value(y.m) AS ny FROM (SELECT i, len(gs) AS m, unnest(gs) AS g FROM good_one) x JOIN (SELECT i, len(gs) AS m, unnest(gs) AS g FROM good_one) y ON x.g = y.g AND y.i < x.i GROUP BY x.i, y.i) WHERE 100 * k >= 85 * (nx + ny - k)),
 ordered AS (SELECT i, coalesce(list(j) FILTER (j IS NOT NULL), []::INT[]) AS bad FROM good_one LEFT JOIN rival USING (i) GROUP BY i),
@@ -292,7 +292,7 @@ run AS (SELECT candidates::DOUBLE AS candidates, accepted::DOUBLE AS accepted, c
 
 _COMPONENT = "CASE WHEN r = 'below_quality_threshold' THEN 'quality_threshold' WHEN r IN ('duplicate_question', 'duplicate_supporting_fact', 'near_duplicate_question') THEN 'deduplication' ELSE 'rule_checks' END"
 #: First-wins deduplication of all candidates, in the order of their ids.
-FIRST_WINS = RESULTS[RESULTS.index("good_one AS MATERIALIZED") : RESULTS.index(",\nresult AS")].replace("FROM ruled_result WHERE accepted", "FROM every").join([f"every AS (SELECT candidate_id, question, {norm('question')} AS nq, {norm('gold_answer')} AS ng, {norm('supporting_sentence')} AS ns FROM candidate), ", ""])
+FIRST_WINS = RESULTS[RESULTS.index("good_one AS MATERIALIZED") : RESULTS.index(",\nresult AS")].replace("FROM ruled_result WHERE accepted", "FROM every").join([f"every AS (SELECT candidate_id, slot, question, {norm('question')} AS nq, {norm('gold_answer')} AS ng, {norm('supporting_sentence')} AS ns FROM candidate), ", ""])
 _JUDGED = f"coalesce(answerable AND answer_supported AND answer_unique AND question_clear AND judge_confidence >= {RUN.validation.min_judge_confidence}, false)"
 _FIRST = f"coalesce({sentences("coalesce(text, '')")}[1], '')"
 MIXED = f"""base AS (SELECT doc_id AS n, {_FIRST} AS first, doc_id % 3 > 0 AS ran, doc_id % 5 > 0 AS told FROM documents),
