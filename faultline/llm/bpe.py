@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import arrow_map, checkpoint_dir, hexdigest, slices
+from faultline.llm.common import acyclic, arrow_map, checkpoint_dir, hexdigest, slices
 
 #: Words in the lexicon at most (each at least that share of all), and the longest word it and a
 #: worker's cache take.
@@ -521,9 +521,10 @@ def digest(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, name)
-        for batch in slices(batches, text_column, SLICE):
-            n, ids, decoded = zip(*codec.digests(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], [id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
+        with acyclic():
+            for batch in slices(batches, text_column, SLICE):
+                n, ids, decoded = zip(*codec.digests(batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], [id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return arrow_map(docs.select(id_column, text_column), work, f"`{id_column}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", text_column)
 
@@ -535,9 +536,10 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, name)
-        for batch in slices(batches, text_column, SLICE):
-            ids = list(codec.encode(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [id_column, "n_tokens", "ids"])
+        with acyclic():
+            for batch in slices(batches, text_column, SLICE):
+                ids = list(codec.encode(batch.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], [id_column, "n_tokens", "ids"])
 
     return arrow_map(docs.select(id_column, text_column), work, f"`{id_column}` {kind}, n_tokens bigint, ids array<int>", text_column)
 

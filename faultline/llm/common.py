@@ -47,6 +47,17 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+@contextlib.contextmanager
+def acyclic() -> Iterator[None]:
+    """Without the search for cyclic garbage, which walks over all kept lists again and again; for work
+    that makes no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, text_column: str) -> DataFrame:
     """mapInArrow over text slices of bounded size."""
 
