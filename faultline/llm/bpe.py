@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -382,7 +383,7 @@ class Codec:
         distinct = set(words) - {" "}
         ids = self.ids_of(distinct)
         passing = {w: self.model.merge(w) for w in distinct if len(w) > LONGEST} | {" ": [-1]}
-        return list(chain.from_iterable(ids[w] if w in ids else passing[w] for w in words))
+        return list(chain.from_iterable(ids.get(w) or passing[w] for w in words))
 
     def render(self, found: list[str]) -> tuple[list[str], list[str]]:
         """Of each chunk: its ids, and its tokens, as text."""
@@ -392,7 +393,7 @@ class Codec:
     def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The ids of each text; what the chunks give is looked up for all texts together."""
         cut = [list(self.model.segments(t or "")) for t in texts]
-        every = list({c for segments in cut for _, found in segments for c in found})
+        every = list(set().union(*(found for segments in cut for _, found in segments)))
         known: dict[str, list[int]] = {}
         if every:
             flat = np.array(self.flat(every), np.int64)
@@ -417,7 +418,7 @@ class Codec:
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Of each text: number of ids, digest of the ids, digest of their decoding."""
         cut = [list(self.model.segments(t or "")) for t in texts]
-        chunks_ = {c for segments in cut for _, found in segments for c in found}
+        chunks_ = set().union(*(found for segments in cut for _, found in segments))
         long = [c for c in chunks_ if len(c) > LONGEST]
         fresh = self.shown.missing(chunks_.difference(long))
         for young, shown in zip(self.shown.young, self.render(fresh)):
@@ -432,8 +433,9 @@ class Codec:
                     parts[0].append(str(special))
                     parts[1].append(self.model.tokens[special])
                 elif found:
+                    pick = itemgetter(*found)
                     for part, shown in zip(parts, kept):
-                        part.append(" ".join(map(shown.__getitem__, found)))
+                        part.append(" ".join(pick(shown)) if len(found) > 1 else pick(shown))
             ids, decoded = (" ".join(p) for p in parts)
             yield ids.count(" ") + 1 if ids else 0, hexdigest(ids.encode()), hexdigest(decoded.encode())
         for young in kept:  # long chunks are not kept
