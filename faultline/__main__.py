@@ -7,15 +7,26 @@ import argparse
 from pyspark.sql import SparkSession
 
 from faultline import config
-from faultline.operators import chunks, reports, runs
+from faultline.operators import chunks, models, reports, runs
+from faultline.plans import build
 from faultline.plans.build import build_corpus, build_failures
-from faultline.sources import io, schemas
+from faultline.providers import Endpoint
+from faultline.sources import io, pages, schemas
 from faultline.sources.adapters import corpus_pages
 
 COMMANDS = {
     "export-schemas": "print the schemas of all tables",
     "corpus": "filter, deduplicate, sample and chunk --documents",
     "stats": "counts of the corpus",
+    "fetch": "ask --endpoint, a wiki's action interface, as --agent for the pages of --titles (a table of group, title)",
+    "filter": "filter, deduplicate and sample --documents, or the fetched pages",
+    "chunk": "chunks of the sampled pages",
+    "generate": "candidates from the chunks; by --model at --endpoint, or offline",
+    "validate": "validation results of the candidates; with judge and baseline signals of --model at --endpoint",
+    "select-seeds": "seeds and their clean contexts from the accepted candidates",
+    "inject": "verified failure cases from the seeds; with --model at --endpoint as judge of absence",
+    "evaluate": "answers of --model at --endpoint, judged by itself, or of the offline readers; other models' results stay",
+    "ping": "one answer of --model at --endpoint",
     "failures": "candidates to evaluated failures from the chunks",
     "report": "evaluation by model, condition and severity",
     "validation-report": "funnel, reasons and kinds of seeds",
@@ -32,6 +43,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser.add_argument("command", choices=list(COMMANDS))
     parser.add_argument("--documents", help="Parquet table of documents")
     parser.add_argument("--folder", help="folder of the run's tables, or of several runs")
+    parser.add_argument("--titles", help="Parquet table of titles")
+    parser.add_argument("--endpoint", help="address of a chat endpoint or a wiki's action interface")
+    parser.add_argument("--model", help="model that the endpoint serves")
+    parser.add_argument("--agent", default="faultline", help="how the caller names itself to a wiki")
     parser.add_argument("--settings", help="settings file (YAML or JSON)")
     parser.add_argument("--seed", type=int)
     parser.add_argument("--seeds", type=lambda s: [int(x) for x in s.split(",")], default=[42, 123, 2026])
@@ -44,6 +59,12 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         for name, text in schemas.export().items():
             print(f"# {name}\n{text}")
         return
+    if a.command in ("ping", "fetch") and not a.endpoint or a.model and not a.endpoint or a.command == "ping" and not a.model:
+        parser.error("--endpoint or --model is missing")
+    model = Endpoint(a.endpoint, a.model).complete if a.model else None
+    if a.command == "ping":
+        print(model("Say hello in one sentence."))
+        return
     if not a.folder:
         parser.error("--folder is missing")
     run = config.load(a.settings) if a.settings else config.Run()
@@ -53,6 +74,26 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if a.command == "corpus":
         out = build_corpus(corpus_pages(spark.read.parquet(a.documents)), run, a.folder)
         print(io.to_json(chunks.dataset_stats(out["pages"], out["chunks"])))
+    elif a.command == "fetch":
+        fetched, failed = pages.split_asked(build.kept(pages.ask(spark.read.parquet(a.titles), pages.http_transport(a.endpoint, a.agent)), a.folder, "asked_pages"))
+        print(f"pages: {build.kept(fetched, a.folder, 'raw').count()}, errors: {build.kept(failed, a.folder, 'fetch_errors').count()}")
+    elif a.command == "filter":
+        out = build.filter_step(corpus_pages(spark.read.parquet(a.documents)) if a.documents else read("raw"), run, a.folder)
+        print(", ".join(f"{name}: {table.count()}" for name, table in out.items()))
+    elif a.command == "chunk":
+        print(f"chunks: {build.chunk_step(read('pages'), run, a.folder).count()}")
+    elif a.command == "generate":
+        print(f"candidates: {build.generate_step(read('chunks'), run, a.folder, model, a.model or '').count()}")
+    elif a.command == "validate":
+        made, found = read("candidates"), read("chunks")
+        told = build.kept(models.signals(made, found, model, model, run.validation), a.folder, "signals") if model else None
+        print(f"accepted: {build.validate_step(made, found, run, a.folder, told).where('accepted').count()}")
+    elif a.command == "select-seeds":
+        print(f"seeds: {build.seed_step(read('results'), read('chunks'), run, a.folder)[1].count()}")
+    elif a.command == "inject":
+        print(f"valid cases: {build.inject_step(read('chosen'), read('chunks'), run, a.folder, model).where('verification.injection_valid').count()}")
+    elif a.command == "evaluate":
+        print(reports.evaluation_report(build.evaluate_step(read("seeds"), read("verified"), run, a.folder, {a.model: model} if model else None, model)))
     elif a.command == "stats":
         print(io.to_json(chunks.dataset_stats(read("pages"), read("chunks"))))
     elif a.command == "failures":

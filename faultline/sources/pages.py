@@ -94,8 +94,8 @@ def sample_titles(members: DataFrame, quotas: dict[str, int], seed: int) -> Data
     return drawn.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
-def fetch(titles: DataFrame, transport: Callable[[str, str], dict], per_second: float = 8.0, attempts: int = 5, base_delay: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """(pages, errors): every title once; a title that fails after all attempts is an error row."""
+def ask(titles: DataFrame, transport: Callable[[str, str], dict], per_second: float = 8.0, attempts: int = 5, base_delay: float = 2.0) -> DataFrame:
+    """A row for each title: its page, or the error after all attempts. Every reading asks again, so write it first."""
     partitions = max(titles.rdd.getNumPartitions(), 1)
     gap = partitions / per_second
     names = [x.split()[0] for x in PAGE.split(", ")]
@@ -123,7 +123,16 @@ def fetch(titles: DataFrame, transport: Callable[[str, str], dict], per_second:
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
     kinds = pa.schema([*((n, pa.int64() if k == "bigint" else pa.bool_() if k == "boolean" else pa.string()) for n, k in (x.split() for x in PAGE.split(", "))), ("title", pa.string()), ("error", pa.string())])
-    rows = titles.select("group", "title").mapInArrow(work, f"{PAGE}, title string, error string")
+    return titles.select("group", "title").mapInArrow(work, f"{PAGE}, title string, error string")
+
+
+def split_asked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, errors): each page once."""
     good = Window.partitionBy("page_id").orderBy("title")
     pages = rows.where("error is null").withColumn("_r", F.row_number().over(good)).where("_r = 1").drop("_r", "error", "title")
     return pages, rows.where("error is not null").select("title", "category_group", "error")
+
+
+def fetch(titles: DataFrame, transport: Callable[[str, str], dict], per_second: float = 8.0, attempts: int = 5, base_delay: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """(pages, errors) of the titles; each of the two asks for itself when it is read."""
+    return split_asked(ask(titles, transport, per_second, attempts, base_delay))

@@ -247,7 +247,7 @@ def test_page_source(spark):
     assert {r.page_id for r in good.collect()} == {1, 2} and [r.title for r in bad.collect()] == ["p2"]
 
 
-def test_http_pages(spark):
+def test_http_pages(spark, tmp_path, capsys):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
     from urllib.parse import parse_qs, urlparse
@@ -275,6 +275,13 @@ def test_http_pages(spark):
         titles = spark.createDataFrame([("g", "old_name"), ("g", "gone"), ("g", "down"), ("g", "late")], "group string, title string").coalesce(1)
         good, bad = pages.fetch(titles, pages.http_transport(f"http://127.0.0.1:{server.server_port}/api", "test"), per_second=1000, attempts=2, base_delay=0.0)
         rows, lost = good.collect(), {r.title: r.error for r in bad.collect()}
+        folder, listed = str(tmp_path / "run"), str(tmp_path / "titles")
+        titles.where("title in ('old_name', 'gone')").write.parquet(listed)
+        asked.clear()
+        main(["fetch", "--titles", listed, "--endpoint", f"http://127.0.0.1:{server.server_port}/api", "--folder", folder], spark)
+        assert "pages: 1, errors: 1" in capsys.readouterr().out and sorted(asked) == ["gone", "old_name"]
+        main(["filter", "--folder", folder], spark)
+        assert "accepted: 0, rejected: 1" in capsys.readouterr().out
     finally:
         server.shutdown()
     assert len(rows) == 1 and (rows[0].page_id, rows[0].revision_id, rows[0].page_title, rows[0].is_disambiguation) == (5, 9, "Real", True)
@@ -418,6 +425,34 @@ def test_tables_of_runs(spark, built, tmp_path, capsys):
     assert runs.latest(spark, root, "seeds").count() == counted[0].seeds and runs.latest(spark, root, "absent") is None
 
 
+def test_single_steps_are_the_whole_run(spark, built, sf, tmp_path, capsys, monkeypatch):
+    corpus, out, run = built
+    import faultline.__main__ as commands
+
+    monkeypatch.setattr(commands.config, "Run", lambda: run)
+    folder = str(tmp_path / "steps")
+    ask = lambda *a: (main([*a, "--folder", folder], spark), capsys.readouterr().out)[1]
+    ask("filter", "--documents", f"{sf}/documents.parquet")
+    for command in ("chunk", "generate", "validate", "select-seeds", "inject"):
+        assert ": " in ask(command)
+    assert "reader_gold" in ask("evaluate")
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    assert rows(read("chunks"), "chunk_id", "text") == rows(corpus["chunks"], "chunk_id", "text")
+    assert rows(read("seeds"), "sample_id", "question") == rows(out["seeds"], "sample_id", "question")
+    assert rows(read("evaluation"), "eval_id", "prediction") == rows(out["evaluation"], "eval_id", "prediction")
+    n = read("evaluation").count()
+    monkeypatch.setattr(commands, "Endpoint", lambda url, model: type("Fixed", (), {"complete": staticmethod(lambda prompt, system="": "Oslo")}))
+    assert ask("ping", "--endpoint", "http://x", "--model", "m").strip() == "Oslo"
+    ask("evaluate", "--endpoint", "http://x", "--model", "m")
+    ask("evaluate", "--endpoint", "http://x", "--model", "m")
+    found = {r.model_name: r.n for r in read("evaluation").groupBy("model_name").agg(F.count("*").alias("n")).collect()}
+    assert found["m"] * 3 == n and sum(found.values()) == n + found["m"]
+    for bad in (["ping", "--model", "m"], ["fetch"], ["chunk"]):
+        with pytest.raises(SystemExit):
+            main(bad, spark)
+
+
 def test_logs_places_and_heads(spark):
     said = spark.createDataFrame([("x" * 4001, None), ("short", None), (None, "request_error")], "answer string, error string")
     rows = {r.full_chars: r for r in runs.logged(said, "qa").collect()}
