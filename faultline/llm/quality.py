@@ -13,6 +13,7 @@ rules decide alone. ``judge`` reads only the id and the text, so extra columns c
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,8 +62,8 @@ _CONTINUATION[0x80:0xC0] = True
 _GROUPS = np.column_stack([_SPACE, _SYMBOL, _UPPER, _DIGIT, _PUNCTUATION, _CONTINUATION, _mask(b"!")]).astype(np.int64)
 
 
-def repeated_words(hashes: np.ndarray) -> int:
-    """Words inside windows that occur twice or more, by 64-bit window hashes."""
+def repeated_words(hashes: np.ndarray, words: list[bytes]) -> int:
+    """Words inside windows that occur twice or more: found by window hashes, then held against the words."""
     n = len(hashes) - WINDOW + 1
     if n < 2:
         return 0
@@ -74,6 +75,14 @@ def repeated_words(hashes: np.ndarray) -> int:
     if not len(again):
         return 0
     hit = again[np.minimum(np.searchsorted(again, windows), len(again) - 1)] == windows
+    places = np.flatnonzero(hit)
+    values, first = np.unique(windows[places], return_index=True)
+    lead = places[first][np.searchsorted(values, windows[places])]
+    if any(words[i : i + WINDOW] != words[j : j + WINDOW] for i, j in zip(places.tolist(), lead.tolist())):
+        # unlike windows share a hash: the words themselves decide
+        shown = [b" ".join(words[i : i + WINDOW]) for i in places.tolist()]
+        times = Counter(shown)
+        hit[places] = [times[w] > 1 for w in shown]
     edges = np.zeros(len(hashes) + 1, np.int64)
     edges[:n] += hit
     edges[WINDOW:] -= hit
@@ -90,7 +99,7 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     lines = [x for x in data.split(b"\n") if x and not x.isspace()]
     dup_lines = len(lines) - len(set(lines))
     hashes = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
-    repeats = repeated_words(hashes)
+    repeats = repeated_words(hashes, words)
     counts = [n, chars, symbols, dup_lines, repeats]
     w, c = max(n, 1), max(chars, 1)
     same = int(np.count_nonzero(hashes[1:] == hashes[:-1]))

@@ -111,6 +111,13 @@ def test_private_keys_go_whole(spark):
 # Quality
 
 
+def test_windows_that_share_a_hash():
+    plain = [f"w{i}".encode() for i in range(30)]
+    assert quality.repeated_words(np.zeros(30, np.uint64), plain) == 0
+    assert quality.repeated_words(np.zeros(38, np.uint64), plain + plain[5:13]) == 16
+    assert quality.repeated_words(np.zeros(5, np.uint64), plain[:5]) == 0
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     seen, dup = set(), 0
