@@ -6,6 +6,8 @@ without one use the offline generator and readers.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from faultline.config import Run
@@ -53,7 +55,7 @@ def seed_step(results: DataFrame, found: DataFrame, run: Run, folder: str) -> tu
 
 def inject_step(chosen: DataFrame, found: DataFrame, run: Run, folder: str, judge: models.Model | None = None) -> DataFrame:
     """Verified cases, valid or not; with a judge, also by whether it finds an answer that should be absent."""
-    cases = failures.inject(chosen, found, run, folder=f"{folder}/drawn")
+    cases = failures.inject(chosen, found, run, folder=f"{folder}/drawn/{uuid.uuid4().hex}")
     if judge is None:
         return kept(verify.verify(cases), folder, "verified")
     cases = kept(cases, folder, "cases")

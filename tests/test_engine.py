@@ -448,6 +448,10 @@ def test_single_steps_are_the_whole_run(spark, built, sf, tmp_path, capsys, monk
     ask("evaluate", "--endpoint", "http://x", "--model", "m")
     found = {r.model_name: r.n for r in read("evaluation").groupBy("model_name").agg(F.count("*").alias("n")).collect()}
     assert found["m"] * 3 == n and sum(found.values()) == n + found["m"]
+    served = ("--endpoint", "http://x", "--model", "m")  # an answer that is no object: a judge says no, a writer gives errors
+    assert ask("validate", *served).strip() == "accepted: 0" and read("signals").count() > 0
+    assert ask("inject", *served).strip() != "valid cases: 0" and read("absence").count() == 0
+    assert ask("generate", *served).strip() == "candidates: 0" and read("generation_errors").count() > 0
     for bad in (["ping", "--model", "m"], ["fetch"], ["chunk"]):
         with pytest.raises(SystemExit):
             main(bad, spark)
