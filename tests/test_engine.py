@@ -470,3 +470,27 @@ def test_logs_places_and_heads(spark):
     assert [r.candidate_id for r in runs.resumed(done, new, 2).collect()] == ["a", "b"]
     cases = spark.createDataFrame([("b", "s", "low"), ("a", "t", "low")], "failure_type string, parent_seed_id string, severity string")
     assert runs.first_cases(cases, 1).first().failure_type == "a" and runs.first_cases(cases, 0).count() == 2
+
+
+def test_near_pairs_are_exact_and_write_no_gram_sets(spark, tmp_path, monkeypatch):
+    """All pairs of a brute-force comparison, in less space than the texts' gram sets would take."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for d in range(260):
+        words = rows[rng.randrange(len(rows))][1].split(" ") if d % 4 and rows else [f"w{rng.randrange(400)}" for _ in range(rng.choice((1, 3, 20, 60, 300)))]
+        for _ in range(rng.choice((0, 1, 2, len(words) // 25))):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(99)}"
+        rows.append((d, " ".join(words)))
+    grams = {d: frozenset(t[i : i + 5] for i in range(len(t) - 4)) if len(t) > 4 else frozenset([t]) for d, t in rows}
+    least = {}
+    for d, g in grams.items():
+        least.setdefault(g, d)
+    reps = sorted(least.values())
+    wanted = {(a, b, len(grams[a] & grams[b]), len(grams[a] | grams[b])) for a in reps for b in reps if a < b and 100 * len(grams[a] & grams[b]) >= 85 * len(grams[a] | grams[b])}
+    monkeypatch.setattr(dedup, "shared_folder", lambda _: str(tmp_path / "shared"))
+    members, pairs = dedup.near_pairs(spark.createDataFrame(rows, "id long, text string"), "id", F.col("text"))
+    assert {tuple(r) for r in pairs.collect()} == wanted and len(wanted) > 50
+    assert {tuple(r) for r in members.collect()} == {(d, least[g]) for d, g in grams.items()}
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < sum(8 * len(g) for g in grams.values())
