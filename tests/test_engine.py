@@ -494,3 +494,10 @@ def test_near_pairs_are_exact_and_write_no_gram_sets(spark, tmp_path, monkeypatc
     assert {tuple(r) for r in pairs.collect()} == wanted and len(wanted) > 50
     assert {tuple(r) for r in members.collect()} == {(d, least[g]) for d, g in grams.items()}
     assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < sum(8 * len(g) for g in grams.values())
+
+
+def test_pages_of_unique_ids_are_numbered_where_they_lie(spark):
+    pages = lambda ids: spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "page_id long, raw_text string")
+    once, again = dedup.numbered(pages([1, 2, 3])), dedup.numbered(pages([1, 2, 1, None, None]))
+    assert "Window" not in once._jdf.queryExecution().toString() and [r[0] for r in once.select("copy").collect()] == [0, 0, 0]
+    assert sorted((r[0] or 0, r[1]) for r in again.select("page_id", "copy").collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
