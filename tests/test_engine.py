@@ -511,3 +511,16 @@ def test_candidates_meet_chunks_of_their_own_pages_only(spark, sf):
     assert {r[0] for r in found.select("page_id").distinct().collect()} == asked
     assert len(asked) < queries._pages(spark, sf).count()
     assert rows.join(found, F.col("source.chunk_id") == F.col("chunk_id"), "left_anti").count() == 0
+
+
+def test_results_draw_and_verify_once(spark, sf, monkeypatch):
+    from faultline import queries
+    from faultline.operators import pools, verify
+
+    draws, verified = [], []
+    draw, split = pools.draw, verify.split_valid
+    monkeypatch.setattr(pools, "draw", lambda *a: draws.append(a[3]) or draw(*a))
+    monkeypatch.setattr(verify, "split_valid", lambda v: verified.append(v) or split(v))
+    queries._results(spark, sf)
+    assert len(draws) == 1 and "clean" in draws[0]
+    assert verified[0].inputFiles() and "/verified/" in verified[0].inputFiles()[0]
