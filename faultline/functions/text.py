@@ -48,7 +48,7 @@ def normalize_title(x: Column) -> Column:
 
 
 def strip_citations(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?i)\[\d+\]|\[citation needed\]", "")
+    return F.regexp_replace(x, r"\[(?:\d+|(?i:citation needed))\]", "")
 
 
 def normalize_whitespace(x: Column) -> Column:

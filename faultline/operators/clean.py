@@ -15,14 +15,15 @@ SECTION = "struct<section_index:int,section_title:string,section_path:array<stri
 def with_sections(pages: DataFrame, text: str, out: str = "sections") -> DataFrame:
     """Add ``out``, the sections of column ``text``, in order; blank text has none.
 
-    Headers and bodies are zipped into one array that the fold runs over: a lambda that named them as
-    columns would have them extracted anew for every section.
+    Headers and bodies are found once each, before the fold: an expression that is not compiled, as a fold is
+    not, evaluates what it names anew for each mention. They are zipped into one array that the fold runs
+    over: a lambda that named them as columns would have them extracted anew for every section.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    found = lambda group: F.regexp_extract_all(t, F.lit(HEADER), F.lit(group))
-    bodies = F.split(t, HEADER, -1)
-    parts = F.arrays_zip(found(0).alias("head"), found(1).alias("mark"), found(2).alias("title"), F.slice(bodies, F.lit(2), F.size(bodies)).alias("body"))
-    lead = F.get(bodies, F.lit(0))
+    rows = settled(pages.withColumns({"_heads": F.regexp_extract_all(t, F.lit(HEADER), F.lit(0)), "_bodies": F.split(t, HEADER, -1)}), "_heads", "_bodies")
+    inside = lambda group: F.transform("_heads", lambda h: F.regexp_extract(h, HEADER, group))
+    parts = F.arrays_zip(F.col("_heads").alias("head"), inside(1).alias("mark"), inside(2).alias("title"), F.slice("_bodies", F.lit(2), F.size("_bodies")).alias("body"))
+    lead = F.get("_bodies", F.lit(0))
     # The fold keeps the offset, the stack of open sections and the sections so far.
     stack_type, out_type = "array<struct<level:int,title:string>>", f"array<{SECTION}>"
     start = F.struct(
@@ -41,7 +42,7 @@ def with_sections(pages: DataFrame, text: str, out: str = "sections") -> DataFra
         )
         return F.struct(end.alias("at"), stack.cast(stack_type).alias("stack"), F.concat(acc["found"], F.array(section).cast(out_type)).alias("found"))
 
-    return pages.withColumn(out, F.aggregate(parts, start, step, lambda acc: acc["found"]))
+    return rows.withColumn(out, F.aggregate(parts, start, step, lambda acc: acc["found"])).drop("_heads", "_bodies")
 
 
 def _lead(body: Column, title: Column) -> Column:

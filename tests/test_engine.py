@@ -1,13 +1,15 @@
 """The engine's own operators: values, invariants, and brute force where SQL has no form."""
 
 import json
+import random
+import re
 import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultline import providers
-from faultline.config import Chunking, Filtering, Generation, Run, Validation
+from faultline.config import Chunking, Failures, Filtering, Generation, Run, Validation
 from faultline.functions import text as t
 from faultline.functions.similarity import semantic_similarity
 from faultline.__main__ import main
@@ -524,3 +526,19 @@ def test_results_draw_and_verify_once(spark, sf, monkeypatch):
     queries._results(spark, sf)
     assert len(draws) == 1 and "clean" in draws[0]
     assert verified[0].inputFiles() and "/verified/" in verified[0].inputFiles()[0]
+
+
+def test_headers_are_searched_twice_however_often_sections_name_them(spark):
+    from faultline.operators.clean import HEADER, with_sections
+
+    texts = [None, "", " \n", "no header", "a\n== B ==\nc", "== A ==\n\n=== B = C ===  \nx\n== D ==", "\n== x =\n=== y ==\n== == ==\nz"]
+    found = with_sections(spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "page_id int, raw_text string"), "raw_text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
+    for row in found.collect():
+        heads, text = list(re.finditer(HEADER.replace("(?md)", "(?m)"), row.raw_text or "")), row.raw_text or ""
+        ends = [m.start() for m in heads[1:]] + [len(text)]
+        expected = [(m[2].strip(), len(m[1]), m.start(), e, text[m.end() : e].strip()) for m, e in zip(heads, ends)]
+        lead = text[: heads[0].start()] if heads else text
+        expected = ([("Lead", 1, 0, len(lead), lead.strip())] if lead.strip() else []) + expected
+        assert [(s.section_title, s.level, s.char_start, s.char_end, s.text) for s in row.sections] == expected
