@@ -542,3 +542,32 @@ def test_headers_are_searched_twice_however_often_sections_name_them(spark):
         lead = text[: heads[0].start()] if heads else text
         expected = ([("Lead", 1, 0, len(lead), lead.strip())] if lead.strip() else []) + expected
         assert [(s.section_title, s.level, s.char_start, s.char_end, s.text) for s in row.sections] == expected
+
+
+def test_draws_are_made_once_and_are_the_least(spark, monkeypatch):
+    import hashlib
+
+    from faultline.operators import pools
+
+    monkeypatch.setattr(pools, "AT_ONCE", 200)
+    run = Run(failures=Failures(context_budget=3))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    nr = lambda h, k=0: int(h[8 * k : 8 * k + 8], 16) % pools.PRIME
+    seeds = [(f"s{i}", ["en", None, "none"][i % 3], None if i == 4 else i) for i in range(6)]
+    chunks = [(f"c{i:03}", None if i % 50 == 0 else i % 9, ["en", "de", None][i % 3], f"text {i % 70}") for i in range(400)]
+    s = spark.createDataFrame(seeds, "sample_id string, category_group string, page long").withColumn("source", F.struct(F.col("page").alias("page_id")))
+    c = spark.createDataFrame(chunks, "chunk_id string, page_id long, category_group string, text string").repartition(3)
+    got = pools.draw(s, c, run, ("a", "b"))
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    expected = set()
+    for purpose in ("a", "b"):
+        for sid, cat, page in seeds:
+            key = md5(f"{run.seed}:{purpose}:{sid}")
+            for same in (True, False):
+                least = {}
+                for cid, p, k, text in chunks:
+                    if (k == cat) == same and (p is None or p != page):
+                        at = ((nr(md5(text)) * nr(key, 0) + nr(key, 1)) % pools.PRIME, md5(text))
+                        least[at] = min(cid, least.get(at, cid))
+                expected |= {(purpose, sid, same, r, least[at]) for r, at in enumerate(sorted(least)[: pools.drawn_by(run)], 1)}
+    assert {tuple(r) for r in got.collect()} == expected
