@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.config import SEVERITY_DIFFICULTY, STAGE_OF, Run
 from faultline.functions.text import alternate_answer, conflict_passage, contains_answer, halves, keyed, matches_support, normalize_answer, split_sentences, strip, words
-from faultline.operators.pools import attach_pools, collected
+from faultline.operators.dedup import held, shared_folder
+from faultline.operators.pools import NO_PAGE, attach_pools, collected
 
 PARAMETERS = {
     "removed": "string", "num_contexts": "int", "noise_ratio": "double", "num_distractors": "int", "distractor_hardness": "string", "gold_position": "int",
@@ -141,50 +143,81 @@ def conflict(pooled: DataFrame, run: Run) -> DataFrame:
     return _cases(rows, "conflict", True, alternate_answer=F.col("other"), conflict_passage=F.col("passage"), conflict_positions=claims, gold_positions=_positions(F.col("contexts"), F.col("gold_text")), num_conflicts=F.size(claims))
 
 
+#: Seeds of one category that are scored at once, and chunks at most.
+GROUP, CHUNKS_AT_ONCE = 256, 2048
+
+
 def near_misses(seeds: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The k best chunks for each seed that lie on another page and lack its answer: same category first,
     then the share of the seed's words they hold, then the chunk id, all falling.
 
     Every chunk is scored against all seeds inside its task, and only a task's best k for each seed leave
     it, without their texts. The seeds are a bounded set (the target of the selection, checked) and travel
-    as one broadcast.
+    as one broadcast; so the best are few, and are held: every use of them would score all chunks again.
+    Once the k best of a group of seeds are of its category, no other chunk can be among them.
     """
     known = collected(seeds, "sample_id", F.coalesce("category_group", F.lit("")).alias("cat"), F.col("source.page_id").alias("page"), normalize_answer(F.col("gold_answer")).alias("answer"), normalize_answer(F.concat_ws(" ", "question", "supporting_sentence")).alias("query"))
     queries = [sorted({w for w in r["query"].split(" ") if len(w) > 2}) for r in known]
-    holders: dict[str, list[int]] = {}
-    for s, tokens in enumerate(queries):
-        for w in tokens:
-            holders.setdefault(w, []).append(s)
-    shared = seeds.sparkSession.sparkContext.broadcast(([(r["sample_id"], r["cat"], r["page"], r["answer"]) for r in known], [len(q) for q in queries], {w: np.array(v) for w, v in holders.items()}))
+    shared = seeds.sparkSession.sparkContext.broadcast(([(r["sample_id"], r["cat"], NO_PAGE if r["page"] is None else r["page"], r["answer"]) for r in known], queries))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, sizes, holders = shared.value
-        size = np.maximum(np.array(sizes, float), 1)
-        pages, cats = np.array([r[2] for r in rows]), np.array([r[1] for r in rows], object)
+        rows, queries = shared.value
+        place = {w: n for n, w in enumerate(sorted({w for q in queries for w in q}))}
+        vocabulary = pa.array(list(place), pa.string())
+        groups = []
+        for cat in sorted({r[1] for r in rows}):
+            own = [s for s, r in enumerate(rows) if r[1] == cat and r[3]]  # an empty answer is in every text
+            for some in (own[at : at + GROUP] for at in range(0, len(own), GROUP)):
+                used = sorted({place[w] for s in some for w in queries[s]})
+                local = np.full(len(place), -1, np.int32)
+                local[used] = np.arange(len(used))
+                holds = np.zeros((len(used), len(some)), np.float32)
+                for j, s in enumerate(some):
+                    holds[[local[place[w]] for w in queries[s]], j] = 1
+                groups.append((cat, np.array(some), np.array([rows[s][2] for s in some], np.int64), np.array([max(len(queries[s]), 1) for s in some], float), local, holds))
         best: list[list[tuple]] = [[] for _ in rows]
         floor = np.full(len(rows), -1.0)
+        size = 64  # few chunks while every chunk is among the best
         for batch in batches:
-            for page, chunk, cat, norm in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                lists = [holders[w] for w in set(norm.split(" ")) if w in holders]
-                overlap = (np.bincount(np.concatenate(lists), minlength=len(rows)) if lists else np.zeros(len(rows))) / size
-                score = overlap + 2.0 * ((cats == (cat or "")) & (cats != ""))
-                for s in np.flatnonzero((score >= floor) & (pages != page)).tolist():
-                    item = (float(score[s]), chunk, float(overlap[s]))
-                    heap = best[s]
-                    if (len(heap) < k or item[:2] > heap[0][:2]) and rows[s][3] not in norm:
-                        heapq.heappush(heap, item) if len(heap) < k else heapq.heapreplace(heap, item)
-                        if len(heap) == k:
-                            floor[s] = heap[0][0]
-        found = [(rows[s][0], x[1], x[0], x[2]) for s, heap in enumerate(best) for x in heap]
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, size)
+                at, size = at + size, min(2 * size, CHUNKS_AT_ONCE)
+                split = pc.split_pattern(part.column(3), " ")
+                which = pc.index_in(pc.list_flatten(split), value_set=vocabulary)
+                known_word = pc.is_valid(which).to_numpy(zero_copy_only=False)
+                which, parent = which.drop_null().to_numpy(), pc.list_parent_indices(split).to_numpy()[known_word]
+                page, cats = part.column(0).fill_null(NO_PAGE).to_numpy(), part.column(2).fill_null("")
+                names, norms = part.column(1).to_pylist(), part.column(3).to_pylist()
+                for cat, some, pages, sizes, local, holds in groups:
+                    same = pc.equal(cats, cat).to_numpy(zero_copy_only=False) if cat else np.zeros(part.num_rows, bool)
+                    picked = np.flatnonzero(same) if (floor[some] >= 2).all() else np.arange(part.num_rows)
+                    row = np.full(part.num_rows, -1)
+                    row[picked] = np.arange(len(picked))
+                    r, w = row[parent], local[which]
+                    both = (r >= 0) & (w >= 0)
+                    found = np.zeros((len(picked), len(holds)), np.float32)
+                    found[r[both], w[both]] = 1
+                    overlap = (found @ holds).astype(float) / sizes
+                    score = overlap + 2.0 * same[picked][:, None]
+                    for i, j in zip(*(x.tolist() for x in np.nonzero((score >= floor[some]) & (page[picked][:, None] != pages)))):
+                        s, n = some[j], picked[i]
+                        item = (float(score[i, j]), names[n], float(overlap[i, j]))
+                        heap = best[s]
+                        if (len(heap) < k or item[:2] > heap[0][:2]) and rows[s][3] not in norms[n]:
+                            heapq.heappush(heap, item) if len(heap) < k else heapq.heapreplace(heap, item)
+                            if len(heap) == k:
+                                floor[s] = heap[0][0]
+        out = [(rows[s][0], x[1], x[0], x[2]) for s, heap in enumerate(best) for x in heap]
         kinds = [pa.string(), pa.string(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found) if found else [()] * 4, kinds)], ["sample_id", "chunk_id", "score", "overlap"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 4, kinds)], ["sample_id", "chunk_id", "score", "overlap"])
 
     full = chunks.where(strip(F.col("text")) != "").select("page_id", "chunk_id", "category_group", normalize_answer(F.col("text")).alias("norm"))
     top = full.mapInArrow(work, "sample_id string, chunk_id string, score double, overlap double")
     w = Window.partitionBy("sample_id").orderBy(F.desc("score"), F.desc("chunk_id"))
-    top = top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    texts = chunks.join(top.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "text", F.col("category_group").alias("category"))
-    return top.join(texts, "chunk_id")
+    top = held(top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), f"{shared_folder(seeds.sparkSession)}/near")
+    texts = chunks.join(F.broadcast(top.select("chunk_id").distinct()), "chunk_id", "left_semi").select("chunk_id", "text", F.col("category_group").alias("category"))
+    return F.broadcast(top).join(texts, "chunk_id")
 
 
 def hard_negative(seeds: DataFrame, chunks: DataFrame, run: Run) -> DataFrame:

@@ -544,6 +544,31 @@ def test_headers_are_searched_twice_however_often_sections_name_them(spark):
         assert [(s.section_title, s.level, s.char_start, s.char_end, s.text) for s in row.sections] == expected
 
 
+def test_hard_negatives_are_scored_once_and_are_the_best(spark, monkeypatch):
+    from faultline.operators import failures
+
+    monkeypatch.setattr(failures, "GROUP", 3)
+    monkeypatch.setattr(failures, "CHUNKS_AT_ONCE", 64)
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choice("red blue green stone river cloud tree bird night morning".split()) for _ in range(n))
+    seeds = [(f"s{i}", rng.choice(["en", "de", None, "rare", ""]), (i * 7) % 40, ["tree", "night", "", "zz", "!"][i % 5], some(i % 6), some(3)) for i in range(20)]
+    chunks = [(f"c{i}", i % 40, rng.choice(["en", "de", None, ""]), some(rng.randrange(0, 12))) for i in range(700)]
+    s = spark.createDataFrame(seeds, "sample_id string, category_group string, page long, gold_answer string, question string, supporting_sentence string").withColumn("source", F.struct(F.col("page").alias("page_id")))
+    c = spark.createDataFrame(chunks, "chunk_id string, page_id long, category_group string, text string").repartition(3)
+    found = failures.near_misses(s, c, 4)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    expected = set()
+    for sid, cat, page, answer, question, support in seeds:
+        query = {w for w in f"{question} {support}".split() if len(w) > 2}
+        ranked = []
+        for cid, p, k, text in chunks:
+            overlap = len(query & set(text.split())) / max(len(query), 1)
+            if p != page and text and answer.strip("!") and answer not in text:
+                ranked.append((overlap + 2.0 * bool(cat and cat == k), cid, overlap))
+        expected |= {(sid, x[1], x[2], r) for r, x in enumerate(sorted(ranked, reverse=True)[:4], 1)}
+    assert {(r.sample_id, r.chunk_id, r.overlap, r.rank) for r in found.collect()} == expected
+
+
 def test_draws_are_made_once_and_are_the_least(spark, monkeypatch):
     import hashlib
 
