@@ -15,7 +15,8 @@ MONTHS = "January|February|March|April|May|June|July|August|September|October|No
 def is_good_chunk(cfg: Generation = Generation()) -> Column:
     """Long enough, within the token bounds, and with a number, a date or two capitalised words."""
     t = F.col("text")
-    signal = t.rlike(r"(?U)\b\d{2,}\b") | t.rlike(rf"(?iU)\b(1\d{{3}}|20\d{{2}})\b|\b({MONTHS})\b") | (F.regexp_count(t, F.lit("[A-Z][a-z]+")) >= 2)
+    # the cheapest sign first, as one is enough: boundaries and words in any case are tried at every character
+    signal = t.rlike("(?s)[A-Z][a-z].*?[A-Z][a-z]") | t.rlike(r"(?U)\b\d{2,}\b") | t.rlike(rf"(?iU)\b(1\d{{3}}|20\d{{2}})\b|\b({MONTHS})\b")
     lead = F.lower(strip(F.col("section_title"))) == "lead"
     return F.col("token_count").between(cfg.min_chunk_tokens, cfg.max_chunk_tokens) & (~lead if cfg.skip_lead_sections else F.lit(True)) & (F.length(t) >= 120) & signal
 

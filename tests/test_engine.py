@@ -547,8 +547,8 @@ def test_headers_are_searched_twice_however_often_sections_name_them(spark):
 def test_hard_negatives_are_scored_once_and_are_the_best(spark, monkeypatch):
     from faultline.operators import failures
 
-    monkeypatch.setattr(failures, "GROUP", 3)
-    monkeypatch.setattr(failures, "CHUNKS_AT_ONCE", 64)
+    monkeypatch.setattr(failures, "GROUP", 3, raising=False)
+    monkeypatch.setattr(failures, "CHUNKS_AT_ONCE", 64, raising=False)
     rng = random.Random(5)
     some = lambda n: " ".join(rng.choice("red blue green stone river cloud tree bird night morning".split()) for _ in range(n))
     seeds = [(f"s{i}", rng.choice(["en", "de", None, "rare", ""]), (i * 7) % 40, ["tree", "night", "", "zz", "!"][i % 5], some(i % 6), some(3)) for i in range(20)]
@@ -574,7 +574,7 @@ def test_draws_are_made_once_and_are_the_least(spark, monkeypatch):
 
     from faultline.operators import pools
 
-    monkeypatch.setattr(pools, "AT_ONCE", 200)
+    monkeypatch.setattr(pools, "AT_ONCE", 200, raising=False)
     run = Run(failures=Failures(context_budget=3))
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     nr = lambda h, k=0: int(h[8 * k : 8 * k + 8], 16) % pools.PRIME
@@ -596,3 +596,14 @@ def test_draws_are_made_once_and_are_the_least(spark, monkeypatch):
                         least[at] = min(cid, least.get(at, cid))
                 expected |= {(purpose, sid, same, r, least[at]) for r, at in enumerate(sorted(least)[: pools.drawn_by(run)], 1)}
     assert {tuple(r) for r in got.collect()} == expected
+
+
+def test_signs_of_a_good_chunk_by_cost(spark):
+    """Capitalised words decide before the patterns that cost most; any sign is enough, in any text."""
+    signs = ["12 x", "x 1999", "in May", "IN MAY", "mayor", "Aa Bb", "AaBb", "Aa\nBb", "AAA Bb", "Aa BB", "a1999b", "7", "x20 y", "١٢", ""]
+    expected = [bool(re.search(r"\b\d{2,}\b", s) or re.search(rf"(?i)\b(1\d{{3}}|20\d{{2}})\b|\b({candidates.MONTHS})\b", s) or len(re.findall("[A-Z][a-z]+", s)) >= 2) for s in signs]
+    good = candidates.is_good_chunk(Generation(min_chunk_tokens=0, max_chunk_tokens=999))
+    rows = spark.createDataFrame([(i, "s", 100, s + " ~" * 100) for i, s in enumerate(signs)], "i int, section_title string, token_count int, text string")
+    assert [r.g for r in rows.select("i", good.alias("g")).orderBy("i").collect()] == expected
+    plan = rows.where(good)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("[A-Z][a-z]") < plan.index("January")
